@@ -11,6 +11,7 @@ from rowforge.llm.compression_quality import score_quality
 from rowforge.llm.near_dedup import near_groups
 from rowforge.llm.packing import pack_documents
 from rowforge.llm.piece_codec import encode_decode
+from rowforge.llm.pii import pii_report
 from rowforge.llm.quality_rules import score_rules
 from rowforge.llm.token_counts import count_tokens
 
@@ -27,6 +28,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), words=3, similar=85)
 
@@ -46,6 +51,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op2_packing": op2_packing,
+    "op4_pii": op4_pii,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
