@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rowforge.llm.compression_quality import score_quality
+from rowforge.llm.exact_topk import exact_topk
 from rowforge.llm.near_dedup import near_groups
 from rowforge.llm.packing import pack_documents
 from rowforge.llm.piece_codec import encode_decode
@@ -32,6 +33,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk(_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), words=3, similar=85)
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op2_packing": op2_packing,
     "op4_pii": op4_pii,
+    "op5_exact_topk": op5_exact_topk,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
