@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from rowforge.llm import preference_format, sharding
 from rowforge.llm.compression_quality import score_quality
 from rowforge.llm.exact_topk import exact_topk
 from rowforge.llm.near_dedup import near_groups
@@ -29,6 +30,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"))
+
+
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_format.format_pairs(preference_format.pair_neighbours(_table(spark, sf_dir, "conversations")))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
@@ -56,12 +65,17 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piece_codec": op1_piece_codec,
     "op2_packing": op2_packing,
+    "op3_sharding": op3_sharding,
     "op4_pii": op4_pii,
     "op5_exact_topk": op5_exact_topk,
+    "op6_preference_format": op6_preference_format,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_sharding": sharding.ORACLE,
+    "op6_preference_format": preference_format.ORACLE,
+}
