@@ -1,0 +1 @@
+"""Schema-aware synthetic data and data checks as Spark plans."""
