@@ -17,15 +17,23 @@ class CapacityError(ValueError):
     pass
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """Evaluate once: a range partitioning samples its input, so that a second evaluation may cut elsewhere."""
+    spark = df.sparkSession
+    reliable = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return df.checkpoint() if reliable else df.persist()
+
+
 def indexed(keys: DataFrame, column: str) -> DataFrame:
     """(i, key) of the distinct non-null keys in order.
 
     Range partitions are numbered by their sizes: the order is global, the
     work is not, and no task sees all keys.
     """
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keys.select(F.col(column).alias("key")).where("key IS NOT NULL").distinct()
-    parts = ordered.repartitionByRange("key").sortWithinPartitions("key")
-    numbered = parts.select("key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    parts = ordered.repartitionByRange(n, "key").sortWithinPartitions("key")
+    numbered = _held(parts.select("key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
     first = numbered.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("low"))
     offsets = first.select("part", "low", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return numbered.join(F.broadcast(offsets), "part").select((F.col("before") + F.col("at") - F.col("low")).alias("i"), "key")
