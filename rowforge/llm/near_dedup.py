@@ -30,6 +30,8 @@ KEEP, RUN = 48, 3
 ESTIMATE_SLACK = 0.30
 #: counters that rank shingles by rarity; any ranking gives the same links
 RARITY_BITS = 20
+#: slots of the bitmap that says whose sets are needed
+WANTED_BITS = 22
 
 
 @lru_cache(maxsize=1)
@@ -86,16 +88,33 @@ def _signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, n long, mark binary, sketch array<long>")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _wanted_bits(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over hashed ids: all of ``ids`` are in it, few others as long as it is sparse."""
+    one = (F.pmod(F.xxhash64("id"), F.lit(1 << WANTED_BITS)) + 1).alias("one")
+    parts = ids.select(one).groupBy(F.bitmap_bucket_number("one").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("one")).alias("bits"))
+    bits = np.zeros(1 << WANTED_BITS, np.uint8)
+    for r in parts.collect():
+        own = np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8), bitorder="little")
+        bits[(r.bucket - 1) * len(own) : r.bucket * len(own)] = own
+    return bits
+
+
+def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
+    """(id, shingles) of the rows in ``wanted`` and some others; the texts are not shuffled for it."""
+    marked = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(1 << WANTED_BITS)).alias("place"))
+    packed = np.packbits(_wanted_bits(wanted))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(packed)
         for whole in batches:
+            whole = whole.filter(pa.array(bits[whole.column(2).to_numpy()].astype(np.bool_)))
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 sets = [shingle_set(v.as_py(), words) for v in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), _lists(sets)], ["id", "shingles"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, shingles array<long>")
+    return marked.mapInArrow(run, f"id {kind}, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -163,22 +182,27 @@ def _rarity(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, rarity: np.ndarray, similar: int) -> DataFrame:
-    """(shingle, id) of the first shingles of each set, rarest first."""
+    """(shingle, id, place, n) of the first shingles of each set, rarest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, out = [], []
+            rows, out, place, n = [], [], [], []
             for row, value in enumerate(batch.column(1)):
                 s = value.values.to_numpy()
                 first = len(s) - -(-similar * len(s) // 100) + 1
                 order = np.lexsort((s, rarity[s & (len(rarity) - 1)]))[:first]
                 out.append(s[order])
                 rows += [row] * len(order)
+                place += range(len(order))
+                n += [len(s)] * len(order)
             flat = np.concatenate(out) if out else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(flat, pa.int64())], ["id", "shingle"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(flat, pa.int64()), pa.array(place, pa.int32()), pa.array(n, pa.int32())],
+                ["id", "shingle", "place", "n"],
+            )
 
     kind = sets.schema["id"].dataType.simpleString()
-    return sets.select("id", "shingles").mapInArrow(run, f"id {kind}, shingle long")
+    return sets.select("id", "shingles").mapInArrow(run, f"id {kind}, shingle long, place int, n int")
 
 
 def near_groups(docs: DataFrame, words: int = 5, similar: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +234,7 @@ def near_groups(docs: DataFrame, words: int = 5, similar: int = 80, id_col: str
     shared = stored(members.join(lists, "key"), "lists")  # only lists of two or more
     stars = stored(shared.where(F.col("hub") != F.col("id")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     wanted = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    sets = stored(_sets(source.join(wanted, "id", "left_semi"), words), "sets")
+    sets = stored(_sets(source.where(F.col("id").isNotNull()), words, wanted), "sets")
     reps_wanted = reps.select("id", "n", "sketch").join(wanted, "id", "left_semi")
 
     # rows that share an id but not a text make one document of their classes
@@ -228,7 +252,7 @@ def near_groups(docs: DataFrame, words: int = 5, similar: int = 80, id_col: str
     open_ids = named.join(open_keys, "key", "left_semi").select("id").distinct()
     open_sets = stored(sets.join(open_ids, "id", "left_semi"), "open")
     rare = _prefixes(open_sets, _rarity(open_sets), similar)
-    rare = stored(rare.join(labels, "id", "left").select("shingle", "id", label.alias("label")), "prefixes")
+    rare = stored(rare.join(labels, "id", "left").select("shingle", "id", "place", "n", label.alias("label")), "prefixes")
     # of each list all pairs across components, found from the members outside its largest component
     by_label = rare.groupBy("shingle", "label").agg(F.count("*").alias("n"))
     largest = (
@@ -238,11 +262,14 @@ def near_groups(docs: DataFrame, words: int = 5, similar: int = 80, id_col: str
         .select("shingle", "main")
     )
     mixed = stored(rare.join(largest, "shingle"), "mixed")
-    left = mixed.where("label != main").select("shingle", F.col("id").alias("x"), F.col("label").alias("lx"))
-    right = mixed.select("shingle", F.col("id").alias("y"), F.col("label").alias("ly"), "main")
+    left = mixed.where("label != main").select("shingle", F.col("id").alias("x"), F.col("label").alias("lx"), F.col("place").alias("px"), F.col("n").alias("nx"))
+    right = mixed.select("shingle", F.col("id").alias("y"), F.col("label").alias("ly"), F.col("place").alias("py"), F.col("n").alias("ny"), "main")
+    # linked sets share at least so many shingles, hence meet first at places that leave as many
+    least = F.ceil(similar * (F.col("nx") + F.col("ny")) / (100 + similar) - 1e-9)
     across = (
         left.join(right, "shingle")
         .where((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))))
+        .where((F.col("px") <= F.col("nx") - least) & (F.col("py") <= F.col("ny") - least))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
         .join(stars, ["a", "b"], "left_anti")
