@@ -30,6 +30,8 @@ class Options:
     rows: int | None = None
     append: bool = False
     truncate: bool = False
+    #: "construct": unique text, uuids and integers carry their row and need no shuffle; "repair": only later duplicates change
+    uniqueness: str = "construct"
     #: rows that exist already, by table; parents outside the plan and, when appending, the values to go on from
     existing: dict[str, DataFrame] = field(default_factory=dict)
 
@@ -168,6 +170,8 @@ def make_table(
             out = unique.append_counter(out, column.name, ID, held)
         elif held is not None and cls != "uuid":
             out = unique.append_unique(out, column.name, ID, held, folded, column.max_len)
+        elif options.uniqueness == "construct" and cls in ("string", "uuid", "int") and held is None:
+            out = out.withColumn(column.name, unique.constructed(F.col(column.name), row, cls, n, cp.min, cp.max, own, column.max_len).cast(model.spark_type(column)))
         elif cls in ("string", "enum", "uuid", "int", "float"):
             out = unique.repair(out, column.name, ID, "string" if cls == "enum" else cls, folded, column.max_len, column.scale if column.precision else None)
         elif cls == "time":

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowforge.functions.scalars import fold
+from rowforge.operators.relate import stride_for
 
 ROUNDS = 3
 
@@ -30,6 +31,24 @@ def suffixed(value: Column, number: Column, max_len: int = 0) -> Column:
     return F.when(mail, fit(local, "+", F.concat(tail, domain))).otherwise(fit(value, "-", tail))
 
 
+def constructed(value: Column, row: Column, kind: str, n: int, low, high, seed: int, max_len: int = 0) -> Column:
+    """Values that cannot repeat, without looking at other rows: text ends in the row, a uuid's last part is the row,
+    integers step through their range (from its start upwards if it is too small for ``n`` rows)."""
+    if kind == "uuid":
+        return F.when(value.isNotNull(), F.concat(F.substring(value, 1, 24), F.lpad(F.lower(F.hex(row)), 12, "0")))
+    if kind == "string":
+        if max_len and max_len < len(str(max(0, n - 1))):
+            raise RepairError(f"{n} unique values do not fit {max_len} characters")
+        return suffixed(value, row, max_len)
+    first = int(low) if low is not None else 1
+    space = (int(high) if high is not None else first + 998) - first + 1
+    if space < n:
+        return F.when(value.isNotNull(), row + first)
+    step = stride_for(space, seed)
+    step = step if space * step < 2**63 else 1
+    return F.when(value.isNotNull(), F.pmod(row * step + seed % space, F.lit(space)) + first)
+
+
 def _keyed(column: str, folded: bool) -> Column:
     return fold(F.col(column)) if folded else F.col(column)
 

@@ -123,6 +123,21 @@ def test_repair_gives_way_to_originals(spark):
         unique.repair(numbers, "v", "id", "bool")
 
 
+def test_uniqueness_by_construction_and_by_repair(spark):
+    schema = ddl.parse_schema("CREATE TABLE t (u uuid NOT NULL UNIQUE, code int NOT NULL UNIQUE, few int NOT NULL UNIQUE, word varchar(6) NOT NULL UNIQUE, tiny varchar(2) NOT NULL)")
+    plan = infer(schema)
+    plan.seed, plan.tables["t"].rows = 5, 300
+    plan.tables["t"].columns["few"].min, plan.tables["t"].columns["few"].max = 1, 10
+    for how in ("construct", "repair"):
+        made = run(spark, schema, plan, Options(uniqueness=how)).tables["t"]
+        for column in ("u", "code", "few", "word"):
+            assert checks.uniqueness(made, [column]).first().extra_rows == 0, (how, column)
+        assert made.where("length(word) > 6 OR NOT u RLIKE '^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$'").isEmpty()
+    plan.tables["t"].columns["tiny"].unique = True
+    with pytest.raises(unique.RepairError):
+        run(spark, schema, plan)
+
+
 def test_append(spark):
     schema = ddl.parse_schema("CREATE TABLE t (id serial PRIMARY KEY, code int NOT NULL UNIQUE, email varchar(40) NOT NULL UNIQUE)")
     plan = infer(schema)
