@@ -12,8 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowforge.llm.tokenizers import held
+
 #: rows of each label that the fit reads at most, and characters of each
 SAMPLE_ROWS, SAMPLE_CHARS = 2_000, 8_192
+#: rows handled together in a worker
+BATCH_ROWS = 1_000
 #: compressed size at which a text counts as half short
 SHORT_BYTES = 64
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 112_640, 1_024, 3
@@ -158,7 +162,8 @@ def score_quality(
     n_keep = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        held("quality", dict)
+        for batch in (whole.slice(at, BATCH_ROWS) for whole in batches for at in range(0, whole.num_rows, BATCH_ROWS)):
             if model is None:
                 scores = [flat] * batch.num_rows
             else:

@@ -36,7 +36,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, id_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = shared_encoder(tokenizer_path), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in batches:
+        for batch in (whole.slice(at, 1_000) for whole in batches for at in range(0, whole.num_rows, 1_000)):
             rows, piece, start, length, crc, nth = [], [], [], [], [], []
             texts = [value.as_py() or "" for value in batch.column(1)]
             for row, text in enumerate(texts):

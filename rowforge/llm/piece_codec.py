@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm.tokenizers import SPACE, _Memo, pack_ids
+from rowforge.llm.tokenizers import SPACE, _Memo, held, pack_ids
 
 #: Spark stops handing rows to Python below this many, so that long texts stay few
 BATCH_ROWS = 1_000
@@ -183,10 +182,9 @@ class ViterbiStream:
         return self._commit(len(self.pieces) - 1)
 
 
-@lru_cache(maxsize=1)
 def shared_codec(path: str) -> PieceCodec:
     """One for all tasks of a worker."""
-    return PieceCodec(path)
+    return held(("codec", path), lambda: PieceCodec(path))
 
 
 class PieceCodec:

@@ -98,7 +98,7 @@ def count_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = shared_library(model_path)
-        for batch in batches:
+        for batch in (whole.slice(at, 1_000) for whole in batches for at in range(0, whole.num_rows, 1_000)):
             n_bytes, n_tokens = [], []
             texts = [value.as_py() or "" for value in batch.column(1)]
             library.learn([t for t in texts if len(t) <= chunk_chars])

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import sys
 from array import array
-from functools import lru_cache
 
 import numpy as np
 
@@ -184,13 +183,22 @@ class PieceLibrary:
         return sum(map(self.counts.__getitem__, text.split(" ")))
 
 
-@lru_cache(maxsize=1)
+_HELD: dict = {}
+
+
+def held(key, make):
+    """The one large thing that a worker keeps from task to task; another operator's goes first."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def shared_encoder(path: str) -> WordEncoder:
     """One for all tasks of a worker."""
-    return WordEncoder(path)
+    return held(("words", path), lambda: WordEncoder(path))
 
 
-@lru_cache(maxsize=1)
 def shared_library(path: str) -> PieceLibrary:
     """One for all tasks of a worker."""
-    return PieceLibrary(path)
+    return held(("pieces", path), lambda: PieceLibrary(path))
