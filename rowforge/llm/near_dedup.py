@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.llm.storage import drop_stored, stored
-from rowforge.llm.tokenizers import _Memo
+from rowforge.llm.tokenizers import _Memo, held
 
 KEEP, RUN = 48, 3
 #: the estimate on KEEP values strays from the truth by more than this about once in 1e9 pairs
@@ -34,11 +33,10 @@ RARITY_BITS = 20
 WANTED_BITS = 22
 
 
-@lru_cache(maxsize=1)
 def _word_hashes() -> _Memo:
     import xxhash
 
-    return _Memo(lambda word: xxhash.xxh3_64_intdigest(word))
+    return held("word hashes", lambda: _Memo(xxhash.xxh3_64_intdigest, 100_000))
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -117,21 +115,36 @@ def _sets(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
     return marked.mapInArrow(run, f"id {kind}, shingles array<long>")
 
 
+def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of ``ids`` and of few others, picked out where they lie."""
+    packed = np.packbits(_wanted_bits(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(packed)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[batch.column(2).to_numpy()].astype(np.bool_))).select([0, 1])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.select("id", "shingles", F.pmod(F.xxhash64("id"), F.lit(1 << WANTED_BITS)).alias("place")).mapInArrow(run, f"id {kind}, shingles array<long>")
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar: by sizes, by the union's sketch, then by the sets."""
     side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, KEEP)
     both = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
-    likely = (
+    likely = stored(
         pairs.join(side("a"), "a")
         .where(F.col("n_a") > 0)
         .join(side("b"), "b")
         .where(100 * F.least("n_a", "n_b") >= similar * F.greatest("n_a", "n_b"))
         .where(both >= (similar / 100 - ESTIMATE_SLACK) * F.size(union))
         .select("a", "b")
-        .distinct()
+        .distinct(),
+        "likely",
     )
-    own = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"w_{c}"))
+    needed = _only(sets, likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct())
+    own = lambda c: needed.select(F.col("id").alias(c), F.col("shingles").alias(f"w_{c}"))
     shared = F.size(F.array_intersect("w_a", "w_b"))
     return (
         likely.join(own("a"), "a")
@@ -253,6 +266,8 @@ def near_groups(docs: DataFrame, words: int = 5, similar: int = 80, id_col: str
     open_sets = stored(sets.join(open_ids, "id", "left_semi"), "open")
     rare = _prefixes(open_sets, _rarity(open_sets), similar)
     rare = stored(rare.join(labels, "id", "left").select("shingle", "id", "place", "n", label.alias("label")), "prefixes")
+    drop_stored(open_sets)
+    drop_stored(shared)
     # of each list all pairs across components, found from the members outside its largest component
     by_label = rare.groupBy("shingle", "label").agg(F.count("*").alias("n"))
     largest = (
@@ -275,6 +290,8 @@ def near_groups(docs: DataFrame, words: int = 5, similar: int = 80, id_col: str
         .join(stars, ["a", "b"], "left_anti")
     )
     more = stored(_confirmed(across, reps_wanted, sets, similar), "more")
+    for done in (stars, sets, rare, mixed):
+        drop_stored(done)
     if not more.isEmpty():
         labels = components(edges.union(more))
 
