@@ -42,6 +42,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def drop_stored(df: DataFrame) -> None:
     """Remove the files of a table made by :func:`stored` that is no longer read."""
     spark = df.sparkSession
-    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:  # an empty table's folder goes at the end
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
