@@ -70,3 +70,14 @@ def test_classifier_tells_labels_apart(spark):
     assert score_quality(docs.limit(0), labels).count() == 0
     assert {r.score for r in score_quality(docs, labels.limit(0)).collect()} == {0.5}
     assert {r.score for r in score_quality(docs, labels.where("quality = 1")).collect()} == {1.0}
+
+
+def test_copies_move_no_band(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 150), "fr") for i in range(120)]
+    one = " ".join(rng.choice("went home people light".split()) for _ in range(150))
+    docs = spark.createDataFrame(rows + [(1000 + i, one, "fr") for i in range(300)], "doc_id long, text string, lang string").repartition(3)
+    out = score_rules(docs).collect()
+    alone = {r.doc_id: r.log_perplexity for r in score_rules(docs.where("doc_id <= 1000")).collect()}
+    assert len(out) == 420 and all(r.kept for r in out if r.doc_id < 1000)
+    assert all(r.log_perplexity == pytest.approx(alone[min(r.doc_id, 1000)]) for r in out)
