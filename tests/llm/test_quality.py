@@ -81,3 +81,17 @@ def test_copies_move_no_band(spark):
     alone = {r.doc_id: r.log_perplexity for r in score_rules(docs.where("doc_id <= 1000")).collect()}
     assert len(out) == 420 and all(r.kept for r in out if r.doc_id < 1000)
     assert all(r.log_perplexity == pytest.approx(alone[min(r.doc_id, 1000)]) for r in out)
+
+
+def test_unknown_tags_do_not_judge_themselves(spark):
+    rng = random.Random(5)
+    german = lambda: " ".join(rng.choice("zwischen wurde nicht schon jahr strasse kuchen gross zeit ganz".split()) for _ in range(150))
+    junk = lambda: " ".join("".join(rng.choice("qxzjkvw#$%&") for _ in range(rng.randrange(2, 9))) for _ in range(150))
+    rows = [(i, prose(rng, 150), "en") for i in range(60)] + [(100 + i, german(), "de") for i in range(60)]
+    rows += [(200 + i, junk(), [None, "xx"][i % 2]) for i in range(60)] + [(300, junk(), "en"), (301, junk(), "de")]
+    rows += [(400, prose(rng, 150), None), (401, german(), "xx"), (402, german(), "en"), (403, prose(rng, 150), "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    out = {r.doc_id: r for r in score_rules(docs).collect()}
+    assert all(not r.base_failed and r.log_perplexity is not None for r in out.values())
+    assert {i for i, r in out.items() if not r.kept} == {i for i in out if 200 <= i < 400}
+    assert score_rules(docs.where("lang IS NULL")).where("kept").count() > 0
