@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 class Kind:
     """A pattern, the SQL condition on a match ``h``, its score, and the words that raise the score.
 
-    The patterns match what the plain forms in the docstring of
-    :func:`find_spans` match, but start only where a run of their characters
+    The patterns of the base kinds match what the plain forms in the docstring
+    of :func:`find_spans` match, but start only where a run of their characters
     starts (or the last match ended) and never give characters back, so that
-    long runs cost no more than their length and no recursion.
+    long runs cost no more than their length and no recursion.  That of iban
+    takes as many characters as the country's numbers have, whatever follows.
     """
 
     name: str
@@ -43,6 +44,27 @@ _MOD97 = (
     "if(c = '', m, if(c <= '9', (m * 10 + ascii(c) - 48) % 97, (m * 100 + ascii(c) - 55) % 97))) = 1"
 )
 
+#: characters of a country's numbers, by length (the SWIFT registry and the countries that use numbers of that form without it)
+_IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Numbers of the countries' lengths; other letters take all that can belong to them.  No number takes in the head of another that is whole."""
+    known = "|".join(countries.replace(" ", "|") for countries in _IBAN_COUNTRIES.values())
+
+    def ways(step: str) -> str:
+        return "|".join(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:{step}){{{n - 4}}}+" for n, countries in _IBAN_COUNTRIES.items())
+
+    whole = rf"(?:{ways(r'[\x20]?[A-Z0-9]')})(?![A-Za-z0-9])"
+    step = rf"(?:[\x20](?!{whole}))?[A-Z0-9]"
+    return rf"(?<![A-Za-z0-9])(?:{ways(step)}|(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:{step}){{11,30}}+)(?![A-Za-z0-9])"
+
+
 #: the base kinds, in their order
 BASE = (
     Kind(
@@ -70,7 +92,7 @@ BASE = (
 ADDED = (
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        _iban_pattern(),
         f"length({_IBAN}) <= 34 and {_MOD97}", 0.8, "iban|bank|account|konto|compte|cuenta",
     ),
     Kind(
@@ -118,8 +140,8 @@ def find_spans(docs: DataFrame, text_col: str = "text", added: tuple[Kind, ...]
     exclusive: email ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``; ip
     ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)``, parts at most 255; card
     ``[0-9]([\\x20-]?[0-9])+``, 12 to 19 digits that pass Luhn; phone
-    ``\\+[0-9][\\x20().0-9-]+[0-9]``, 9 to 15 digits.  Added kinds: iban (mod-97)
-    and ssn (only with a word such as "SSN" nearby).  Null texts count as
+    ``\\+[0-9][\\x20().0-9-]+[0-9]``, 9 to 15 digits.  Added kinds: iban (the
+    country's length, mod-97) and ssn (only with a word such as "SSN" nearby).  Null texts count as
     empty and have no spans.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))

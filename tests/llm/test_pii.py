@@ -65,3 +65,19 @@ def test_added_kinds_context_and_redaction(spark):
     clean = {r.doc_id: r.text for r in redact(docs).collect()}
     assert clean[1] == "Pay to IBAN [IBAN] now" and clean[5] == "mail [EMAIL], [PHONE]!" and clean[6] is None and clean[4] == texts[4]
     assert pii_report(docs.limit(0)).count() == 0 and redact(docs).columns == docs.columns
+
+
+def test_iban_before_capitals_and_numbers(spark):
+    number = "DE89370400440532013000"
+    grouped = "DE89 3704 0044 0532 0130 00"
+    texts = {
+        1: f"IBAN {number} Please pay", 2: f"{grouped} BIC COBADEFF", 3: f"{number} EUR 100", 4: f"{number} {number}", 5: f"AB12 {number}", 6: f"SE20 {grouped}",
+        7: f"{number}X", 8: "NO93 8601 1117 947 1 NL91ABNA0417164300 A", 9: "XX93 3704 0044 0532 0130 00", 10: f"{'AB12 ' * 3000}{grouped}", 11: "MT84MALT011000012345MTLCAST001S OK",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spans = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("iban")] for r in pii_report(docs).collect()}
+    assert spans == {
+        1: ["iban:5:27"], 2: ["iban:0:27"], 3: ["iban:0:22"], 4: ["iban:0:22", "iban:23:45"], 5: ["iban:5:27"], 6: ["iban:5:32"],
+        7: [], 8: ["iban:0:18", "iban:21:39"], 9: [], 10: ["iban:15000:15027"], 11: ["iban:0:31"],
+    }
+    assert {r.doc_id: r.text for r in redact(docs).collect()}[1] == "IBAN [IBAN] Please pay"
