@@ -7,6 +7,8 @@ mean different things to different engines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import prod
 from re import _constants as sre
 from re import _parser as parser
 
@@ -111,11 +113,75 @@ def compile_pattern(pattern: str, row: Column, salt: int) -> Column:
     return F.concat(F.lit(""), *_Compiler(row, salt).sequence(tree, 0))
 
 
+class _Indexed(_Compiler):
+    """Compiles patterns of one shape only (letters of classes at fixed places), the last places by a number of the row."""
+
+    def __init__(self, row: Column, salt: int, digits: list[Column | None]):
+        super().__init__(row, salt)
+        self.digits = iter(digits)
+
+    def next(self, n: int) -> Column:
+        drawn, digit = super().next(n), next(self.digits)
+        return drawn if digit is None else digit
+
+
+def _places(nodes) -> list[int] | None:
+    """Sizes of the classes at the places of a pattern with one shape; None for others, where two ways can give one text."""
+    out: list[int] = []
+    for op, value in nodes:
+        if op in (sre.LITERAL, sre.AT):
+            continue
+        if op in (sre.IN, sre.NOT_LITERAL, sre.ANY):
+            size = len(_alphabet(list(value))) if op is sre.IN else 26 if op is sre.ANY else sum(ord(c) != value for c in PRINTABLE)
+            out += [size] if size > 1 else []
+            continue
+        if op is sre.SUBPATTERN:
+            inner = _places(value[-1])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT) and value[0] == value[1]:
+            inner = _places(value[2])
+            inner = inner * value[0] if inner is not None else None
+        else:
+            return None
+        if inner is None:
+            return None
+        out += inner
+    return out
+
+
+def value_space(pattern: str) -> int | None:
+    """How many texts a pattern of one shape gives; None for other patterns."""
+    places = _places(parser.parse(pattern))
+    return None if places is None else prod(places)
+
+
+def compile_unique(pattern: str, row: Column, salt: int, n: int, number: Callable[[int], Column]) -> Column:
+    """Texts of a pattern of one shape that cannot repeat in ``n`` rows; ``number(space)`` is the row's own place in ``space``.
+
+    The last places, as many as ``n`` needs and some more, spell that number; the others are drawn.
+    """
+    tree = parser.parse(pattern)
+    places = _places(tree)
+    first, space = len(places), 1
+    while first and (space < n or space * places[first - 1] < 2**30):
+        first -= 1
+        space *= places[first]
+    own, digits = number(space), [None] * first
+    for size in places[first:]:
+        space //= size
+        digits.append(F.pmod(_quotient(own, space), F.lit(size)))
+    return F.concat(F.lit(""), *_Indexed(row, salt, digits).sequence(tree, 0))
+
+
 def check_pattern(pattern: str) -> None:
     """Raise PatternError if ``pattern`` cannot be generated from."""
     _Probe(None, 0).sequence(parser.parse(pattern) if _parses(pattern) else _fail(pattern), 0)
 
 
+def _quotient(value: Column, by: int) -> Column:
+    """Whole quotient of longs."""
+    return F.call_function("div", value, F.lit(by).cast("long")) if by > 1 else value
+
+
 def _parses(pattern: str) -> bool:
     try:
         parser.parse(pattern)

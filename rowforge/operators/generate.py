@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rowforge.functions.draw import below, salt, table_seed, unit
 from rowforge.functions.kinds import Draws
 from rowforge.functions.kinds import generate as generate_kind
-from rowforge.functions.pattern import compile_pattern
+from rowforge.functions.pattern import compile_pattern, compile_unique, value_space
 from rowforge.functions.scalars import clamp_text, round_scale
 from rowforge.operators import relate, unique
 from rowforge.plans import model
@@ -165,7 +165,7 @@ def make_table(
         if cp.generator == "sequence" and held is None:
             continue
         if cp.generator == "pattern":
-            out = _redraw(out, column, cp, own, plan.locale, held)
+            out = _unique_pattern(out, name, column, cp, own, n, held, options)
         elif held is not None and cls in ("int", "float"):
             out = unique.append_counter(out, column.name, ID, held)
         elif held is not None and cls != "uuid":
@@ -193,19 +193,34 @@ def below_offset(seed: int, size: int) -> int:
     return seed % size
 
 
-def _redraw(out: DataFrame, column: model.Column, cp: ColumnPlan, seed: int, locale: str, held: DataFrame | None) -> DataFrame:
+def _unique_pattern(out: DataFrame, table: str, column: model.Column, cp: ColumnPlan, seed: int, n: int, held: DataFrame | None, options: Options) -> DataFrame:
+    """Patterns of one shape number their values; duplicates of the others are drawn again, and refused if that does not end them."""
+    space = value_space(cp.pattern) if column.cls == "string" and not column.unique_fold else None
+    if space is not None and space < n and not cp.null_rate:
+        raise GenerationError(f"{table}.{column.name}: {n} rows cannot have unique values of a pattern with {space}")
+    if space is None or space < n or held is not None or options.uniqueness != "construct":
+        return _redraw(out, column, cp, seed, held)
+    own = salt(seed, column.name)
+    number = lambda size: unique.constructed(F.lit(0), F.col(ID), "int", n, 0, size - 1, own)
+    value = compile_unique(cp.pattern, F.col(ID), own, n, number)
+    return out.withColumn(column.name, F.when(F.col(column.name).isNotNull(), value))
+
+
+def _redraw(out: DataFrame, column: model.Column, cp: ColumnPlan, seed: int, held: DataFrame | None) -> DataFrame:
     """Duplicates of a pattern are drawn again: a suffix would break it."""
+    key, known = unique._keyed(column.name, column.unique_fold), None
+    if held is not None:
+        known = held.select(key.alias("_held")).where("_held IS NOT NULL").distinct()
     for attempt in range(1, unique.ROUNDS + 2):
-        if held is not None:
-            known = held.select(F.col(column.name).alias("_held")).where("_held IS NOT NULL").distinct()
-            out = out.join(known, F.col(column.name) == F.col("_held"), "left")
+        if known is not None:
+            out = out.join(known, key == F.col("_held"), "left")
         else:
             out = out.withColumn("_held", F.lit(None).cast("string"))
-        first = unique.Window.partitionBy(column.name).orderBy(ID)
+        first = unique.Window.partitionBy(key).orderBy(ID)
         late = F.col(column.name).isNotNull() & ((F.row_number().over(first) > 1) | F.col("_held").isNotNull())
         other = compile_pattern(cp.pattern, F.col(ID), salt(seed, column.name, f"attempt {attempt}"))
         out = out.withColumn("_late", late).withColumn(column.name, F.when(F.col("_late"), other).otherwise(F.col(column.name))).drop("_late", "_held")
-    return out
+    return unique.refuse_duplicates(out, column.name, column.unique_fold, known)
 
 
 def generate(spark: SparkSession, schema: model.Schema, plan: Plan, options: Options | None = None, splits: int | None = None) -> Result:

@@ -58,7 +58,8 @@ def repair(df: DataFrame, column: str, id_col: str, kind: str, folded: bool = Fa
 
     Text takes a suffix from the row id, integers go on after the largest
     value, decimals by steps of their last place.  A changed value that meets
-    another is changed again, a bounded number of times.
+    another is changed again, a bounded number of times; what is duplicated
+    after that is refused.
     """
     if kind not in ("string", "uuid", "int", "float"):
         raise RepairError(f"{column}: no repair for {kind}")
@@ -69,14 +70,24 @@ def repair(df: DataFrame, column: str, id_col: str, kind: str, folded: bool = Fa
         late = (F.row_number().over(first) > 1) & F.col(column).isNotNull()
         step = 1 if kind == "int" or scale is None else 10.0**-scale
         value = F.lit(top) + (F.col(id_col) + 1) * step
-        return out.withColumn(column, F.when(late, value.cast(df.schema[column].dataType)).otherwise(F.col(column))).drop("_turn", "_original")
+        out = out.withColumn(column, F.when(late, value.cast(df.schema[column].dataType)).otherwise(F.col(column))).drop("_turn", "_original")
+        return refuse_duplicates(out, column, folded)
     for turn in range(1, ROUNDS + 1):
         late = (F.row_number().over(first) > 1) & F.col(column).isNotNull()
         number = F.col(id_col) if turn == 1 else F.concat_ws("-", F.col(id_col).cast("string"), F.lit(turn).cast("string"))
         out = out.withColumn("_late", late)
         out = out.withColumn(column, F.when(F.col("_late"), suffixed(F.col("_original"), number, max_len)).otherwise(F.col(column)))
         out = out.withColumn("_turn", F.when(F.col("_late"), F.lit(turn)).otherwise(F.col("_turn"))).drop("_late")
-    return out.drop("_turn", "_original")
+    return refuse_duplicates(out.drop("_turn", "_original"), column, folded)
+
+
+def refuse_duplicates(df: DataFrame, column: str, folded: bool = False, held: DataFrame | None = None) -> DataFrame:
+    """``df``, unless ``column`` has duplicates, or values among ``held`` (a column ``_held``)."""
+    if still_duplicated(df, column, folded):
+        raise RepairError(f"{column}: values are still duplicated after {ROUNDS} rounds of repair")
+    if held is not None and not df.join(held, _keyed(column, folded) == F.col("_held"), "left_semi").isEmpty():
+        raise RepairError(f"{column}: values still meet existing ones after {ROUNDS} rounds of repair")
+    return df
 
 
 def still_duplicated(df: DataFrame, column: str, folded: bool = False) -> bool:
@@ -95,4 +106,5 @@ def append_unique(df: DataFrame, column: str, id_col: str, existing: DataFrame,
     held = existing.select(_keyed(column, folded).alias("_held")).where("_held IS NOT NULL").distinct()
     met = df.join(held, _keyed(column, folded) == F.col("_held"), "left")
     changed = F.when(F.col("_held").isNotNull(), suffixed(F.col(column), F.col(id_col), max_len)).otherwise(F.col(column))
-    return repair(met.withColumn(column, changed).drop("_held"), column, id_col, "string", folded, max_len)
+    out = repair(met.withColumn(column, changed).drop("_held"), column, id_col, "string", folded, max_len)
+    return refuse_duplicates(out, column, folded, held)

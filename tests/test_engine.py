@@ -232,3 +232,36 @@ def test_checks_on_nulls(spark):
     assert checks.differences(df, df).isEmpty() and checks.differences(df, empty).count() == 4
     assert checks.check_violations(df, "k > 1").first().violations == 2
     assert table_seed(0, "") != 0
+
+
+def test_unique_patterns_are_unique_or_refused(spark):
+    schema = ddl.parse_schema("CREATE TABLE a (nick varchar(30) NOT NULL UNIQUE, code varchar(40) NOT NULL UNIQUE, word varchar(30) NOT NULL UNIQUE)")
+    plan = infer(schema)
+    plan.seed, plan.tables["a"].rows = 1, 500
+    columns = plan.tables["a"].columns
+    columns["nick"] = ColumnPlan("pattern", pattern="^[a-z]{2}$", unique=True)
+    columns["code"] = ColumnPlan("pattern", pattern=r"^(AB|CD)?x\d{9}-[A-F]{4}$", unique=True)
+    columns["word"] = ColumnPlan("pattern", pattern=r"^[A-Z]{3}-(\d{4}[a-f]){3}$", unique=True)
+    made = run(spark, schema, plan).tables["a"]
+    for r in made.collect():
+        assert re.fullmatch("[a-z]{2}", r.nick) and re.fullmatch(r"(AB|CD)?x\d{9}-[A-F]{4}", r.code) and re.fullmatch(r"[A-Z]{3}-(\d{4}[a-f]){3}", r.word)
+    for name in ("nick", "code", "word"):
+        assert checks.uniqueness(made, [name]).first().extra_rows == 0, name
+    plan.tables["a"].rows = 677
+    with pytest.raises(GenerationError, match="677 rows cannot"):
+        run(spark, schema, plan)
+    plan.tables["a"].rows = 500
+    with pytest.raises(unique.RepairError, match="nick: values are still duplicated"):
+        run(spark, schema, plan, Options(uniqueness="repair"))
+    columns["nick"] = ColumnPlan("pattern", pattern="^[ab]{1,3}$", unique=True)
+    with pytest.raises(unique.RepairError, match="nick: values are still duplicated"):
+        run(spark, schema, plan)
+
+
+def test_repair_refuses_what_it_cannot_end(spark):
+    short = spark.createDataFrame([(i, "a") for i in range(12)], "id long, v string")
+    with pytest.raises(unique.RepairError, match="still duplicated"):
+        unique.repair(short, "v", "id", "string", max_len=1)
+    new, held = spark.createDataFrame([(1, "a")], "id long, v string"), spark.createDataFrame([("a",), ("a-1",)], "v string")
+    with pytest.raises(unique.RepairError, match="existing"):
+        unique.append_unique(new, "v", "id", held)
