@@ -79,9 +79,11 @@ class WordEncoder:
     """``tokenizers`` library ids as little-endian unsigned 32-bit bytes.
 
     For tokenizers that drop white space and lower-case (no token spans white
-    space, so that words can be encoded one by one).  ASCII letters are
-    lowered before the look-up, except in texts that hold ``<|``, where special
-    strings are matched on the text as it is.
+    space, so that words can be encoded one by one).  Words are lowered before
+    the look-up only where the whole text is ASCII: the library composes
+    characters first, and a capital may not compose with a mark that its small
+    letter composes with.  Texts that hold ``<|`` stay as they are too, as
+    special strings are matched before anything is lowered.
     """
 
     def __init__(self, path: str):
@@ -116,7 +118,7 @@ class WordEncoder:
     @staticmethod
     def _raw(text: str) -> bytes:
         raw = text.encode("utf-8")
-        return raw if b"<|" in raw else raw.lower()
+        return raw.lower() if len(raw) == len(text) and b"<|" not in raw else raw
 
     def encode(self, text: str) -> bytes:
         raw = self._raw(text)

@@ -39,6 +39,22 @@ def test_word_encoder_equals_library():
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want, text
 
 
+def test_word_encoder_with_capitals_and_marks():
+    """Marks that compose with a small letter only: the library composes first and lowers then."""
+    encoder, rng = WordEncoder(WORDS), random.Random(11)
+    marks, letters = [chr(c) for c in range(0x300, 0x370)], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefgjhtwyzÄÖéßİıK"
+
+    def word():
+        out = []
+        for _ in range(rng.randrange(1, 6)):
+            out.append(rng.choice(letters) + rng.choice([rng.choice(marks), "", "", "", rng.choice(".,;:!?'-019 \x85日글ﬁ")]))
+        return "".join(out)
+
+    made = ["J\u030c", "T\u0308", "H\u0331 x", "W\u030a", "Y\u030a"] + [" ".join(word() for _ in range(rng.randrange(1, 5))) for _ in range(20_000)]
+    for text, want in zip(made, encoder.library.encode_batch(made, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == want.ids, text
+
+
 def test_piece_counts_equal_library(library):
     counter = PieceLibrary(MODEL)
     counter.learn(texts()[::2])
