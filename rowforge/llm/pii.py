@@ -2,7 +2,8 @@
 
 DataFrame functions only.  ``split`` and ``regexp_extract_all`` walk the same
 matches, so that the text between matches and the matches themselves give the
-offsets of both.
+offsets of both.  Arrays grow within blocks of BLOCK matches only, so that the
+work stays in proportion to a text and its matches.
 """
 
 from __future__ import annotations
@@ -104,33 +105,49 @@ ADDED = (
 #: an added span counts from this score on; a nearby word adds so much; so many characters before and after are near
 ENOUGH, NEARBY, BEFORE, AFTER = 0.6, 0.35, 48, 24
 
+#: matches that are walked one by one; each such walk copies what it has found so far
+BLOCK = 256
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
+_NO_SPANS = f"cast(array() as {_SPAN})"
+
+
+def _by_block(n: str, value: str) -> str:
+    """SQL of an array with ``value`` for each block ``b`` of ``n`` items, of which there is one at least; its places are ``places``."""
+    places = f"sequence(b * {BLOCK}, least({n}, (b + 1) * {BLOCK}) - 1)"
+    return f"transform(sequence(0, cast(({n} - 1) div {BLOCK} as int)), b -> {value.replace('places', places)})"
+
+
+def _walk(n: str, before: str, step: str) -> str:
+    """SQL of the arrays ``out`` of a walk over all items ``q``; ``at`` is what ``before`` says at the start of each block."""
+    return f"flatten({_by_block(n, f'aggregate(places, named_struct({before}), (a, q) -> named_struct({step}), a -> a.out)')})"
 
 
 def _spans(kind: Kind, rank: int, text: str) -> Column:
     """Confirmed spans of one kind in the text column named ``text``."""
     quoted = kind.pattern.replace("\\", "\\\\").replace("'", "\\'")
     least = 0.0 if rank < len(BASE) else ENOUGH
-    score = (
-        f"round({kind.score} + if(lower(concat(right(x.gap, {BEFORE}), ' ', left(x.after, {AFTER}))) rlike '\\\\b({kind.words})\\\\b', {NEARBY}, 0.0), 2)"
+    condition = kind.condition.replace("h, ", "m.h[q], ").replace("(h)", "(m.h[q])")
+    # what is near a match may lie beyond its neighbours; matches have four characters at least
+    reach = range(1, -(-max(BEFORE, AFTER) // 4) + 1)
+    before = ", ".join([f"if(q >= {d}, concat(right(m.g[q - {d}], {BEFORE}), m.h[q - {d}]), '')" for d in reversed(reach)] + [f"right(m.g[q], {BEFORE})"])
+    after = ", ".join([f"left(m.g[q + 1], {AFTER})"] + [f"if(q + {d} < size(m.h), concat(m.h[q + {d}], left(m.g[q + {d} + 1], {AFTER})), '')" for d in reach])
+    near = f"concat(right(concat({before}), {BEFORE}), ' ', left(concat({after}), {AFTER}))"
+    score = f"least(1.0D, cast(round({kind.score} + if(lower({near}) rlike '\\\\b({kind.words})\\\\b', {NEARBY}, 0.0), 2) as double))"
+    start, end = "a.at + length(m.g[q])", "a.at + length(m.g[q]) + length(m.h[q])"
+    span = f"array(named_struct('start', {start}, 'rank', {rank}, 'end', {end}, 'kind', '{kind.name}', 'score', {score}))"
+    sizes = _by_block("size(m.h)", "aggregate(places, 0, (n, q) -> n + length(m.g[q]) + length(m.h[q]))")
+    found = _walk(
+        "size(m.h)",
+        f"'at', aggregate(slice(m.sizes, 1, b), 0, (n, x) -> n + x), 'out', {_NO_SPANS}",
+        f"'at', {end}, 'out', concat(a.out, if({condition}, {span}, {_NO_SPANS}))",
     )
-    condition = kind.condition.replace("h, ", "x.h, ").replace("(h)", "(x.h)")
-    found = f"""
-      aggregate(
-        zip_with(
-          zip_with(regexp_extract_all({text}, '{quoted}', 0), split({text}, '{quoted}', -1), (h, g) -> named_struct('h', h, 'gap', g)),
-          slice(split({text}, '{quoted}', -1), 2, 1000000000),
-          (p, g) -> named_struct('h', p.h, 'gap', p.gap, 'after', g)),
-        named_struct('at', 0, 'out', cast(array() as {_SPAN})),
-        (a, x) -> if(x.h is null, a, named_struct(
-          'at', a.at + length(x.gap) + length(x.h),
-          'out', if({condition} and {score} >= {least}D,
-            concat(a.out, array(named_struct('start', a.at + length(x.gap), 'rank', {rank}, 'end', a.at + length(x.gap) + length(x.h), 'kind', '{kind.name}', 'score', least(1.0D, cast({score} as double))))),
-            a.out))),
-        a -> a.out)"""
-    empty = f"cast(array() as {_SPAN})"
+    matches = f"named_struct('h', regexp_extract_all({text}, '{quoted}', 0), 'g', split({text}, '{quoted}', -1))"
+    sized = f"transform(array({matches}), m -> named_struct('h', m.h, 'g', m.g, 'sizes', if(size(m.h) = 0, array(0), {sizes})))"
+    spans = f"transform({sized}, m -> if(size(m.h) = 0, {_NO_SPANS}, {found}))[0]"
+    if least:
+        spans = f"filter({spans}, s -> s.score >= {least}D)"
     asked = f"contains({text}, '{kind.needs}')" if kind.needs else f"{text} rlike '[0-9]{{2}}'"
-    return F.expr(f"if({asked}, {found}, {empty})")
+    return F.expr(f"if({asked}, {spans}, {_NO_SPANS})")
 
 
 def find_spans(docs: DataFrame, text_col: str = "text", added: tuple[Kind, ...] = ADDED) -> DataFrame:
@@ -141,8 +158,10 @@ def find_spans(docs: DataFrame, text_col: str = "text", added: tuple[Kind, ...]
     ``[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)``, parts at most 255; card
     ``[0-9]([\\x20-]?[0-9])+``, 12 to 19 digits that pass Luhn; phone
     ``\\+[0-9][\\x20().0-9-]+[0-9]``, 9 to 15 digits.  Added kinds: iban (the
-    country's length, mod-97) and ssn (only with a word such as "SSN" nearby).  Null texts count as
-    empty and have no spans.
+    country's length, mod-97) and ssn (only with a word such as "SSN" nearby).  Words are near
+    within BEFORE characters before and AFTER after, whatever else stands
+    there.  Null texts count as empty and have no spans; texts of any length
+    are searched whole, in time proportional to the text and its matches.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     kinds = [*BASE, *added]
@@ -182,14 +201,20 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     spans, empty and null ones stay as they are.
     """
     found = find_spans(docs, text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, span: Column) -> Column:
-        text = F.substring(F.col(text_col), acc["at"] + 1, span["start"] - acc["at"])
-        return F.when(
-            span["start"] >= acc["at"], F.struct(span["end"].alias("at"), F.concat(acc["out"], text, F.lit("["), F.upper(span["kind"]), F.lit("]")).alias("out"))
-        ).otherwise(F.struct(F.greatest(acc["at"], span["end"]).alias("at"), acc["out"].alias("out")))
-
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.length(text_col)))
-    clean = F.when(F.size("pii_spans") > 0, F.aggregate("pii_spans", start, step, rest)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, clean).drop("pii_spans")
+    own = f"`{text_col}`"
+    # spans that begin after the end of all before them lead; what overlaps them goes with them
+    ends = _by_block("size(p)", "aggregate(places, 0, (n, q) -> greatest(n, p[q].end))")
+    lead = "array(named_struct('from', a.at, 'to', p[q].start, 'kind', upper(p[q].kind)))"
+    leads = _walk(
+        "size(p)",
+        "'at', aggregate(slice(e, 1, b), 0, (n, x) -> greatest(n, x)), 'out', cast(array() as array<struct<from:int,to:int,kind:string>>)",
+        f"'at', greatest(a.at, p[q].end), 'out', if(p[q].start >= a.at, concat(a.out, {lead}), a.out)",
+    )
+    # a text is cut into the leads' blocks before it is cut at each lead
+    piece = "concat(substr(t, l[q].from - l[places[0]].from + 1, l[q].to - l[q].from), '[', l[q].kind, ']')"
+    block = f"substr({own}, l[places[0]].from + 1, l[array_max(places)].to - l[places[0]].from)"
+    pieces = _by_block("size(l)", f"transform(array({block}), t -> array_join(transform(places, q -> {piece}), ''))[0]")
+    bound = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
+    rest = f"substr({own}, array_max(transform(p, s -> s.end)) + 1)"
+    clean = bound("p", "pii_spans", bound("e", ends, f"concat({bound('l', leads, f'array_join({pieces}, {chr(39) * 2})')}, {rest})"))
+    return found.withColumn(text_col, F.expr(f"if(size(pii_spans) > 0, {clean}, {own})")).drop("pii_spans")

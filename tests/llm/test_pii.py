@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from rowforge.llm.pii import pii_report, redact
 
@@ -81,3 +82,39 @@ def test_iban_before_capitals_and_numbers(spark):
         7: [], 8: ["iban:0:18", "iban:21:39"], 9: [], 10: ["iban:15000:15027"], 11: ["iban:0:31"],
     }
     assert {r.doc_id: r.text for r in redact(docs).collect()}[1] == "IBAN [IBAN] Please pay"
+
+
+def test_redaction_against_brute_force(spark):
+    rng = random.Random(2)
+    pieces = ["x@y.zz", "1.2.3.4", "4111111111111111", "+12125550101", "SSN 219-09-9999", " ", "é", "😀", " and ", "DE89370400440532013000", "@", "9"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 30))) for _ in range(300)]
+    texts += ["".join(rng.choice(pieces) + rng.choice([" ", "", " é "]) for _ in range(n)) for n in (255, 256, 257, 600, 1500)] + [None, ""]
+    docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, spans string, start int").repartition(4)
+    spans = {r.doc_id: r.spans for r in pii_report(docs).collect()}
+    for r in redact(docs).collect():
+        out, at = "", 0
+        for span in [s.split(":") for s in spans[r.doc_id].split(",") if s]:
+            start, end = int(span[1]), int(span[2])
+            if start >= at:
+                out += texts[r.doc_id][at:start] + f"[{span[0].upper()}]"
+            at = max(at, end)
+        assert r.text == (None if texts[r.doc_id] is None else out + texts[r.doc_id][at:]) and r.start == r.doc_id
+
+
+def test_many_matches_in_one_text(spark):
+    """The work is in proportion to the matches: a walk that copied all spans at each match would take minutes."""
+    texts = {1: " ".join(f"n{k}@example.org" for k in range(100_000)), 2: "1.2.3.4 " * 50_000}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    began = time.time()
+    out = {r.doc_id: r for r in pii_report(docs).collect()}
+    assert out[1].n_email == 100_000 and out[2].n_ip == 50_000
+    assert out[1].spans.split(",")[77_777] == (lambda m: f"email:{m.start()}:{m.end()}")(re.search("n77777@example.org", texts[1]))
+    clean = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert clean[1] == " ".join(["[EMAIL]"] * 100_000) and clean[2] == "[IP] " * 50_000
+    assert time.time() - began < 60
+
+
+def test_context_reaches_across_earlier_matches(spark):
+    texts = {1: "SSN: 219-09-9999, 219-09-9998, 219-09-9997", 2: "219-09-9999, 219-09-9998 is my SSN", 3: "SSN" + " x" * 40 + " 219-09-9999"}
+    out = {r.doc_id: r.spans for r in pii_report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert out == {1: "ssn:5:16,ssn:18:29,ssn:31:42", 2: "ssn:0:11,ssn:13:24", 3: ""}
