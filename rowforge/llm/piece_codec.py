@@ -82,7 +82,7 @@ class PieceTable:
         return self.merge(pair[0] + pair[1]) == list(pair)
 
     def extend_pairs(self, text: str, pieces: list[str]) -> None:
-        """Find the piece that ends at each further boundary: the one that byte-pair merging leaves after its left neighbour."""
+        """Find the piece that ends at each further boundary of the window: the one that byte-pair merging leaves after its left neighbour."""
         ids, ends, pairs, one = self.ids, self.ends, self._pairs, (1,)
         for end in range(len(pieces), len(text) + 1):
             for length in ends.get(text[max(0, end - 2) : end], one):
@@ -96,9 +96,11 @@ class PieceTable:
                 if not before or pairs[before, piece]:
                     pieces.append(piece)
                     break
+            else:
+                raise ValueError(f"no piece can end after {text[max(0, end - self.longest) : end]!r}")
 
     def extend_best(self, text: str, pieces: list[str], best: list[float]) -> None:
-        """Find the piece that ends at each further boundary on the way of the best sum of scores."""
+        """Find the piece that ends at each further boundary of the window on the way of the best sum of scores."""
         score, ends, unknown, one = self.score, self.ends, self.unknown_score, (1,)
         for end in range(len(pieces), len(text) + 1):
             found, most = "", float("-inf")
@@ -117,69 +119,71 @@ class PieceTable:
 
 
 class ViterbiStream:
-    """Feed text, take the ids that are certain, finish.
+    """Feed text in portions of any size, take the ids that are certain, finish.
 
     Each boundary has one best way back.  For unigram pieces it is that of the
     best sum of scores.  For byte-pair pieces it is the one piece that can end
     there: a sequence is the encoding of its text if each neighbouring pair
     is, and a text's prefixes have one encoding each.  A later piece can only
-    start at one of the last ``longest`` boundaries, so once the ways back
-    from all of them meet at one boundary, what lies before it is final.
+    start at one of the last ``longest`` boundaries: the search sees no more
+    than these and their characters (``text``, ``pieces``, ``best``).  Of the
+    boundaries before them only the way back is held (``back``), and no
+    longer than until the ways back from all of the window meet at one
+    boundary: what lies before that is final.
     """
 
     def __init__(self, table: PieceTable, front: str = SPACE):
         self.table = table
-        self.text = front
+        self.text = ""
         self.pieces = [""]  # the piece that ends at each boundary of self.text
         self.best = [0.0]
+        self.back = [""]  # the same of every boundary since the last that was committed
         self.peak = 0
-        self._next = 4 * table.longest
-        self._extend()
+        self._next = 2 * table.longest
+        self._extend(front)
 
-    def _extend(self) -> None:
+    def _extend(self, text: str) -> None:
+        longest, known = self.table.longest, len(self.pieces)
+        self.text += text.replace(" ", SPACE)
         if self.table.kind == "bpe":
             self.table.extend_pairs(self.text, self.pieces)
         else:
             self.table.extend_best(self.text, self.pieces, self.best)
-        self.peak = max(self.peak, len(self.pieces))
+        self.back += self.pieces[known:]
+        self.peak = max(self.peak, len(self.pieces), len(self.back))
+        if (far := len(self.pieces) - longest) > 0:
+            # the piece at the first boundary stays as the left neighbour of what follows
+            self.text, self.pieces, self.best = self.text[far:], self.pieces[far:], self.best[far:]
 
     def _commit(self, to: int) -> list[int]:
-        back, at = [], to
+        found, at = [], to
         while at:
-            back.append(self.pieces[at])
-            at -= len(self.pieces[at])
-        out = [i for piece in reversed(back) for i in self.table.out(piece)]
-        if to:
-            # the last committed piece stays as the left neighbour of what follows
-            self.text, self.pieces, self.best = self.text[to:], self.pieces[to:], self.best[to:]
-        return out
+            found.append(self.back[at])
+            at -= len(self.back[at])
+        del self.back[:to]
+        return [i for piece in reversed(found) for i in self.table.out(piece)]
 
     def _meet(self) -> int:
-        """The last boundary that every way back from the last ``longest`` boundaries passes."""
-        open_ = set(range(max(0, len(self.pieces) - self.table.longest), len(self.pieces)))
+        """The last boundary that every way back from the window passes."""
+        open_ = set(range(max(0, len(self.back) - self.table.longest), len(self.back)))
         while len(open_) > 1:
             k = max(open_)
             open_.remove(k)
-            open_.add(k - len(self.pieces[k]) if k else 0)
+            open_.add(k - len(self.back[k]) if k else 0)
         return open_.pop()
 
     def feed(self, text: str) -> list[int]:
         out: list[int] = []
-        if len(text) < self.table.longest:
-            self.text += text.replace(" ", SPACE)
-            self._extend()
-            return out
-        step = 4 * self.table.longest
-        for at in range(0, len(text), step):
-            self.text += text[at : at + step].replace(" ", SPACE)
-            self._extend()
-            if len(self.pieces) > self._next:
+        for at in range(0, len(text), self.table.longest):
+            self._extend(text[at : at + self.table.longest])
+            if len(self.back) > self._next:
                 out += self._commit(self._meet())
-                self._next = 2 * len(self.pieces) + step
+                # ways that have not met yet are walked again when there are twice as many
+                self._next = max(2 * self.table.longest, 2 * len(self.back))
         return out
 
     def finish(self) -> list[int]:
-        return self._commit(len(self.pieces) - 1)
+        return self._commit(len(self.back) - 1)
 
 
 def shared_codec(path: str) -> PieceCodec:

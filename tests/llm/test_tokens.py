@@ -78,14 +78,26 @@ def test_streamed_pieces_equal_library(library):
         assert codec.decode(ids) == text.replace("▁", " "), text
 
 
-def test_stream_keeps_a_short_window(library):
-    text = "".join(random.Random(1).choice("abcdefgh") for _ in range(20_000))
+@pytest.mark.parametrize("portion", [1, 2, 7, 16, 777, 20_000])
+def test_stream_keeps_a_short_window(library, portion):
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefgh") for _ in range(20_000))
     table = PieceTable(MODEL)
-    stream, out = ViterbiStream(table), []
-    for at in range(0, len(text), 777):
-        out += stream.feed(text[at : at + 777])
+    stream, out, first = ViterbiStream(table), [], None
+    for at in range(0, len(text), portion):
+        out += stream.feed(text[at : at + portion])
+        first = at if out and first is None else first
+        assert len(stream.text) <= table.longest and len(stream.pieces) <= table.longest + 1
     assert out + stream.finish() == library.encode(text)
-    assert stream.peak < 20 * table.longest
+    assert stream.peak < 6 * table.longest and first < 6 * table.longest + portion
+
+
+def test_stream_of_texts_whose_ways_meet_late(library):
+    for text in ("a" * 5_000, "ab" * 3_000, " " * 4_000, "=" * 3_000 + "-" * 3_000):
+        stream, out = ViterbiStream(PieceTable(MODEL)), []
+        for c in text:
+            out += stream.feed(c)
+        assert out + stream.finish() == library.encode(text)
 
 
 def test_unigram_stream_equals_library(library):
