@@ -29,13 +29,18 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     other side.  Rows with a null pair_id belong to no pair.  One shuffle, by
     pair; a pair's turns have to fit a row, as its rendering does.
     """
-    turn = F.struct(
-        F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"), _plain("role").alias("role"), _plain("text").alias("text")
-    )
-    sided = turns.where(F.col("pair_id").isNotNull() & F.col("side").isin(0, 1)).select("pair_id", "side", turn.alias("t"))
+    sided = turns.where(F.col("pair_id").isNotNull() & F.col("side").isin(0, 1)).select("pair_id", "side", _turn().alias("t"))
     pairs = sided.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("side", "t"))).alias("all"))
     of = lambda side: F.transform(F.filter("all", lambda x: x["side"] == side), lambda x: x["t"])
-    both = pairs.select("pair_id", of(0).alias("c"), of(1).alias("r"))
+    return _formatted(pairs.select("pair_id", of(0).alias("c"), of(1).alias("r")))
+
+
+def _turn() -> Column:
+    return F.struct(F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"), _plain("role").alias("role"), _plain("text").alias("text"))
+
+
+def _formatted(both: DataFrame) -> DataFrame:
+    """The result of :func:`format_pairs` from the sorted turns of both sides, c and r."""
     same = F.zip_with("c", "r", lambda a, b: F.coalesce((a["role"] == b["role"]) & (a["text"] == b["text"]), F.lit(False)))
     common = F.array_position(F.concat(same, F.array(F.lit(False))), False).cast("int") - 1
     both = both.withColumn("n_common", F.when((F.size("c") == 0) | (F.size("r") == 0), 0).otherwise(common))
@@ -67,29 +72,46 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
-def pair_neighbours(conversations: DataFrame) -> DataFrame:
-    """Turns for :func:`format_pairs` from conv_id, turn, role, text: conversation 2j is chosen over 2j + 1."""
-    conv = F.col("conv_id").cast("long")
-    return conversations.select(
-        F.floor(conv / 2).cast("long").alias("pair_id"), F.pmod(conv, F.lit(2)).cast("int").alias("side"), "turn", "role", "text"
-    )
+def format_exchanged(conversations: DataFrame) -> DataFrame:
+    """The result of :func:`format_pairs` for conversations (conv_id, turn, role, text) as pairs of their own.
+
+    A conversation is chosen over itself with the text of its last assistant
+    turn exchanged for that of the conversation numbered one higher; pair_id
+    is its conv_id.  Where one of the two has no assistant turn there is no
+    rejected side.  Turns sort and nulls count as there; rows with a null
+    conv_id belong to no conversation; repeated rows are turns of their own;
+    an empty table gives no pairs; other columns are ignored, whatever their
+    names.  Conversations are shuffled once, and the last replies of each
+    task.
+    """
+    turns = conversations.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").cast("long").alias("pair_id"), _turn().alias("t"))
+    whole = turns.groupBy("pair_id").agg(F.array_sort(F.collect_list("t")).alias("c"))
+    replies = turns.where(F.col("t.role") == TRAINED_ROLE).select((F.col("pair_id") - 1).alias("pair_id"), "t.turn", "t.text")
+    last = replies.groupBy("pair_id").agg(F.max(F.struct("turn", "text"))["text"].alias("other"))
+    both = whole.join(last, "pair_id", "left")
+    place = F.array_max(F.transform("c", lambda t, i: F.when(t["role"] == TRAINED_ROLE, i)))
+    other = lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.col("other").alias("text"))
+    exchanged = F.transform("c", lambda t, i: F.when(i == F.col("place"), other(t)).otherwise(t))
+    none = F.filter("c", lambda t: F.lit(False))
+    both = both.withColumn("place", place)
+    return _formatted(both.select("pair_id", "c", F.when(F.col("place").isNotNull() & F.col("other").isNotNull(), exchanged).otherwise(none).alias("r")))
 
 
 #: the same by DuckDB
 ORACLE = """
-WITH t AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, CAST(((conv_id % 2) + 2) % 2 AS INTEGER) AS side, turn,
-         replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+WITH b AS (
+  SELECT CAST(conv_id AS BIGINT) AS pair_id, turn, replace(coalesce(role, ''), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations WHERE conv_id IS NOT NULL),
-n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS k FROM t),
-m AS (
-  SELECT c.pair_id, min(CASE WHEN r.k IS NULL OR c.role <> r.role OR c.text <> r.text THEN c.k ELSE c.k + 1 END) AS first_other,
-         bool_or(r.k IS NULL OR c.role <> r.role OR c.text <> r.text) AS differs, max(c.k) AS last
-  FROM n c LEFT JOIN n r ON r.pair_id = c.pair_id AND r.k = c.k AND r.side = 1 WHERE c.side = 0 GROUP BY 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn NULLS FIRST, role, text) AS k FROM b),
+l AS (SELECT pair_id, max(k) AS last, arg_max(text, k) AS reply FROM o WHERE role = 'assistant' GROUP BY 1),
+n AS (
+  SELECT pair_id, 0 AS side, k, role, text FROM o UNION ALL
+  SELECT o.pair_id, 1, k, role, CASE WHEN k = l.last THEN x.reply ELSE text END FROM o JOIN l USING (pair_id) JOIN l x ON x.pair_id = o.pair_id + 1),
+m AS (SELECT pair_id, max(k) AS last FROM n GROUP BY 1 HAVING bool_or(side = 1)),
 d AS (
   SELECT c.pair_id, min(c.k) AS k
-  FROM n c LEFT JOIN n r ON r.pair_id = c.pair_id AND r.k = c.k AND r.side = 1
-  WHERE c.side = 0 AND (r.k IS NULL OR c.role <> r.role OR c.text <> r.text) GROUP BY 1),
+  FROM n c JOIN n r ON r.pair_id = c.pair_id AND r.k = c.k AND r.side = 1
+  WHERE c.side = 0 AND (c.role <> r.role OR c.text <> r.text) GROUP BY 1),
 s AS (SELECT p.pair_id, CAST(CASE WHEN m.pair_id IS NULL THEN 0 ELSE coalesce(d.k - 1, m.last) END AS INTEGER) AS n_common
       FROM (SELECT DISTINCT pair_id FROM n) p LEFT JOIN m USING (pair_id) LEFT JOIN d USING (pair_id)),
 x AS (SELECT n.*, s.n_common, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown FROM n JOIN s USING (pair_id)),

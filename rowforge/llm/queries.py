@@ -31,11 +31,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(_table(spark, sf_dir, "documents"))
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"), limit=sharding.LIMIT_BYTES)
 
 
 def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_format.format_pairs(preference_format.pair_neighbours(_table(spark, sf_dir, "conversations")))
+    return preference_format.format_exchanged(_table(spark, sf_dir, "conversations"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,8 @@ ID_BITS, ROW_BITS = 40, 23
 BITS = ID_BITS + ROW_BITS
 #: depth of the first sums beyond that of an even spread
 MARGIN = 5
-LIMIT_BYTES = 64 << 20
+#: bytes of text of a shard: what a training worker maps at once
+LIMIT_BYTES = 1 << 20
 
 
 def _id_hash(column: Column) -> Column:
