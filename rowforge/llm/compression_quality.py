@@ -14,25 +14,25 @@ from pyspark.sql import functions as F
 
 from rowforge.llm.tokenizers import held
 
-#: rows of each label that the fit reads at most, and characters of each
-SAMPLE_ROWS, SAMPLE_CHARS = 2_000, 8_192
+#: rows of each label that the fit reads at most
+SAMPLE_ROWS = 2_000
+#: blocks that each of them gives to a dictionary, evenly spread over the whole text, and their characters
+SAMPLE_BLOCKS, SAMPLE_CHARS = 8, 1_024
 #: rows handled together in a worker
 BATCH_ROWS = 1_000
-#: compressed size at which a text counts as half short
-SHORT_BYTES = 64
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 112_640, 1_024, 3
 
 
 @dataclass(frozen=True)
 class CompressionModel:
-    """Dictionaries by label and the logistic weights of the features of :func:`size_features`."""
+    """Dictionaries by label, and the slope and offset that turn a size difference into a score."""
 
     bad: bytes
     good: bytes
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float] = (1.0, 0.0)
 
-    def score(self, features: tuple[float, float, float]) -> float:
-        line = sum(w * x for w, x in zip(self.weights, features, strict=True))
+    def score(self, difference: float) -> float:
+        line = self.weights[0] * difference + self.weights[1]
         return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, line))))
 
 
@@ -45,8 +45,8 @@ def _compressor(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False, write_checksum=False)
 
 
-def size_features(model: CompressionModel, text: str) -> tuple[float, float, float]:
-    """(bad - good) / (bad + good) of the compressed sizes of all blocks of the text, its shortness, 1.
+def size_difference(model: CompressionModel, text: str) -> float:
+    """(bad - good) / (bad + good) of the compressed sizes of all blocks of the text.
 
     Blocks are compressed apart: in one long frame the text itself would soon
     take the dictionary's place.
@@ -58,18 +58,17 @@ def size_features(model: CompressionModel, text: str) -> tuple[float, float, flo
         block = raw[at : at + BLOCK_BYTES]
         b += len(bad(block))
         g += len(good(block))
-    return (b - g) / (b + g), 2 * SHORT_BYTES / (b + g + 2 * SHORT_BYTES), 1.0
+    return (b - g) / (b + g)
 
 
-def _dictionary(texts: list[str]) -> bytes:
+def _dictionary(blocks: list[str]) -> bytes:
     import zstandard
 
-    raw = [t.encode("utf-8") for t in texts]
-    blocks = [r[at : at + 2 * BLOCK_BYTES] for r in raw for at in range(0, len(r), 2 * BLOCK_BYTES)]
+    raw = [b.encode("utf-8") for b in blocks]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, blocks, k=64, d=8).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY_BYTES, raw, k=64, d=8).as_bytes()
     except zstandard.ZstdError:  # too few samples: their text itself
-        return b"".join(blocks)[:DICTIONARY_BYTES] or b"\n" * 8
+        return b"".join(raw)[:DICTIONARY_BYTES] or b"\n" * 8
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, ...]:
@@ -90,7 +89,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     """Fit on at most SAMPLE_ROWS rows of each label, those with the smallest hash of their id.
 
     ``labels``: rows to learn from only.  Ids with both labels teach nothing.
-    None if a label has no text.
+    The dictionaries are of at most SAMPLE_BLOCKS blocks a text, spread over
+    all of it; the calibration is on the differences of whole texts, of which
+    one number reaches the driver.  None if a label has less than two texts.
     """
     spark = docs.sparkSession
     known = (
@@ -108,30 +109,35 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     if len(shares) < 2:
         return None
     kind = docs.schema[id_col].dataType.simpleString()
-    sample = spark.createDataFrame(ids, f"id {kind}, label int")
-    texts = (
-        docs.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("text"))
-        .join(F.broadcast(sample), "id")
-        .where(F.length("text") > 0)
-        .groupBy("id", "label")
-        .agg(F.min("text").alias("text"))
-        .orderBy("id")
-        .collect()
-    )
-    by_label = {y: [r.text for r in texts if r.label == y] for y in (0, 1)}
-    if min(map(len, by_label.values())) < 2:
+    # every second row by the order of ids: each half is calibrated on dictionaries of the other half
+    halves = [(i, y, k % 2) for y in (0, 1) for k, (i, _) in enumerate(sorted((x for x in ids if x[1] == y), key=lambda x: x[0]))]
+    sample = spark.createDataFrame(halves, f"id {kind}, label int, half int")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").where(F.length("text") > 0)
+    # blocks at even distances from the first to the last
+    n = F.length("text")
+    count = F.least(F.lit(SAMPLE_BLOCKS), F.ceil(n / SAMPLE_CHARS)).cast("int")
+    start = lambda k: (F.floor((n - SAMPLE_CHARS) * k / F.greatest(count - 1, F.lit(1))) * (count > 1).cast("int") + 1).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring(F.col("text"), start(k), F.lit(SAMPLE_CHARS)))
+    # rows that repeat an id are one: that with the smallest blocks
+    rows = texts.select("id", "label", "half", cut.alias("blocks")).groupBy("id", "label", "half").agg(F.min("blocks").alias("blocks")).orderBy("id").collect()
+    by_label = {y: [r for r in rows if r.label == y] for y in (0, 1)}
+    if min(len({r.half for r in own}) for own in by_label.values()) < 2:
         return None
-    # each half is calibrated on dictionaries of the other half; the final ones are of all
-    x, y, weight = [], [], []
-    for half in (0, 1):
-        other = CompressionModel(*(_dictionary(by_label[label][1 - half :: 2]) for label in (0, 1)))
-        for label in (0, 1):
-            own = by_label[label][half::2]
-            x += [size_features(other, t) for t in own]
-            y += [label] * len(own)
-            weight += [shares[label] / sum(shares.values()) / len(by_label[label])] * len(own)
-    weights = _logistic(np.array(x), np.array(y, float), np.array(weight) * len(x))
-    return CompressionModel(*(_dictionary(by_label[label]) for label in (0, 1)), weights)
+    blocks_of = lambda y, halves: [b for r in by_label[y] if r.half in halves for b in r.blocks]
+    apart = [CompressionModel(*(_dictionary(blocks_of(y, {1 - half})) for y in (0, 1))) for half in (0, 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [size_difference(apart[h], t) for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.float64())], ["id", "label", "difference"])
+
+    # differences of whole texts, found where the texts lie
+    found = texts.select("id", "label", "half", "text").mapInArrow(run, f"id {kind}, label int, difference double")
+    found = found.groupBy("id", "label").agg(F.min("difference").alias("difference")).orderBy("id").collect()
+    n_of = {y: len(by_label[y]) for y in (0, 1)}
+    x, y = np.array([[r.difference, 1.0] for r in found]), np.array([r.label for r in found], float)
+    weight = np.array([shares[r.label] / sum(shares.values()) / n_of[r.label] for r in found]) * len(found)
+    return CompressionModel(*(_dictionary(blocks_of(label, {0, 1})) for label in (0, 1)), _logistic(x, y, weight))
 
 
 def score_quality(
@@ -167,7 +173,7 @@ def score_quality(
             if model is None:
                 scores = [flat] * batch.num_rows
             else:
-                scores = [model.score(size_features(model, v.as_py() or "")) for v in batch.column(1)]
+                scores = [model.score(size_difference(model, v.as_py() or "")) for v in batch.column(1)]
             columns = [batch.column(0), pa.array(scores, pa.float64()), *(batch.column(2 + k) for k in range(n_keep))]
             yield pa.RecordBatch.from_arrays(columns, ["id", "score", *(f"keep_{k}" for k in range(n_keep))])
 
