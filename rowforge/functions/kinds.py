@@ -6,6 +6,7 @@ gets a :class:`Draws` and the options and returns a Column.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -116,6 +117,16 @@ LISTS: dict[str, list[str]] = {
 STRUCTURE = ("foreign_key", "default", "sequence", "pattern", "const", "null")
 
 
+def words_of(locale: str, name: str) -> list[str]:
+    return LOCALES.get(locale, LOCALES["en_US"])[name]
+
+
+def _ascii(word: str) -> str:
+    """A word as addresses spell it."""
+    plain = unicodedata.normalize("NFKD", word.lower().replace("ß", "s"))
+    return "".join(c for c in plain if c.isascii() and c.isalnum())
+
+
 @dataclass
 class Draws:
     """Independent draws for one cell; each call takes the next salt."""
@@ -136,10 +147,10 @@ class Draws:
         return unit(self.row, self._next())
 
     def pick(self, values: Sequence[Any]) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), (self.below(len(values)) + 1).cast("int"))
+        return F.get(F.array(*[F.lit(v) for v in values]), self.below(len(values)).cast("int"))
 
-    def words(self, name: str) -> Column:
-        return self.pick(LOCALES.get(self.locale, LOCALES["en_US"])[name])
+    def words(self, name: str, change: Callable[[str], str] = str) -> Column:
+        return self.pick([change(w) for w in words_of(self.locale, name)])
 
     def between(self, low: int, high: int) -> Column:
         return self.below(high - low + 1) + low
@@ -233,8 +244,36 @@ def _seconds(d: Draws, options: dict) -> Column:
 
 
 def _handle(d: Draws) -> Column:
-    plain = F.translate(F.lower(F.concat(d.words("first"), F.lit("."), d.words("last"))), "äöüßéèáíóúñç", "aousoeeaiounc")
-    return F.concat(plain, d.below(10_000).cast("string"))
+    return F.concat(d.words("first", _ascii), F.lit("."), d.words("last", _ascii), d.below(10_000).cast("string"))
+
+
+def _email(d: Draws, options: dict) -> Column:
+    """An address; with ``number`` its local part ends in + and that number."""
+    local = [_handle(d)] + ([F.lit("+"), options["number"].cast("string")] if "number" in options else [])
+    return F.concat(*local, F.lit("@example."), d.pick(["com", "org", "net"]))
+
+
+def longest(kind: str, locale: str) -> int | None:
+    """Characters of the longest value of a kind, where its lists say."""
+    most = lambda name: max(map(len, words_of(locale, name)))
+    if kind in LISTS:
+        return max(map(len, LISTS[kind]))
+    return {
+        "firstname": lambda: most("first"),
+        "middlename": lambda: most("first"),
+        "lastname": lambda: most("last"),
+        "name": lambda: most("first") + 1 + most("last"),
+        "city": lambda: most("city"),
+        "region": lambda: most("region"),
+        "country": lambda: most("country"),
+        "street": lambda: 5 + most("street"),
+        "phone": lambda: most("phone") + 10,
+        "company": lambda: most("last") + len(" Partners"),
+        "email": lambda: most("first") + 1 + most("last") + 4 + len("@example.com"),
+        "uuid": lambda: 36,
+        "word": lambda: max(map(len, WORDS)),
+        "postcode": lambda: 5,
+    }.get(kind, lambda: None)()
 
 
 def _domain(d: Draws) -> Column:
@@ -286,7 +325,7 @@ KINDS: dict[str, Generator] = {
     "lastname": lambda d, o: d.words("last"),
     "middlename": lambda d, o: d.words("first"),
     "username": lambda d, o: _handle(d),
-    "email": lambda d, o: F.concat(_handle(d), F.lit("@example."), d.pick(["com", "org", "net"])),
+    "email": _email,
     "phone": lambda d, o: F.concat(d.words("phone"), d.between(200, 999).cast("string"), d.digits(7)),
     "password": lambda d, o: F.concat(d.letters(6), d.digits(3), d.letters(4, "abcdefghijkmnpqrstuvwxyz"), d.pick(list("!#%+*"))),
     "ssn": lambda d, o: F.concat_ws("-", F.lpad(d.between(1, 665).cast("string"), 3, "0"), F.lpad(d.between(1, 99).cast("string"), 2, "0"), F.lpad(d.between(1, 9999).cast("string"), 4, "0")),
@@ -340,6 +379,10 @@ KINDS: dict[str, Generator] = {
 }
 
 
+#: the kinds that come with the library, as they came
+OWN = dict(KINDS)
+
+
 def register_generator(kind: str, generator: Generator) -> None:
     """Add or replace a kind; the function returns a Column and so stays in the plan."""
     if kind in STRUCTURE:

@@ -15,7 +15,7 @@ from re import _parser as parser
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rowforge.functions.draw import below
+from rowforge.functions.draw import P, below
 
 PRINTABLE = [chr(c) for c in range(0x20, 0x7F)]
 #: how far open repetitions go, and how far counted ones go beyond their minimum
@@ -62,7 +62,7 @@ class _Compiler:
 
     def next(self, n: int) -> Column:
         self.used += 1
-        return below(self.row, (self.salt + 7919 * self.used) % 2147483647, n)
+        return below(self.row, (self.salt + 7919 * self.used) % P, n)
 
     def pick(self, alphabet: str) -> Column:
         if len(alphabet) == 1:

@@ -155,8 +155,9 @@ def score_quality(
     comes from the text alone, all of it; null and empty texts score like an
     empty text.  Without texts of both labels every score is 1.0 if only label
     1 occurs, 0.0 if only label 0 does, else 0.5.  A null id is hashed as an
-    empty text; repeated rows are scored each.  One pass to fetch the sample,
-    one to score, no shuffle of texts.
+    empty text; repeated rows are scored each; an empty table gives no rows;
+    other columns are ignored, whatever their names.  Two passes fetch the
+    sample's blocks and differences, one scores; no text is shuffled.
     """
     bucket = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % 5
     learn = labels.where(bucket(id_col) != 0)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from rowforge.functions.draw import below, salt, table_seed, unit
-from rowforge.functions.kinds import Draws
+from rowforge.functions.draw import salt, table_seed, unit
+from rowforge.functions.kinds import KINDS, OWN, Draws, longest
 from rowforge.functions.kinds import generate as generate_kind
 from rowforge.functions.pattern import compile_pattern, compile_unique, value_space
 from rowforge.functions.scalars import clamp_text, round_scale
@@ -28,6 +29,7 @@ class GenerationError(ValueError):
 class Options:
     seed: int = 0
     rows: int | None = None
+    #: new rows go beside those that a target holds, or in their place (for single tables: TablePlan.truncate); else a target must be empty
     append: bool = False
     truncate: bool = False
     #: "construct": unique text, uuids and integers carry their row and need no shuffle; "repair": only later duplicates change
@@ -41,12 +43,23 @@ class Result:
     tables: dict[str, DataFrame]
     seed: int
     order: list[str]
+    options: Options = field(default_factory=Options)
+    #: tables whose earlier rows go
+    truncated: frozenset[str] = frozenset()
     seconds: dict[str, float] = field(default_factory=dict)
     counts: dict[str, int] = field(default_factory=dict)
 
     def rows_per_second(self) -> float:
         return sum(self.counts.values()) / max(1e-9, sum(self.seconds.values()))
 
+    def _run(self, name: str, save: Callable[[DataFrame], None], progress: Callable[[str, int, float], None] | None) -> None:
+        """Compute a table once, counting its rows on the way."""
+        seen, began = Observation(), time.time()
+        save(self.tables[name].observe(seen, F.count(F.lit(1)).alias("rows")))
+        self.seconds[name], self.counts[name] = time.time() - began, seen.get["rows"]
+        if progress:
+            progress(name, self.counts[name], self.seconds[name])
+
 
 def _rows(tp: TablePlan, options: Options) -> int:
     own = tp.rows if tp.rows is not None else DEFAULT_ROWS
@@ -59,7 +72,8 @@ def written_columns(table: model.Table, tp: TablePlan) -> list[tuple[model.Colum
     return [(c, p) for c, p in pairs if not p.skip and p.generator != "default" and not c.generated]
 
 
-def _value(row: Column, column: model.Column, cp: ColumnPlan, seed: int, locale: str) -> Column:
+def _value(row: Column, column: model.Column, cp: ColumnPlan, seed: int, locale: str, numbered: bool = False) -> Column:
+    """The value of a row; ``numbered``: an address that carries the row."""
     kind, own = model.spark_type(column), salt(seed, column.name)
     if cp.generator == "sequence":
         value = row + (cp.start if cp.start is not None else 1)
@@ -71,7 +85,7 @@ def _value(row: Column, column: model.Column, cp: ColumnPlan, seed: int, locale:
         value = F.lit(cp.const)
     else:
         options = {k: getattr(cp, k) for k in ("min", "max", "values", "weights", "true_weight")}
-        value = generate_kind(cp.generator, Draws(row, own, cp.locale or locale), options)
+        value = generate_kind(cp.generator, Draws(row, own, cp.locale or locale), options | ({"number": row} if numbered else {}))
     if cp.true_weight is not None:
         value = unit(row, salt(seed, column.name, "bool")) < cp.true_weight
     if column.cls == "float" and column.precision and cp.generator not in ("const", "null"):
@@ -79,11 +93,19 @@ def _value(row: Column, column: model.Column, cp: ColumnPlan, seed: int, locale:
     if cp.null_rate:
         value = F.when(unit(row, salt(seed, column.name, "null")) >= cp.null_rate, value)
     value = value.cast(kind)
-    if column.max_len and column.cls == "string" and cp.generator != "pattern":
+    if column.max_len and column.cls == "string" and cp.generator != "pattern" and not (numbered or _fits(column, cp, locale)):
         value = clamp_text(value, column.max_len)
     return value.alias(column.name)
 
 
+def _fits(column: model.Column, cp: ColumnPlan, locale: str, further: int = 0) -> bool:
+    """Whether no value of a kind of this library is too long."""
+    if OWN.get(cp.generator) is not KINDS.get(cp.generator) or cp.generator not in OWN:
+        return False
+    most = longest(cp.generator, cp.locale or locale)
+    return most is not None and (not column.max_len or most + further <= column.max_len)
+
+
 def _is_one_to_one(table: model.Table, column: model.Column, cp: ColumnPlan) -> bool:
     return cp.unique or column.unique or table.primary_key == [column.name]
 
@@ -113,71 +135,150 @@ def _self_filling(table: model.Table, tp: TablePlan) -> str | None:
     return column.name if column.cls == "int" and (cp is None or cp.skip or cp.generator == "default") else None
 
 
+def _row_value(row: Column, name: str, table: model.Table, column: model.Column, cp: ColumnPlan, seed: int, n: int, locale: str, options: Options) -> Column | None:
+    """A column's final value as a function of the row id; None where it takes a look at other rows to be unique."""
+    plain = _value(row, column, cp, seed, locale)
+    if not (cp.unique or column.unique or column.unique_fold) or cp.generator == "null":
+        return plain
+    cls, held = column.cls, options.append and name in options.existing
+    if cls == "bool" or cp.generator == "const":
+        if n > (2 if cls == "bool" else 1):
+            raise GenerationError(f"{name}.{column.name}: {n} rows cannot have unique values of {cp.generator}")
+        return plain
+    if held:
+        return None
+    if cp.generator == "sequence":
+        return plain
+    if cp.generator == "pattern":
+        value = _numbered_pattern(row, name, column, cp, seed, n, options)
+        return None if value is None else F.when(plain.isNotNull(), value).cast(model.spark_type(column)).alias(column.name)
+    if cls == "time":
+        stepped = F.timestamp_seconds(F.unix_timestamp(plain) - F.pmod(F.unix_timestamp(plain), F.lit(n)) + row)
+        return stepped.alias(column.name) if model.spark_type(column).simpleString() == "timestamp" else _refuse(name, column)
+    if options.uniqueness == "construct" and cls in ("string", "uuid", "int"):
+        if cls == "string" and cp.generator == "email" and _fits(column, cp, locale, 1 + len(str(n))):
+            return _value(row, column, cp, seed, locale, numbered=True)
+        # the kinds of this library hold an @ only in addresses
+        own = OWN.get(cp.generator) is KINDS.get(cp.generator)
+        is_mail = (cp.generator == "email") if own and cp.generator in OWN and cp.generator != "enum" else None
+        value = unique.constructed(plain, row, cls, n, cp.min, cp.max, seed, column.max_len, is_mail)
+        return value.cast(model.spark_type(column)).alias(column.name)
+    return None if cls in ("string", "enum", "uuid", "int", "float") else _refuse(name, column)
+
+
+def _refuse(name: str, column: model.Column):
+    raise GenerationError(f"{name}.{column.name}: no way to make {column.cls} values unique")
+
+
+def _key_function(schema: model.Schema, plan: Plan, ref: str, options: Options, seed: int) -> Callable[[Column], Column] | None:
+    """The key of a parent's row as a function of the row id, where the parent is made here and its keys are unique by construction.
+
+    A child then draws a row and computes its key: no pool, no join.
+    """
+    name, key = model.split_ref(ref)
+    table, tp = schema.table(name), plan.tables.get(name)
+    if tp is None or table is None or name in options.existing:
+        return None
+    column, cp, n = table.column(key), tp.columns.get(key), _rows(tp, options)
+    if _self_filling(table, tp) == key:
+        return lambda row: (row + 1).cast(model.spark_type(column))
+    if cp is None or cp.skip or cp.null_rate or cp.generator in ("foreign_key", "default", "null", "const") or column.generated or column.cls == "bool":
+        return None
+    if cp.generator != "sequence" and not (cp.unique or column.unique):
+        return None
+    make = lambda row: _row_value(row, name, table, column, cp, table_seed(seed, name), n, plan.locale, options)
+    return make if make(F.lit(0).cast("long")) is not None else None
+
+
+def _pool(ref: str, made: dict[str, DataFrame], schema: model.Schema, options: Options, pools: dict) -> tuple[DataFrame | None, int]:
+    """The numbered keys of a parent and how many there are; each parent is looked at once."""
+    if ref not in pools:
+        parents = _parent_keys(ref, made, schema, options)
+        if parents is None:
+            pools[ref] = (None, 0)
+        else:
+            key = parents.columns[0]
+            pools[ref] = (relate.indexed(parents, key), parents.where(F.col(key).isNotNull()).select(F.count_distinct(key)).first()[0])
+    return pools[ref]
+
+
 def make_table(
-    spark: SparkSession, schema: model.Schema, plan: Plan, name: str, made: dict[str, DataFrame], options: Options, seed: int, splits: int | None = None
+    spark: SparkSession,
+    schema: model.Schema,
+    plan: Plan,
+    name: str,
+    made: dict[str, DataFrame],
+    options: Options,
+    seed: int,
+    splits: int | None = None,
+    pools: dict | None = None,
 ) -> DataFrame:
     table, tp = schema.table(name), plan.tables[name]
-    n = _rows(tp, options)
+    n, pools = _rows(tp, options), {} if pools is None else pools
     own = table_seed(seed, name)
     columns = written_columns(table, tp)
     base = spark.range(0, n, 1, splits).withColumnRenamed("id", ID) if splits else spark.range(n).withColumnRenamed("id", ID)
-    keys = [(c, p) for c, p in columns if p.generator == "foreign_key"]
-    row = F.col(ID)
-    out = base.select(row, *[_value(row, c, p, own, plan.locale) for c, p in columns if p.generator != "foreign_key"])
+    row, keys = F.col(ID), [(c, p) for c, p in columns if p.generator == "foreign_key"]
+    values = {c.name: _row_value(row, name, table, c, p, own, n, plan.locale, options) for c, p in columns if p.generator != "foreign_key"}
+    plain = [_value(row, c, p, own, plan.locale) if values[c.name] is None else values[c.name] for c, p in columns if c.name in values]
+    nulls = lambda column, cp, key: F.when(unit(row, salt(own, column.name, "null")) >= cp.null_rate, key) if cp.null_rate else key
 
-    composite, pools = _composite(table, tp), {}
+    # each key: how a place among its parents becomes a key (a function or a pool), and how many there are
+    sources: dict[str, tuple[Callable[[Column], Column] | None, DataFrame | None, int]] = {}
     for column, cp in keys:
-        pool, size = None, 0
-        parents = _parent_keys(cp.references, made, schema, options)
-        if parents is not None and model.split_ref(cp.references)[0] != name:
-            pool = relate.indexed(parents, parents.columns[0])
-            size = parents.where(F.col(parents.columns[0]).isNotNull()).distinct().count()
-        if size == 0:
-            if not column.nullable or column.name in table.primary_key:
-                raise GenerationError(f"{name}.{column.name}: {cp.references} has no rows to refer to")
-            out = out.withColumn(column.name, F.lit(None).cast(model.spark_type(column)))
-            continue
-        pools[column.name] = (pool, size)
+        parent, make, pool, size = model.split_ref(cp.references)[0], None, None, 0
+        if parent != name and parent in made:
+            make = _key_function(schema, plan, cp.references, options, seed)
+            size = _rows(plan.tables[parent], options) if make else 0
+        if parent != name and make is None:
+            pool, size = _pool(cp.references, made, schema, options, pools)
+        if size == 0 and (not column.nullable or column.name in table.primary_key):
+            raise GenerationError(f"{name}.{column.name}: {cp.references} has no rows to refer to")
+        sources[column.name] = (make, pool, size)
+
+    composite, places = _composite(table, tp), {}
     if composite:
         if options.append and name in options.existing:
             raise GenerationError(f"{name}: rows cannot be appended to a table whose key is made of references")
-        out = relate.assign_composite(out, ID, [(c, *pools[c]) for c in composite], n, own)
+        places = dict(zip(composite, relate.composite_places(row, [sources[c][2] for c in composite], n, own), strict=True))
+    joined = []
     for column, cp in keys:
-        if column.name in composite or column.name not in pools:
-            continue
-        pool, size = pools[column.name]
-        if _is_one_to_one(table, column, cp):
-            out = relate.assign_one_to_one(out, ID, column.name, pool, size, n, below_offset(own, size))
+        make, pool, size = sources[column.name]
+        if size == 0:
+            plain.append(F.lit(None).cast(model.spark_type(column)).alias(column.name))
             continue
-        out = relate.draw_keys(out, ID, column.name, pool, size, salt(own, column.name, "fk"))
-        if cp.null_rate:
-            out = out.withColumn(column.name, F.when(unit(row, salt(own, column.name, "null")) >= cp.null_rate, F.col(column.name)))
+        place = places.get(column.name)
+        if place is None and _is_one_to_one(table, column, cp):
+            if n > size:
+                raise relate.CapacityError(f"{column.name}: {n} rows for {size} parents")
+            place = relate.own_place(row, size, below_offset(own, size))
+        elif place is None:
+            place = relate.drawn(row, salt(own, column.name, "fk"), size)
+            if make:
+                plain.append(nulls(column, cp, make(place)).alias(column.name))
+                continue
+        if make:
+            plain.append(make(place).alias(column.name))
+        else:
+            joined.append((column, cp, place, pool, size))
+    out = base.select(row, *plain)
+    for column, cp, place, pool, size in joined:
+        out = relate.attach(out, place, pool, column.name, size)
+        if not (column.name in places or _is_one_to_one(table, column, cp)):
+            out = out.withColumn(column.name, nulls(column, cp, F.col(column.name)))
 
     for column, cp in columns:
-        folded = column.unique_fold
-        if not (cp.unique or column.unique or folded) or cp.generator in ("foreign_key", "null"):
-            continue
-        cls, held = column.cls, options.existing.get(name) if options.append else None
-        if cls == "bool" or cp.generator == "const":
-            if n > (2 if cls == "bool" else 1):
-                raise GenerationError(f"{name}.{column.name}: {n} rows cannot have unique values of {cp.generator}")
-            continue
-        if cp.generator == "sequence" and held is None:
+        if column.name not in values or values[column.name] is not None:
             continue
+        folded, cls, held = column.unique_fold, column.cls, options.existing.get(name) if options.append else None
         if cp.generator == "pattern":
-            out = _unique_pattern(out, name, column, cp, own, n, held, options)
+            out = _redraw(out, column, cp, own, held)
         elif held is not None and cls in ("int", "float"):
             out = unique.append_counter(out, column.name, ID, held)
         elif held is not None and cls != "uuid":
             out = unique.append_unique(out, column.name, ID, held, folded, column.max_len)
-        elif options.uniqueness == "construct" and cls in ("string", "uuid", "int") and held is None:
-            out = out.withColumn(column.name, unique.constructed(F.col(column.name), row, cls, n, cp.min, cp.max, own, column.max_len).cast(model.spark_type(column)))
-        elif cls in ("string", "enum", "uuid", "int", "float"):
-            out = unique.repair(out, column.name, ID, "string" if cls == "enum" else cls, folded, column.max_len, column.scale if column.precision else None)
-        elif cls == "time":
-            out = out.withColumn(column.name, F.timestamp_seconds(F.unix_timestamp(column.name) - F.pmod(F.unix_timestamp(column.name), F.lit(n)) + row))
         else:
-            raise GenerationError(f"{name}.{column.name}: no way to make {cls} values unique")
+            out = unique.repair(out, column.name, ID, "string" if cls == "enum" else cls, folded, column.max_len, column.scale if column.precision else None)
 
     surrogate = _self_filling(table, tp)
     if surrogate:
@@ -193,17 +294,15 @@ def below_offset(seed: int, size: int) -> int:
     return seed % size
 
 
-def _unique_pattern(out: DataFrame, table: str, column: model.Column, cp: ColumnPlan, seed: int, n: int, held: DataFrame | None, options: Options) -> DataFrame:
-    """Patterns of one shape number their values; duplicates of the others are drawn again, and refused if that does not end them."""
+def _numbered_pattern(row: Column, table: str, column: model.Column, cp: ColumnPlan, seed: int, n: int, options: Options) -> Column | None:
+    """Patterns of one shape number their values; None for the others, whose duplicates are drawn again, and refused if that does not end them."""
     space = value_space(cp.pattern) if column.cls == "string" and not column.unique_fold else None
     if space is not None and space < n and not cp.null_rate:
         raise GenerationError(f"{table}.{column.name}: {n} rows cannot have unique values of a pattern with {space}")
-    if space is None or space < n or held is not None or options.uniqueness != "construct":
-        return _redraw(out, column, cp, seed, held)
+    if space is None or space < n or options.uniqueness != "construct":
+        return None
     own = salt(seed, column.name)
-    number = lambda size: unique.constructed(F.lit(0), F.col(ID), "int", n, 0, size - 1, own)
-    value = compile_unique(cp.pattern, F.col(ID), own, n, number)
-    return out.withColumn(column.name, F.when(F.col(column.name).isNotNull(), value))
+    return compile_unique(cp.pattern, row, own, n, lambda size: unique.constructed(F.lit(0), row, "int", n, 0, size - 1, own))
 
 
 def _redraw(out: DataFrame, column: model.Column, cp: ColumnPlan, seed: int, held: DataFrame | None) -> DataFrame:
@@ -229,14 +328,17 @@ def generate(spark: SparkSession, schema: model.Schema, plan: Plan, options: Opt
     if options.append and options.truncate:
         raise GenerationError("append and truncate exclude each other")
     problems = validate(plan, schema)
+    if options.append:
+        problems += [f"{n}: append and truncate exclude each other" for n, tp in plan.tables.items() if tp.truncate and not tp.skip]
     if problems:
         raise GenerationError("; ".join(problems))
     seed = options.seed or plan.seed or time.time_ns() % 2**31
     order = table_order(plan, schema)
     made: dict[str, DataFrame] = {}
+    pools: dict = {}
     for name in order:
-        made[name] = make_table(spark, schema, plan, name, made, options, seed, splits)
-    return Result(made, seed, order)
+        made[name] = make_table(spark, schema, plan, name, made, options, seed, splits, pools)
+    return Result(made, seed, order, options, frozenset(n for n in order if options.truncate or plan.tables[n].truncate))
 
 
 def preview(spark: SparkSession, schema: model.Schema, plan: Plan, table: str, rows: int = 5, nonce: int = 0, existing: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -252,31 +354,40 @@ def preview(spark: SparkSession, schema: model.Schema, plan: Plan, table: str, r
     return make_table(spark, schema, plan, table, {}, options, seed, 1)
 
 
-def dry_run(result: Result) -> Result:
-    """Compute every table and write nothing."""
+def dry_run(result: Result, progress: Callable[[str, int, float], None] | None = None) -> Result:
+    """Compute every table once and write nothing; ``progress`` hears of each table, its rows and seconds."""
     for name in result.order:
-        began = time.time()
-        result.tables[name].write.format("noop").mode("overwrite").save()
-        result.seconds[name] = time.time() - began
-        result.counts[name] = result.tables[name].count()
+        result._run(name, lambda df: df.write.format("noop").mode("overwrite").save(), progress)
     return result
 
 
-def write_tables(result: Result, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Write all tables under ``path``: into a staging folder first, moved only when all are complete."""
+def write_tables(result: Result, path: str, fmt: str = "parquet", progress: Callable[[str, int, float], None] | None = None) -> Result:
+    """Write all tables under ``path``: into a staging folder first, moved only when all are complete.
+
+    A table that is there already is an error, unless its rows go (truncate)
+    or stay beside the new ones (append).
+    """
     spark = next(iter(result.tables.values())).sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path
     fs = jpath(path).getFileSystem(spark._jsc.hadoopConfiguration())
     staging = f"{path.rstrip('/')}/_staging"
+    held = [n for n in result.order if fs.exists(jpath(f"{path}/{n}"))]
+    if taken := [n for n in held if n not in result.truncated and not result.options.append]:
+        raise GenerationError(f"{path}/{taken[0]} exists")
     try:
         for name in result.order:
-            result.tables[name].write.format(fmt).save(f"{staging}/{name}")
+            result._run(name, lambda df, name=name: df.write.format(fmt).save(f"{staging}/{name}"), progress)
+        for name in reversed(result.order):  # children first, as they refer to what goes
+            if name in held and name in result.truncated:
+                fs.delete(jpath(f"{path}/{name}"), True)
         for name in result.order:
-            target = jpath(f"{path}/{name}")
-            if fs.exists(target):
-                if mode == "errorifexists":
-                    raise GenerationError(f"{path}/{name} exists")
-                fs.delete(target, True)
-            fs.rename(jpath(f"{staging}/{name}"), target)
+            made, target = jpath(f"{staging}/{name}"), jpath(f"{path}/{name}")
+            if not fs.exists(target):
+                fs.rename(made, target)
+                continue
+            for part in fs.listStatus(made):  # the names of part files are unique
+                if not part.getPath().getName().startswith("_"):
+                    fs.rename(part.getPath(), target)
     finally:
         fs.delete(jpath(staging), True)
+    return result

@@ -17,29 +17,33 @@ class CapacityError(ValueError):
     pass
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """Evaluate once: a range partitioning samples its input, so that a second evaluation may cut elsewhere."""
-    spark = df.sparkSession
-    reliable = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if reliable else df.persist()
+#: ranges into which a pool is numbered, and keys from which their limits are read
+RANGES, LIMIT_KEYS = 256, 16_384
 
 
 def indexed(keys: DataFrame, column: str) -> DataFrame:
     """(i, key) of the distinct non-null keys in order.
 
-    Range partitions are numbered by their sizes: the order is global, the
-    work is not, and no task sees all keys.
+    Keys are numbered within ranges whose limits, read from a bounded choice
+    of keys by their hash, stand in the plan: the order is global, the work is
+    not, and every evaluation gives a key the same number.  Ranges meet only
+    as one count each.
     """
-    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keys.select(F.col(column).alias("key")).where("key IS NOT NULL").distinct()
-    parts = ordered.repartitionByRange(n, "key").sortWithinPartitions("key")
-    numbered = _held(parts.select("key", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
-    first = numbered.groupBy("part").agg(F.count("*").alias("n"), F.min("at").alias("low"))
-    offsets = first.select("part", "low", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return numbered.join(F.broadcast(offsets), "part").select((F.col("before") + F.col("at") - F.col("low")).alias("i"), "key")
-
-
-def _attach(rows: DataFrame, index: Column, pool: DataFrame, name: str, size: int) -> DataFrame:
+    distinct = keys.select(F.col(column).alias("key")).where("key IS NOT NULL").distinct()
+    chosen = sorted(r.key for r in distinct.orderBy(F.xxhash64("key"), "key").limit(LIMIT_KEYS).collect())
+    limits = sorted(set(chosen[:: max(1, len(chosen) // RANGES)][1:]))
+    place = F.lit(0)
+    if limits:
+        found = F.array(*[F.lit(x) for x in limits]).cast(f"array<{distinct.schema['key'].dataType.simpleString()}>")
+        place = F.size(F.filter(found, lambda x: x <= F.col("key")))
+    placed = distinct.withColumn("part", place)
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))  # at most RANGES + 1 rows
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = placed.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1)
+    return numbered.join(F.broadcast(counts.select("part", before.alias("before"))), "part").select((F.col("before") + F.col("at")).alias("i"), "key")
+
+
+def attach(rows: DataFrame, index: Column, pool: DataFrame, name: str, size: int) -> DataFrame:
     side = pool.select(F.col("i").alias("_i"), F.col("key").alias(name))
     side = F.broadcast(side) if size <= BROADCAST_ROWS else side
     return rows.withColumn("_k", index).join(side, F.col("_k") == F.col("_i"), "left").drop("_k", "_i")
@@ -49,14 +53,24 @@ def draw_keys(rows: DataFrame, id_col: str, name: str, pool: DataFrame, size: in
     """``rows`` with a random key of the pool (i, key) in the column ``name``; null if the pool is empty."""
     if size == 0:
         return rows.withColumn(name, F.lit(None).cast(pool.schema["key"].dataType))
-    return _attach(rows, below(F.col(id_col), salt, size), pool, name, size)
+    return attach(rows, drawn(F.col(id_col), salt, size), pool, name, size)
+
+
+def drawn(row: Column, salt: int, size: int) -> Column:
+    """The place in a pool of ``size`` keys that a row draws."""
+    return below(row, salt, F.lit(size).cast("long"))
+
+
+def own_place(row: Column, size: int, offset: int) -> Column:
+    """The place that no other of up to ``size`` rows has."""
+    return F.pmod(row + offset, F.lit(size).cast("long"))
 
 
 def assign_one_to_one(rows: DataFrame, id_col: str, name: str, pool: DataFrame, size: int, n_rows: int, offset: int = 0) -> DataFrame:
     """Each row its own parent."""
     if n_rows > size:
         raise CapacityError(f"{name}: {n_rows} rows for {size} parents")
-    return _attach(rows, F.pmod(F.col(id_col) + offset, F.lit(size)), pool, name, size)
+    return attach(rows, own_place(F.col(id_col), size, offset), pool, name, size)
 
 
 def stride_for(space: int, seed: int) -> int:
@@ -67,18 +81,29 @@ def stride_for(space: int, seed: int) -> int:
     return step
 
 
-def assign_composite(rows: DataFrame, id_col: str, pools: list[tuple[str, DataFrame, int]], n_rows: int, seed: int) -> DataFrame:
-    """Distinct combinations of the pools' keys, spread over all of them: digits of a mixed-radix number, the last pool's first."""
-    space = math.prod(size for _, _, size in pools)
+def composite_places(row: Column, sizes: list[int], n_rows: int, seed: int) -> list[Column]:
+    """A place in each pool, no combination twice: digits of a mixed-radix number that steps through all combinations, the last pool's first."""
+    space = math.prod(sizes)
     if n_rows > space:
-        raise CapacityError(f"{n_rows} rows for {' x '.join(str(s) for *_, s in pools)} = {space} combinations")
+        raise CapacityError(f"{n_rows} rows for {' x '.join(map(str, sizes))} = {space} combinations")
+    if space >= 2**63:  # the number of a row does not need all of it
+        space = 2**62
     step = stride_for(space, seed)
     if space * step >= 2**63:
         step = 1
-    n = F.pmod(F.lit(seed % space).cast("long") + F.pmod(F.col(id_col), F.lit(space)) * step, F.lit(space).cast("long"))
-    out = rows.withColumn("_n", n)
-    divisor = 1
-    for name, pool, size in reversed(pools):
-        out = _attach(out, F.floor(F.col("_n") / divisor).cast("long") % size, pool, name, size)
-        divisor *= size
-    return out.drop("_n")
+    n = F.pmod(F.lit(seed % space).cast("long") + F.pmod(row, F.lit(space).cast("long")) * step, F.lit(space).cast("long"))
+    out, divisor = [], 1
+    for size in reversed(sizes):
+        quotient = F.call_function("div", n, F.lit(divisor).cast("long")) if divisor > 1 else n
+        out.insert(0, F.pmod(quotient, F.lit(size).cast("long")) if divisor < 2**62 else F.lit(0).cast("long"))
+        divisor = min(divisor * size, 2**62)
+    return out
+
+
+def assign_composite(rows: DataFrame, id_col: str, pools: list[tuple[str, DataFrame, int]], n_rows: int, seed: int) -> DataFrame:
+    """Distinct combinations of the pools' keys, spread over all of them."""
+    places = composite_places(F.col(id_col), [size for *_, size in pools], n_rows, seed)
+    out = rows.withColumns({f"_place_{k}": place for k, place in enumerate(places)})
+    for k, (name, pool, size) in enumerate(pools):
+        out = attach(out, F.col(f"_place_{k}"), pool, name, size)
+    return out.drop(*[f"_place_{k}" for k in range(len(pools))])

@@ -15,11 +15,17 @@ class RepairError(ValueError):
     pass
 
 
-def suffixed(value: Column, number: Column, max_len: int = 0) -> Column:
-    """``value-number``; for an e-mail the local part takes the number and the domain stays whole."""
+def suffixed(value: Column, number: Column, max_len: int = 0, is_mail: bool | None = None) -> Column:
+    """``value-number``; for an e-mail the local part takes the number and the domain stays whole.
+
+    ``is_mail``: whether values are e-mail addresses, where that is known.
+    """
     tail = number.cast("string")
-    local, domain = F.regexp_extract(value, "^(.*)@[^@]*$", 1), F.regexp_extract(value, "(@[^@]*)$", 1)
-    mail = value.contains("@")
+    domain = F.concat(F.lit("@"), F.substring_index(value, "@", -1))
+    local = F.substring(value, F.lit(1), F.length(value) - F.length(domain))
+    if is_mail and not max_len:
+        local = F.substring_index(value, "@", 1)
+    mail = value.contains("@") if is_mail is None else F.lit(is_mail)
     if not max_len:
         return F.when(mail, F.concat(local, F.lit("+"), tail, domain)).otherwise(F.concat(value, F.lit("-"), tail))
 
@@ -31,7 +37,7 @@ def suffixed(value: Column, number: Column, max_len: int = 0) -> Column:
     return F.when(mail, fit(local, "+", F.concat(tail, domain))).otherwise(fit(value, "-", tail))
 
 
-def constructed(value: Column, row: Column, kind: str, n: int, low, high, seed: int, max_len: int = 0) -> Column:
+def constructed(value: Column, row: Column, kind: str, n: int, low, high, seed: int, max_len: int = 0, is_mail: bool | None = None) -> Column:
     """Values that cannot repeat, without looking at other rows: text ends in the row, a uuid's last part is the row,
     integers step through their range (from its start upwards if it is too small for ``n`` rows)."""
     if kind == "uuid":
@@ -39,14 +45,14 @@ def constructed(value: Column, row: Column, kind: str, n: int, low, high, seed:
     if kind == "string":
         if max_len and max_len < len(str(max(0, n - 1))):
             raise RepairError(f"{n} unique values do not fit {max_len} characters")
-        return suffixed(value, row, max_len)
+        return suffixed(value, row, max_len, is_mail)
     first = int(low) if low is not None else 1
     space = (int(high) if high is not None else first + 998) - first + 1
     if space < n:
         return F.when(value.isNotNull(), row + first)
     step = stride_for(space, seed)
     step = step if space * step < 2**63 else 1
-    return F.when(value.isNotNull(), F.pmod(row * step + seed % space, F.lit(space)) + first)
+    return F.when(value.isNotNull(), F.pmod(row * step + seed % space, F.lit(space).cast("long")) + first)
 
 
 def _keyed(column: str, folded: bool) -> Column:

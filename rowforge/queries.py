@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowforge.functions.draw import draw, draw_sql, salt, table_seed, unit
+from rowforge.functions.draw import P, below_sql, draw, draw_sql, salt, table_seed, unit, unit_sql
 from rowforge.functions.kinds import KINDS, Draws, generate
 from rowforge.functions.pattern import compile_pattern
 from rowforge.functions.scalars import clamp_text, round_scale
@@ -23,7 +23,6 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 SEED = table_seed(7, "orders")
-P = 2147483647
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -158,9 +157,9 @@ def _salted(purpose: str) -> int:
     return salt(SEED, purpose)
 
 
-def _kind_draw(s: int, use: int) -> str:
+def _kind_draw(s: int, use: int, draw_of=draw_sql) -> str:
     """SQL of the ``use``-th draw of a kind with salt ``s``."""
-    return draw_sql(_ROW, (s + 104729 * use) % P)
+    return draw_of(_ROW, (s + 104729 * use) % P)
 
 
 _add("draw_value", _on("orders", lambda t: t.select(_ROW, draw(F.col(_ROW), _salted("v")).alias("v"))), f"SELECT {_ROW}, {draw_sql(_ROW, _salted('v'))} AS v FROM orders")
@@ -169,12 +168,12 @@ _add("sequence_text", _on("orders", lambda t: t.select(_ROW, (F.col(_ROW) + 1).c
 _add(
     "weighted_bool",
     _on("orders", lambda t: t.select(_ROW, (unit(F.col(_ROW), _salted("b")) < 0.8).alias("b"))),
-    f"SELECT {_ROW}, {draw_sql(_ROW, _salted('b'))} / 2147483647.0::DOUBLE < 0.8::DOUBLE AS b FROM orders",
+    f"SELECT {_ROW}, {unit_sql(_ROW, _salted('b'))} < 0.8::DOUBLE AS b FROM orders",
 )
 _add(
     "null_rate_apply",
     _on("orders", lambda t: t.select(_ROW, F.when(unit(F.col(_ROW), _salted("z")) >= 0.05, F.col("o_orderstatus")).alias("v"))),
-    f"SELECT {_ROW}, CASE WHEN {draw_sql(_ROW, _salted('z'))} / 2147483647.0::DOUBLE >= 0.05::DOUBLE THEN o_orderstatus END AS v FROM orders",
+    f"SELECT {_ROW}, CASE WHEN {unit_sql(_ROW, _salted('z'))} >= 0.05::DOUBLE THEN o_orderstatus END AS v FROM orders",
 )
 _add("clamp_text", _on("orders", lambda t: t.select(_ROW, clamp_text(F.col("o_orderpriority"), 5).alias("v"))), f"SELECT {_ROW}, substr(o_orderpriority, 1, 5) AS v FROM orders")
 _LIST = ["new", "paid", "sent", "returned"]
@@ -186,8 +185,8 @@ _add(
 _add(
     "enum_weighted",
     _on("orders", lambda t: t.select(_ROW, generate("enum", Draws(F.col(_ROW), _salted("w")), {"values": ["a", "b", "c"], "weights": [2, 1, 1]}).alias("v"))),
-    f"SELECT {_ROW}, CASE WHEN {_kind_draw(_salted('w'), 1)} / 2147483647.0::DOUBLE < 0.5::DOUBLE THEN 'a' "
-    f"WHEN {_kind_draw(_salted('w'), 1)} / 2147483647.0::DOUBLE < 0.75::DOUBLE THEN 'b' ELSE 'c' END AS v FROM orders",
+    f"SELECT {_ROW}, CASE WHEN {_kind_draw(_salted('w'), 1, unit_sql)} < 0.5::DOUBLE THEN 'a' "
+    f"WHEN {_kind_draw(_salted('w'), 1, unit_sql)} < 0.75::DOUBLE THEN 'b' ELSE 'c' END AS v FROM orders",
 )
 _add(
     "min_max_int",
@@ -236,7 +235,7 @@ def _fk_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _POOL_SQL = "(SELECT {k} AS key, row_number() OVER (ORDER BY {k}) - 1 AS i FROM (SELECT DISTINCT {k} FROM {t} WHERE {k} IS NOT NULL))"
 _CUSTOMERS = _POOL_SQL.format(k="c_custkey", t="customer")
-_add("fk_draw", _fk_draw, f"SELECT {_ROW}, p.key AS custkey FROM orders JOIN {_CUSTOMERS} p ON p.i = {draw_sql(_ROW, _salted('fk'))} % (SELECT count(DISTINCT c_custkey) FROM customer)")
+_add("fk_draw", _fk_draw, f"SELECT {_ROW}, p.key AS custkey FROM orders JOIN {_CUSTOMERS} p ON p.i = {below_sql(_ROW, _salted('fk'), '(SELECT count(DISTINCT c_custkey) FROM customer)')}")
 
 
 def _fk_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from rowforge.functions import draw
 from rowforge.functions.draw import salt, table_seed
 from rowforge.functions.kinds import KINDS, Draws, generate, register_generator
 from rowforge.functions.pattern import compile_pattern
@@ -207,6 +208,81 @@ def test_write_preview_and_dry_run(spark, tmp_path):
     assert [(r.version, r.applied) for r in history.collect()] == [("2", None), ("1", True)]
 
 
+def test_draws_against_their_definition(spark):
+    places = [0, 1, 5, 2**31 - 1 + 3, 2**31 + 3, 2 * (2**31 - 1) + 3, 2**33, 2**62]
+    df = spark.createDataFrame([(r,) for r in places], "r long")
+    got = df.select("r", draw.draw(F.col("r"), 77), draw.unit(F.col("r"), 77), draw.below(F.col("r"), 77, 9), draw.below(F.col("r"), 77, 10**12)).collect()
+    for r, whole, unit, nine, wide in got:
+        own = draw.hash_long(r, draw.hash_long(77, 42))
+        assert (whole, unit, nine, wide) == (own >> 33, (own >> 11) * 2.0**-53, (own >> 33) % 9, (own >> 1) % 10**12)
+    assert len({x[1] for x in got}) == len(places)
+    import duckdb
+
+    for r, whole, unit, _, wide in got:
+        assert duckdb.sql(f"SELECT {draw.draw_sql(str(r), 77)}, {draw.unit_sql(str(r), 77)}, {draw.below_sql(str(r), 77, 10**12)}").fetchall() == [(whole, unit, wide)]
+
+
+def test_generated_methods_are_small_enough_to_compile(spark):
+    """HotSpot leaves methods of more than 8,000 bytes to the interpreter."""
+    text = spark._jvm.PythonSQLUtils.explainString(run(spark, SCHEMA, users_plan(1000, 1000)).tables["users"]._jdf.queryExecution(), "codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8_000
+
+
+def test_keys_that_are_functions_of_the_row_need_no_join(spark):
+    schema = ddl.parse_schema(
+        "CREATE TABLE p (id serial PRIMARY KEY, code varchar(20) NOT NULL UNIQUE, u uuid NOT NULL UNIQUE, n int); "
+        "CREATE TABLE c (id serial PRIMARY KEY, p_id int NOT NULL REFERENCES p, p_code varchar(20) NOT NULL REFERENCES p (code), p_u uuid REFERENCES p (u)); "
+        "CREATE TABLE one (p_id int PRIMARY KEY REFERENCES p, x int); CREATE TABLE pair (p_id int REFERENCES p, c_id int REFERENCES c, PRIMARY KEY (p_id, c_id))"
+    )
+    plan = infer(schema)
+    plan.seed = 4
+    for name, n in (("p", 300), ("c", 1000), ("one", 300), ("pair", 5000)):
+        plan.tables[name].rows = n
+    plan.tables["c"].columns["p_u"].null_rate = 0.1
+    made = run(spark, schema, plan).tables
+    for name in ("c", "one", "pair"):
+        plan_text = made[name]._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan_text and "Join" not in plan_text, name
+    for child, key, parent, parent_key in (("c", "p_id", "p", "id"), ("c", "p_code", "p", "code"), ("c", "p_u", "p", "u"), ("one", "p_id", "p", "id"), ("pair", "c_id", "c", "id")):
+        assert checks.orphans(made[child], key, made[parent], parent_key).isEmpty(), (child, key)
+    assert checks.one_to_one(made["one"], "p_id").first().one_to_one and checks.uniqueness(made["pair"], ["p_id", "c_id"]).first().extra_rows == 0
+    assert made["c"].select("p_code").distinct().count() > 250 and 0 < made["c"].where("p_u IS NULL").count() < 200
+    # parents that exist already are numbered and joined
+    del plan.tables["p"]
+    again = run(spark, schema, plan, Options(existing={"p": made["p"]})).tables
+    assert checks.orphans(again["c"], "p_code", made["p"], "code").isEmpty() and rows(again["c"].select("p_id")) == rows(made["c"].select("p_id"))
+
+
+def test_pools_are_numbered_in_order(spark):
+    for values, kind in (([f"k{i:04}" for i in range(3000)] * 2 + [None], "string"), (list(range(0, 9000, 3)), "long"), ([], "long"), (["one"], "string")):
+        pool = relate.indexed(spark.createDataFrame([(v,) for v in values], f"v {kind}").repartition(5), "v")
+        assert [(r.i, r.key) for r in pool.orderBy("i").collect()] == list(enumerate(sorted({v for v in values if v is not None})))
+
+
+def test_truncate_append_and_progress(spark, tmp_path):
+    plan, path = users_plan(10, 20), str(tmp_path / "out")
+    heard = []
+    first = write_tables(run(spark, SCHEMA, plan), path, progress=lambda *x: heard.append(x[:2]))
+    assert heard == [("users", 10), ("orders", 20)] and first.counts == dict(heard)
+    with pytest.raises(GenerationError, match="exists"):
+        write_tables(run(spark, SCHEMA, plan), path)
+    held = {n: spark.read.parquet(f"{path}/{n}").cache() for n in ("users", "orders")}
+    assert [df.count() for df in held.values()] == [10, 20]
+    write_tables(run(spark, SCHEMA, plan, Options(seed=9, append=True, existing=held)), path)
+    for df in held.values():
+        df.unpersist()
+    both = spark.read.parquet(f"{path}/users")
+    assert both.count() == 20 and checks.uniqueness(both, ["id"]).first().extra_rows == 0 and checks.uniqueness(both, ["email"]).first().extra_rows == 0
+    write_tables(run(spark, SCHEMA, plan, Options(seed=9, truncate=True)), path)
+    assert spark.read.parquet(f"{path}/orders").count() == 20
+    plan.tables["users"].truncate = True
+    with pytest.raises(GenerationError, match="orders exists"):
+        write_tables(run(spark, SCHEMA, plan), path)
+    with pytest.raises(GenerationError, match="append and truncate"):
+        run(spark, SCHEMA, plan, Options(append=True))
+
+
 def test_streams(spark, tmp_path):
     plan = users_plan(50)
     batch = run(spark, SCHEMA, plan).tables["users"]
