@@ -1,4 +1,4 @@
-"""python -m rowforge scan | validate | run | dump | version
+"""python -m rowforge scan | validate | run | dump | script | version
 
 Options win over ROWFORGE_* environment variables.
 """
@@ -9,6 +9,7 @@ import argparse
 import os
 import sys
 
+from rowforge.functions.kinds import LOCALES
 from rowforge.operators import export
 from rowforge.operators.generate import Options, dry_run, generate, write_tables
 from rowforge.plans import ddl
@@ -39,14 +40,19 @@ def _schema(args) -> Schema:
 def main(argv: list[str] | None = None) -> int:
     env = lambda name, default=None: os.environ.get(f"ROWFORGE_{name}", default)
     parser = argparse.ArgumentParser(prog="rowforge", description=__doc__)
-    parser.add_argument("command", choices=["scan", "validate", "run", "dump", "version"])
+    parser.add_argument("command", choices=["scan", "validate", "run", "dump", "script", "version"])
     parser.add_argument("--schema", default=env("SCHEMA", "schema.sql"))
     parser.add_argument("--plan", default=env("PLAN", "plan.json"))
     parser.add_argument("-o", "--out", default=env("OUT", "out"))
     parser.add_argument("--format", default=env("FORMAT", "csv"), choices=["csv", "json", "sql"])
     parser.add_argument("--rows", type=int, default=int(env("ROWS")) if env("ROWS") else None)
     parser.add_argument("--seed", type=int, default=int(env("SEED", "0")))
+    parser.add_argument("--locale", default=env("LOCALE"), choices=sorted(LOCALES))
+    parser.add_argument("--dialect", default=env("DIALECT", "postgres"), choices=sorted(ddl.TYPE_MENUS), help="what script writes")
+    parser.add_argument("--append", action="store_true", help="keep what a target holds")
+    parser.add_argument("--truncate", action="store_true", help="replace what a target holds")
     parser.add_argument("--dry-run", action="store_true")
+    parser.add_argument("--quiet", action="store_true")
     args = parser.parse_args(argv)
     if args.command == "version":
         print(VERSION)
@@ -64,12 +70,20 @@ def main(argv: list[str] | None = None) -> int:
         problems = validate(load(args.plan), schema)
         print("\n".join(problems) or "no problems")
         return int(bool(problems))
-    made = generate(_session(), schema, load_or_infer(args.plan, schema), Options(seed=args.seed, rows=args.rows))
+    if args.command == "script":
+        print(ddl.script(Schema([ddl.translated(t, args.dialect) for t in schema.tables]), args.dialect), end="")
+        return 0
+    plan, held = load_or_infer(args.plan, schema), {}
+    plan.locale = args.locale or plan.locale
+    if args.append:
+        held = {t.name: _session().read.parquet(f"{args.out}/{t.name}") for t in schema.tables if os.path.exists(f"{args.out}/{t.name}")}
+    made = generate(_session(), schema, plan, Options(seed=args.seed, rows=args.rows, append=args.append, truncate=args.truncate, existing=held))
+    say = None if args.quiet else lambda name, rows, seconds: print(f"{name}: {rows} rows in {seconds:.1f} s", file=sys.stderr)
     if args.dry_run:
-        dry_run(made)
+        dry_run(made, say)
         print(f"seed {made.seed}: {sum(made.counts.values())} rows, {made.rows_per_second():.0f} a second, nothing written")
     elif args.command == "run":
-        write_tables(made, args.out)
+        write_tables(made, args.out, progress=say)
         print(f"seed {made.seed}: {', '.join(made.order)}")
     else:
         print("\n".join(export.dump(made.tables, made.order, args.out, args.format)))

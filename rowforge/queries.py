@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowforge.functions.draw import P, below_sql, draw, draw_sql, salt, table_seed, unit, unit_sql
-from rowforge.functions.kinds import KINDS, Draws, generate
+from rowforge.functions.kinds import Draws, generate
+from rowforge.functions.kinds_sql import KINDS_SQL, SqlDraws
 from rowforge.functions.pattern import compile_pattern
 from rowforge.functions.scalars import clamp_text, round_scale
 from rowforge.operators import checks, export, relate, unique
 from rowforge.operators import generate as engine
 from rowforge.plans import ddl
 from rowforge.plans.model import classify
-from rowforge.plans.plan import infer, table_order
+from rowforge.plans.plan import ColumnPlan, infer, merge, table_order, validate
 from rowforge.sources import catalog
+from rowforge.streaming.stream import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,11 +70,8 @@ def _edge_sql(edge: tuple[str, str, str, str]) -> str:
 
 
 def _fk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for edge in EDGES:
-        one = _edge(spark, sf_dir, edge)
-        out = one if out is None else out.unionByName(one)
-    return out
+    names = {table for child, _, parent, _ in EDGES for table in (child, parent)}
+    return checks.orphan_report({n: _table(spark, sf_dir, n) for n in names}, EDGES)
 
 
 _add("check_fk_report", _fk_report, " UNION ALL ".join(map(_edge_sql, EDGES)))
@@ -80,8 +80,8 @@ for _e in EDGES:
 
 _add(
     "check_fk_orphan_rows",
-    lambda s, d: checks.orphans(_table(s, d, "events"), "user_id", _table(s, d, "customer").where("c_custkey % 3 <> 0"), "c_custkey").select("event_id", "user_id"),
-    "SELECT event_id, user_id FROM events e WHERE user_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id AND c.c_custkey % 3 <> 0)",
+    lambda s, d: checks.orphans(_table(s, d, "lineitem"), "l_linenumber", _table(s, d, "region"), "r_regionkey").select("l_orderkey", "l_linenumber"),
+    "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE l_linenumber IS NOT NULL AND NOT EXISTS (SELECT 1 FROM region r WHERE r.r_regionkey = l.l_linenumber)",
 )
 _add(
     "check_self_reference",
@@ -139,14 +139,9 @@ _add(
     _on("orders", lambda t: checks.spread(t, "o_custkey")),
     "SELECT count(*) AS parents, min(n) AS least, max(n) AS most, avg(n) AS mean FROM (SELECT count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey)",
 )
-_add(
-    "check_reproducible",
-    lambda s, d: checks.differences(*[s.range(0, 5000, 1, n).select("id", draw(F.col("id"), 11).alias("v")) for n in (3, 7)]),
-    "SELECT CAST(0 AS BIGINT) AS id, CAST(0 AS BIGINT) AS v, '' AS side FROM region WHERE false",
-)
 _add("key_pool", _on("customer", lambda t: checks.key_pool(t, "c_custkey", 100)), "SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL ORDER BY 1 LIMIT 100")
 _add("max_value", _on("orders", lambda t: checks.max_value(t, "o_orderkey")), "SELECT max(o_orderkey) AS max_value, count(o_orderkey) AS n FROM orders")
-_COUNTED = ["customer", "events", "lineitem", "nation", "orders", "part", "region", "supplier"]
+_COUNTED = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
 _add("table_counts", lambda s, d: checks.table_counts({n: _table(s, d, n) for n in _COUNTED}), " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in _COUNTED))
 
 # --- draws and values over the keys of orders -------------------------------------------------
@@ -163,18 +158,6 @@ def _kind_draw(s: int, use: int, draw_of=draw_sql) -> str:
 
 
 _add("draw_value", _on("orders", lambda t: t.select(_ROW, draw(F.col(_ROW), _salted("v")).alias("v"))), f"SELECT {_ROW}, {draw_sql(_ROW, _salted('v'))} AS v FROM orders")
-_add("sequence_start", _on("orders", lambda t: t.select(_ROW, (F.col(_ROW) + 800000001000).alias("n"))), f"SELECT {_ROW}, {_ROW} + 800000001000 AS n FROM orders")
-_add("sequence_text", _on("orders", lambda t: t.select(_ROW, (F.col(_ROW) + 1).cast("string").alias("n"))), f"SELECT {_ROW}, CAST({_ROW} + 1 AS VARCHAR) AS n FROM orders")
-_add(
-    "weighted_bool",
-    _on("orders", lambda t: t.select(_ROW, (unit(F.col(_ROW), _salted("b")) < 0.8).alias("b"))),
-    f"SELECT {_ROW}, {unit_sql(_ROW, _salted('b'))} < 0.8::DOUBLE AS b FROM orders",
-)
-_add(
-    "null_rate_apply",
-    _on("orders", lambda t: t.select(_ROW, F.when(unit(F.col(_ROW), _salted("z")) >= 0.05, F.col("o_orderstatus")).alias("v"))),
-    f"SELECT {_ROW}, CASE WHEN {unit_sql(_ROW, _salted('z'))} >= 0.05::DOUBLE THEN o_orderstatus END AS v FROM orders",
-)
 _add("clamp_text", _on("orders", lambda t: t.select(_ROW, clamp_text(F.col("o_orderpriority"), 5).alias("v"))), f"SELECT {_ROW}, substr(o_orderpriority, 1, 5) AS v FROM orders")
 _LIST = ["new", "paid", "sent", "returned"]
 _add(
@@ -193,11 +176,6 @@ _add(
     _on("orders", lambda t: t.select(_ROW, generate("int", Draws(F.col(_ROW), _salted("i")), {"min": 10, "max": 99}).alias("v"))),
     f"SELECT {_ROW}, {_kind_draw(_salted('i'), 1)} % 90 + 10 AS v FROM orders",
 )
-_add(
-    "const_null_surrogate",
-    _on("nation", lambda t: t.select("n_nationkey", F.lit("x").alias("c"), F.lit(None).cast("string").alias("z"), (F.col("n_nationkey") + 1).cast("int").alias("surrogate"))),
-    "SELECT n_nationkey, 'x' AS c, CAST(NULL AS VARCHAR) AS z, CAST(n_nationkey + 1 AS INTEGER) AS surrogate FROM nation",
-)
 _add(
     "round_scale",
     _on("lineitem", lambda t: t.select("l_orderkey", "l_linenumber", round_scale(F.col("l_extendedprice") * F.col("l_discount"), 2).alias("v"))),
@@ -365,8 +343,136 @@ _add(
     lambda s, d: s.createDataFrame([(n,) for n in ddl.missing(ddl.replay_texts(_MIGRATIONS), ddl.replay_texts(["CREATE TABLE c (id int)"]))[0]], "table_name string"),
     "SELECT 'b' AS table_name",
 )
-_add("infer_columns", lambda s, d: s.createDataFrame([(t, c, p.generator, p.confidence) for t, tp in infer(SCHEMA).tables.items() for c, p in tp.columns.items()], "table_name string, column_name string, generator string, confidence string"))
-_add("er_diagram", lambda s, d: s.createDataFrame(list(enumerate(ddl.mermaid(SCHEMA).splitlines())), "line long, text string"))
+def _inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of the stored tables: class, generator, confidence and null rate of every column."""
+    schema = catalog.introspect({n: _table(spark, sf_dir, n) for n in _COUNTED})
+    plan = infer(schema)
+    rows = [(t.name, c.name, c.cls, p.generator, p.confidence, p.null_rate) for t in schema.tables for c in t.columns for p in [plan.tables[t.name].columns[c.name]]]
+    return spark.createDataFrame(rows, "table_name string, column_name string, class string, generator string, confidence string, null_rate double")
+
+
+_LISTED = ", ".join(f"'{n}'" for n in _COUNTED)
+_CLASS = (
+    "CASE WHEN data_type LIKE '%[]' THEN 'unknown' WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'int' WHEN data_type = 'DOUBLE' THEN 'float' "
+    "WHEN data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE' THEN 'time' ELSE 'string' END"
+)
+_add(
+    "infer_tables",
+    _inferred,
+    f"SELECT table_name, column_name, class, CASE WHEN column_name = 'url' THEN 'url' WHEN class = 'string' THEN 'sentence' WHEN class = 'unknown' THEN 'default' ELSE class END AS generator, "
+    "CASE WHEN column_name = 'url' THEN 'high' WHEN class IN ('string', 'unknown') THEN 'low' ELSE 'medium' END AS confidence, "
+    "CASE WHEN is_nullable = 'YES' AND class <> 'unknown' THEN 0.05 ELSE 0.0 END::DOUBLE AS null_rate FROM "
+    f"(SELECT table_name, column_name, is_nullable, {_CLASS} AS class FROM information_schema.columns WHERE table_schema = 'main' AND table_name IN ({_LISTED}))",
+)
+_add(
+    "infer_columns",
+    lambda s, d: s.createDataFrame([(t, c, p.generator, p.confidence) for t, tp in infer(SCHEMA).tables.items() for c, p in tp.columns.items()], "table_name string, column_name string, generator string, confidence string"),
+    "SELECT * FROM (VALUES ('users','id','default','high'), ('users','email','email','high'), ('users','first_name','firstname','high'), ('users','last_name','lastname','high'), "
+    "('users','city','city','high'), ('users','phone','phone','high'), ('users','company','company','high'), ('users','balance','amount','high'), ('users','is_active','bool','medium'), "
+    "('users','created_at','time','high'), ('orders','id','default','high'), ('orders','user_id','foreign_key','high'), ('orders','status','word','low'), ('orders','total','amount','high'), "
+    "('orders','placed_at','time','medium')) t(table_name, column_name, generator, confidence)",
+)
+
+
+def _tables_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CREATE TABLE lines of the stored tables as MySQL writes their types."""
+    schema = catalog.introspect({n: _table(spark, sf_dir, n) for n in _COUNTED if n != "embeddings"})
+    rows = [(t.name, k, line.strip().rstrip(",")) for t in schema.tables for k, line in enumerate(ddl.create_sql(ddl.translated(t, "mysql"), "mysql").splitlines()[1:-1])]
+    return spark.createDataFrame(rows, "table_name string, place long, line string")
+
+
+_add(
+    "ddl_render_tables",
+    _tables_script,
+    "SELECT table_name, ordinal_position::BIGINT - 1 AS place, '`' || column_name || '` ' || CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'bigint' WHEN data_type = 'DOUBLE' THEN 'double' "
+    "WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime' WHEN data_type = 'DATE' THEN 'date' ELSE 'text' END AS line "
+    f"FROM information_schema.columns WHERE table_schema = 'main' AND table_name <> 'embeddings' AND table_name IN ({_LISTED})",
+)
+_add(
+    "er_diagram",
+    lambda s, d: s.createDataFrame([(k, line) for k, line in enumerate(ddl.mermaid(SCHEMA).splitlines())], "line long, text string"),
+    "SELECT CAST(ordinality - 1 AS BIGINT) AS line, text FROM (SELECT unnest(['erDiagram', '  users {', '    BIGSERIAL id PK', '    VARCHAR_120_ email UK', '    VARCHAR_50_ first_name', "
+    "'    VARCHAR_50_ last_name', '    VARCHAR_60_ city', '    VARCHAR_30_ phone', '    VARCHAR_80_ company', '    DECIMAL_10_2_ balance', '    BOOLEAN is_active', '    TIMESTAMP created_at', '  }', "
+    "'  orders {', '    BIGSERIAL id PK', '    BIGINT user_id FK', '    VARCHAR_20_ status', '    DECIMAL_10_2_ total', '    TIMESTAMP placed_at', '  }', "
+    "'  users ||--o{ orders : user_id']) AS text, generate_subscripts(range(21), 1) AS ordinality)",
+)
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems of a plan that puts nulls into every second column of the stored tables and names a column too many in each."""
+    schema = catalog.introspect({n: _table(spark, sf_dir, n) for n in _COUNTED})
+    for t in schema.tables:
+        for c in t.columns:
+            c.nullable = False
+    plan = infer(schema)
+    for t in schema.tables:
+        for k, c in enumerate(t.columns):
+            plan.tables[t.name].columns[c.name].null_rate = 0.5 if k % 2 else 0.0
+        plan.tables[t.name].columns["surplus"] = ColumnPlan("int")
+    return spark.createDataFrame([(p,) for p in validate(plan, schema)], "problem string")
+
+
+_add(
+    "validate_plan",
+    _validated,
+    f"SELECT table_name || '.' || column_name || ': null_rate on a required column' AS problem FROM information_schema.columns WHERE table_schema = 'main' AND table_name IN ({_LISTED}) AND ordinal_position % 2 = 0 "
+    "AND data_type NOT LIKE '%[]' "
+    f"UNION ALL SELECT table_name || '.surplus: no such column' FROM information_schema.tables WHERE table_schema = 'main' AND table_name IN ({_LISTED}) "
+    "UNION ALL SELECT 'embeddings.embedding: null_rate on a required column'",
+)
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan of old tables, in which a person chose each second generator, merged into a fresh one without ``region``'s columns."""
+    schema = catalog.introspect({n: _table(spark, sf_dir, n) for n in ("region", "nation", "customer")})
+    old, fresh = infer(schema), infer(schema)
+    for tp in old.tables.values():
+        tp.rows = 7
+        for k, cp in enumerate(tp.columns.values()):
+            cp.generator = "const" if k % 2 else ""
+    del fresh.tables["region"]
+    merged = merge(old, fresh)
+    return spark.createDataFrame([(t, c, p.generator, p.confidence, tp.rows) for t, tp in merged.tables.items() for c, p in tp.columns.items()], "table_name string, column_name string, generator string, confidence string, rows long")
+
+
+_add(
+    "merge_plans",
+    _merged,
+    f"SELECT table_name, column_name, CASE WHEN ordinal_position % 2 = 0 THEN 'const' WHEN class = 'string' THEN 'sentence' ELSE class END AS generator, "
+    "CASE WHEN ordinal_position % 2 = 0 THEN 'manual' WHEN class = 'string' THEN 'low' ELSE 'medium' END AS confidence, CAST(7 AS BIGINT) AS rows FROM "
+    f"(SELECT table_name, column_name, ordinal_position, {_CLASS} AS class FROM information_schema.columns WHERE table_schema = 'main' AND table_name IN ('nation', 'customer'))",
+)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events counted by a stream over the stored files, by day and type."""
+    source = spark.readStream.schema(_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    events = source.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    name = f"rowforge_{uuid.uuid4().hex}"
+    query = windowed_counts(events, "ts", "event_type", "1 day").writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name).select(F.col("start").cast("string").alias("day"), "event_type", "n")
+
+
+_add(
+    "stream_windowed_counts",
+    _streamed,
+    "SELECT strftime(date_trunc('day', ts::TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS day, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
+)
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read as a migration tool's history: the newest 200, unknown times last."""
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version_id"), (F.col("o_orderstatus") == "F").alias("is_applied"), F.col("o_orderdate").cast("timestamp").alias("tstamp"))
+    return catalog.migration_history({"goose_db_version": orders}).select("source", "version", F.col("applied_at").cast("string").alias("applied_at"), "applied")
+
+
+_add(
+    "migration_history",
+    _history,
+    "SELECT 'goose' AS source, CAST(o_orderkey AS VARCHAR) AS version, strftime(o_orderdate::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS applied_at, o_orderstatus = 'F' AS applied "
+    "FROM orders ORDER BY o_orderdate::TIMESTAMP DESC NULLS LAST, CAST(o_orderkey AS VARCHAR) DESC LIMIT 200",
+)
 
 
 def users_plan(rows: int, orders: int = 0):
@@ -379,7 +485,106 @@ def generate_users(spark: SparkSession, rows: int) -> DataFrame:
     return engine.generate(spark, SCHEMA, users_plan(rows)).tables["users"]
 
 
-_add("generate_users", lambda s, d: generate_users(s, 10_000))
+def _users_sql(rows: str) -> str:
+    """The users table of row ids ``row`` in the table expression ``rows``."""
+    own = table_seed(42, "users")
+    d = lambda column: SqlDraws("row", salt(own, column))
+    null = lambda column, value: f"CASE WHEN {unit_sql('row', salt(own, column, 'null'))} >= 0.05::DOUBLE THEN {value} END"
+    mail = d("email")
+    cents = f"(floor({d('balance').number(0.0, 99999999.0)} * 100) / 100)"
+    return (
+        f"SELECT row + 1 AS id, {mail.handle()} || '+' || row || '@example.' || {mail.pick(['com', 'org', 'net'])} AS email, {KINDS_SQL['firstname'](d('first_name'))} AS first_name, "
+        f"{KINDS_SQL['lastname'](d('last_name'))} AS last_name, {null('city', KINDS_SQL['city'](d('city')))} AS city, {null('phone', KINDS_SQL['phone'](d('phone')))} AS phone, "
+        f"{null('company', KINDS_SQL['company'](d('company')))} AS company, floor({cents} * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS balance, "
+        f"{unit_sql('row', salt(own, 'is_active', 'bool'))} < 0.5::DOUBLE AS is_active, {KINDS_SQL['time'](d('created_at'))} AS created_at FROM {rows}"
+    )
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Decimals as doubles and times as text, which engines compare alike."""
+    change = {"decimal": "double", "timestamp": "string"}
+    return df.select(*[F.col(f.name).cast(change[t]).alias(f.name) if (t := f.dataType.typeName()) in change else F.col(f.name) for f in df.schema])
+
+
+def _rows_of(spark: SparkSession, sf_dir: str, table: str) -> int:
+    return _table(spark, sf_dir, table).count()
+
+
+_add("generate_users", lambda s, d: _plain(generate_users(s, _rows_of(s, d, "customer"))), _users_sql("(SELECT range AS row FROM range((SELECT count(*) FROM customer)))"))
+
+
+def _orders_sql(users: str, orders: str) -> str:
+    own = table_seed(42, "orders")
+    d = lambda column: SqlDraws("row", salt(own, column))
+    cents = f"(floor({d('total').number(0.0, 99999999.0)} * 100) / 100)"
+    return (
+        f"SELECT row + 1 AS id, {below_sql('row', salt(own, 'user_id', 'fk'), users)} + 1 AS user_id, substr({KINDS_SQL['word'](d('status'))}, 1, 20) AS status, "
+        f"floor({cents} * 100.0::DOUBLE + 0.5::DOUBLE) / 100.0::DOUBLE AS total, {KINDS_SQL['time'](d('placed_at'))} AS placed_at FROM (SELECT range AS row FROM range({orders}))"
+    )
+
+
+_add(
+    "generate_orders",
+    lambda s, d: _plain(engine.generate(s, SCHEMA, users_plan(_rows_of(s, d, "customer"), _rows_of(s, d, "orders"))).tables["orders"]),
+    _orders_sql("(SELECT count(*) FROM customer)", "(SELECT count(*) FROM orders)"),
+)
+_RULES = ddl.parse_schema("CREATE TABLE r (id bigserial PRIMARY KEY, n bigint NOT NULL, t varchar(30) NOT NULL, b boolean NOT NULL, c varchar(5), z text, v varchar(8))")
+
+
+def _rules(*columns: str) -> Query:
+    """Columns of a table generated with as many rows as ``orders``, by rules that look at no name."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        plan = infer(_RULES)
+        plan.seed, plan.tables["r"].rows = 42, _rows_of(spark, sf_dir, "orders")
+        plan.tables["r"].columns |= {
+            "n": ColumnPlan("sequence", start=800000001000), "t": ColumnPlan("sequence"), "b": ColumnPlan("bool", true_weight=0.8),
+            "c": ColumnPlan("const", const="x"), "z": ColumnPlan("null"), "v": ColumnPlan("enum", values=["new", "paid", "sent", "returned again"], null_rate=0.05),
+        }
+        return engine.generate(spark, _RULES, plan).tables["r"].select("id", *columns)
+
+    return query
+
+
+def _rules_sql(columns: str) -> str:
+    return f"SELECT row + 1 AS id, {columns} FROM (SELECT range AS row FROM range((SELECT count(*) FROM orders)))"
+
+
+_R = table_seed(42, "r")
+_add("sequence_start", _rules("n"), _rules_sql("row + 800000001000 AS n"))
+_add("sequence_text", _rules("t"), _rules_sql("CAST(row + 1 AS VARCHAR) AS t"))
+_add("weighted_bool", _rules("b"), _rules_sql(f"{unit_sql('row', salt(_R, 'b', 'bool'))} < 0.8::DOUBLE AS b"))
+_add("const_null_surrogate", _rules("c", "z"), _rules_sql("'x' AS c, CAST(NULL AS VARCHAR) AS z"))
+_add(
+    "null_rate_apply",
+    _rules("v"),
+    _rules_sql(
+        f"CASE WHEN {unit_sql('row', salt(_R, 'v', 'null'))} >= 0.05::DOUBLE THEN substr({SqlDraws('row', salt(_R, 'v')).pick(['new', 'paid', 'sent', 'returned again'])}, 1, 8) END AS v"
+    ),
+)
+_add(
+    "check_reproducible",
+    lambda s, d: checks.differences(*[engine.generate(s, SCHEMA, users_plan(500, 700), splits=n).tables["orders"] for n in (3, 7)]).agg(F.count("*").alias("differences")),
+    "SELECT CAST(0 AS BIGINT) AS differences",
+)
+_PAIRS = ddl.parse_schema("CREATE TABLE a (id bigserial PRIMARY KEY, x int); CREATE TABLE b (id bigserial PRIMARY KEY, x int); CREATE TABLE ab (a_id bigint REFERENCES a, b_id bigint REFERENCES b, PRIMARY KEY (a_id, b_id))")
+
+
+def _join_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = infer(_PAIRS)
+    plan.seed, plan.tables["a"].rows, plan.tables["b"].rows, plan.tables["ab"].rows = 5, _rows_of(spark, sf_dir, "supplier"), _rows_of(spark, sf_dir, "nation"), _rows_of(spark, sf_dir, "supplier") * 20
+    return checks.spread(engine.generate(spark, _PAIRS, plan).tables["ab"], "a_id")
+
+
+_add(
+    "generate_join_table",
+    _join_table,
+    "SELECT count(*) AS parents, min(n) AS least, max(n) AS most, avg(n) AS mean FROM (SELECT a, count(DISTINCT b) AS n FROM "
+    "(SELECT (x // nb) % na AS a, x % nb AS b FROM (SELECT (s0 % (na * nb) + range * step) % (na * nb) AS x, na, nb FROM "
+    f"(SELECT (SELECT count(*) FROM supplier) AS na, (SELECT count(*) FROM nation) AS nb, {table_seed(5, 'ab')}::HUGEINT AS s0, "
+    f"(SELECT min(k) FROM (SELECT {table_seed(5, 'ab')}::HUGEINT % (SELECT count(*) FROM supplier, nation) + range AS k FROM range(1000)) "
+    "WHERE k > 0 AND gcd(k, (SELECT count(*) FROM supplier, nation)::HUGEINT) = 1) AS step), range((SELECT count(*) * 20 FROM supplier)))) GROUP BY a)",
+)
 
 
 def _generated_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,16 +594,39 @@ def _generated_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("generated_integrity", _generated_integrity, "SELECT CAST(2000 AS BIGINT) AS checked, CAST(0 AS BIGINT) AS orphans, CAST(500 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS extra_rows")
-_add("preview", lambda s, d: engine.preview(s, SCHEMA, users_plan(100, 100), "orders", 5))
+_add("preview", lambda s, d: _plain(engine.preview(s, SCHEMA, users_plan(100, 100), "orders", 5)), f"SELECT * FROM ({_orders_sql('20', '5')})")
+
+
+#: the kinds by theme
+GROUPS = {
+    "person": "name firstname lastname middlename username email phone password ssn passport namesuffix gender maritalstatus education bloodtype",
+    "address": "street city region postcode country countrycode continent latitude longitude timezone airport",
+    "business": "company catchphrase job department jobarea joblevel brand university airline",
+    "finance": "amount iban swift card cardexpiry stockticker currency currencyname currencysymbol bankname accounttype paymentmethod crypto",
+    "commerce": "product productcategory productmaterial sku ean13 isbn color hexcolor vehiclemake vehiclemodel licenseplate vin",
+    "internet": "url domain slug ipv4 ipv6 mac httpstatus httpmethod mimetype useragent imageurl semver md5 sha256 os browser device fileext framework",
+    "text": "word sentence paragraph lorem title emoji food drink animal sport musicgenre languagename",
+    "time": "time unixtime year month weekday",
+    "primitive": "int float bool uuid enum",
+}
+
+
+def _kinds(names: list[str]) -> Query:
+    options = {"enum": {"values": ["a", "b"]}}
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        values = {k: generate(k, Draws(F.col("c_custkey"), salt(9, k)), options.get(k, {})) for k in names}
+        return _table(spark, sf_dir, "customer").select("c_custkey", *[(v.cast("string") if k == "time" else v).alias(k) for k, v in values.items()])
+
+    return query
 
 
-def _all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.range(50)
-    options = {"values": ["a", "b"], "min": None, "max": None}
-    return rows.select("id", *[generate(k, Draws(F.col("id"), salt(9, k)), options if k == "enum" else {}).alias(k) for k in sorted(KINDS)])
+def _kinds_sql(names: list[str]) -> str:
+    return f"SELECT c_custkey, {', '.join(f'{KINDS_SQL[k](SqlDraws(chr(99) + "_custkey", salt(9, k)))} AS "{k}"' for k in names)} FROM customer"
 
 
-_add("all_kinds", _all_kinds)
+for _group, _names in GROUPS.items():
+    _add(f"kinds_{_group}", _kinds(_names.split()), _kinds_sql(_names.split()))
 _add(
     "check_digits",
     lambda s, d: s.range(1000).select("id", generate("ean13", Draws(F.col("id"), 3), {}).alias("ean"), generate("card", Draws(F.col("id"), 4), {}).alias("card"))

@@ -35,8 +35,9 @@ def scheme(url: str) -> str:
     raise ValueError(f"{url!r} names no source")
 
 
-#: fixed values: words in an address that speak of production, and domains of managed services
+#: fixed values: words in an address that speak of production
 PRODUCTION_WORDS = ("prod", "production", "live", "master", "primary")
+#: domains of managed services (this library's own choice)
 MANAGED_HOSTS = (".rds.amazonaws.com", ".database.windows.net", ".cloud.google.com", ".neon.tech", ".supabase.co", ".aivencloud.com", ".snowflakecomputing.com")
 
 
@@ -146,27 +147,31 @@ def json_schema_table(name: str, schema: dict) -> Table:
     return Table(name, columns)
 
 
-#: fixed values: history tables of migration tools: version, name, applied time, whether applied
+#: fixed values: migration tools, their history tables and the columns read; then version, name, applied time and whether applied, as SQL
 HISTORY = {
-    "schema_migrations": ("version", None, None, None),
-    "flyway_schema_history": ("version", "description", "installed_on", "success"),
-    "goose_db_version": ("version_id", None, "tstamp", "is_applied"),
-    "alembic_version": ("version_num", None, None, None),
-    "atlas_schema_revisions": ("version", "description", "executed_at", None),
-    "django_migrations": ("id", "name", "applied", None),
-    "knex_migrations": ("id", "name", "migration_time", None),
+    "golang-migrate": ("schema_migrations", ["version", "dirty"], "version", "if(dirty, 'left dirty by a failed migration', '')", "null", "not dirty"),
+    "flyway": ("flyway_schema_history", ["version", "description", "installed_on", "success"], "version", "description", "installed_on", "success"),
+    "goose": ("goose_db_version", ["version_id", "is_applied", "tstamp"], "version_id", "''", "tstamp", "is_applied"),
+    "alembic": ("alembic_version", ["version_num"], "version_num", "'current revision'", "null", "null"),
+    "atlas": ("atlas_schema_revisions", ["version", "description", "executed_at"], "version", "description", "executed_at", "null"),
+    "django": ("django_migrations", ["app", "name", "applied"], "name", "app", "applied", "true"),
+    "knex": ("knex_migrations", ["name", "batch", "migration_time"], "name", "if(batch is null, '', concat('batch ', batch))", "migration_time", "true"),
+    "rails": ("ar_internal_metadata", ["key", "value", "updated_at"], "value", "key", "updated_at", "null"),
 }
 
 
 def migration_history(tables: dict[str, DataFrame], last: int = 200) -> DataFrame | None:
-    """(source, version, name, applied_at, applied) of the history tables found, newest first, unknown times last."""
+    """(source, version, name, applied_at, applied) of the history tables found, newest first, unknown times last.
+
+    A table without a tool's columns is not that tool's.
+    """
     out = None
-    for source, columns in HISTORY.items():
-        df = tables.get(source)
-        if df is None or any(c and c not in df.columns for c in columns):
+    for source, (table, needed, *facts) in HISTORY.items():
+        df = tables.get(table)
+        if df is None or not set(needed) <= set(df.columns):
             continue
-        kinds = ("string", "string", "timestamp", "boolean")
-        own = [(F.col(c) if c else F.lit(None)).cast(k).alias(n) for c, k, n in zip(columns, kinds, ("version", "name", "applied_at", "applied"), strict=True)]
+        kinds = (("version", "string"), ("name", "string"), ("applied_at", "timestamp"), ("applied", "boolean"))
+        own = [F.expr(fact).cast(kind).alias(name) for fact, (name, kind) in zip(facts, kinds, strict=True)]
         one = df.select(F.lit(source).alias("source"), *own).orderBy(F.desc_nulls_last("applied_at"), F.desc("version")).limit(last)
         out = one if out is None else out.unionByName(one)
     return None if out is None else out.orderBy(F.desc_nulls_last("applied_at"), "source", F.desc("version"))

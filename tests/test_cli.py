@@ -9,6 +9,12 @@ def test_scan_validate_dump(spark, tmp_path, capsys):
     assert main(["validate", *common]) == 0
     assert main(["dump", *common, "-o", str(tmp_path / "out"), "--rows", "5", "--seed", "3"]) == 0
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["01_users.csv", "02_orders.csv"]
+    run = ["run", *common, "-o", str(tmp_path / "made"), "--rows", "4", "--seed", "3"]
+    assert main(run) == 0 and "users: 4 rows" in capsys.readouterr().err
+    assert main([*run, "--append", "--quiet"]) == 0 and capsys.readouterr().err == ""
+    assert spark.read.parquet(str(tmp_path / "made" / "users")).select("email").distinct().count() == 8
+    assert main([*run, "--truncate", "--locale", "de_DE"]) == 0 and spark.read.parquet(str(tmp_path / "made" / "orders")).count() == 4
+    assert main(["script", *common, "--dialect", "mysql"]) == 0 and "`email` varchar(40)" in capsys.readouterr().out
     plan.write_text(plan.read_text().replace('"email"', '"mail"'))
     assert main(["validate", *common]) == 1 and "no such column" in capsys.readouterr().out
     assert main(["version"]) == 0

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from rowforge.functions import draw
 from rowforge.functions.draw import salt, table_seed
-from rowforge.functions.kinds import KINDS, Draws, generate, register_generator
+from rowforge.functions.kinds import KINDS, LOCALES, OWN, Draws, generate, longest, register_generator
+from rowforge.functions.kinds_sql import KINDS_SQL
 from rowforge.functions.pattern import compile_pattern
 from rowforge.functions.scalars import clamp_text
 from rowforge.operators import checks, export, relate, unique
@@ -18,7 +19,7 @@ from rowforge.operators.generate import GenerationError, Options, dry_run, previ
 from rowforge.operators.generate import generate as run
 from rowforge.plans import ddl
 from rowforge.plans.plan import ColumnPlan, infer
-from rowforge.queries import SCHEMA, users_plan
+from rowforge.queries import GROUPS, SCHEMA, users_plan
 from rowforge.sources import catalog
 from rowforge.streaming.stream import stream_columns, windowed_counts
 
@@ -152,8 +153,14 @@ def test_append(spark):
 
 
 def test_every_kind_gives_values(spark):
-    df = spark.range(20).select(*[generate(k, Draws(F.col("id"), salt(1, k)), {"values": [1, 2]} if k == "enum" else {}).alias(k) for k in sorted(KINDS)[:40]])
+    df = spark.range(20).select(*[generate(k, Draws(F.col("id"), salt(1, k)), {"values": [1, 2]} if k == "enum" else {}).alias(k) for k in sorted(KINDS)])
     assert all(v is not None for r in df.collect() for v in r)
+    assert set(KINDS) == set(OWN) == set(KINDS_SQL) == {k for names in GROUPS.values() for k in names.split()}
+    for locale in LOCALES:
+        for k in OWN:
+            most = longest(k, locale)
+            if most is not None:
+                assert spark.range(300).select(generate(k, Draws(F.col("id"), 3, locale), {}).alias("v")).where(F.length("v") > most).isEmpty(), k
     register_generator("three", lambda d, o: F.lit(3))
     assert spark.range(1).select(generate("three", Draws(F.col("id"), 1), {})).first()[0] == 3
     del KINDS["three"]

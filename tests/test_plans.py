@@ -160,3 +160,13 @@ def test_addresses():
     assert split_ref("app.users.id") == ("app.users", "id") and split_ref("id") is None
     t = json_schema_table("t", {"required": ["a"], "properties": {"_id": {}, "a": {"bsonType": ["int", "null"]}, "b": {"type": "string", "enum": ["x"]}}})
     assert [(c.name, c.native, c.nullable, c.enum) for c in t.columns] == [("a", "int", False, []), ("b", "text", True, ["x"])]
+
+
+def test_type_menus_cover_every_dialect():
+    table = Table("t", [Column("a", "bigint"), Column("b", "varchar(20)"), Column("c", "numeric(8,3)"), Column("d", "timestamptz"), Column("e", "point"), Column("f", "date"), Column("g", "text", enum=["x"])])
+    assert len(ddl.TYPE_MENUS) == 15
+    for dialect in ddl.TYPE_MENUS:
+        kinds = [c.native for c in ddl.translated(table, dialect).columns]
+        assert kinds[4] == "point" and classify(kinds[0]) in ("int", "float") and "{" not in "".join(kinds), dialect
+        assert ddl.create_sql(ddl.translated(table, dialect), dialect).startswith("CREATE TABLE")
+    assert [c.native for c in ddl.translated(table, "mysql").columns] == ["bigint", "varchar(20)", "decimal(8,3)", "datetime", "point", "date", "text"]
