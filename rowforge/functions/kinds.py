@@ -54,6 +54,42 @@ LOCALES: dict[str, dict[str, list[str]]] = {
         "country": ["España"],
         "phone": ["+34"],
     },
+    "it_IT": {
+        "first": "Luca Giulia Marco Sofia Andrea Chiara Matteo Aurora".split(),
+        "last": "Rossi Russo Ferrari Esposito Bianchi Romano Colombo Ricci".split(),
+        "city": "Roma Milano Napoli Torino Palermo Genova Bologna".split(),
+        "region": "Lombardia Toscana Lazio Sicilia Veneto".split(),
+        "street": ["Via Roma", "Corso Italia", "Viale dei Mille", "Piazza Dante"],
+        "country": ["Italia"],
+        "phone": ["+39"],
+    },
+    "pt_BR": {
+        "first": "Miguel Helena Arthur Alice Davi Laura João Beatriz".split(),
+        "last": "Silva Santos Oliveira Souza Lima Pereira Costa Araújo".split(),
+        "city": ["São Paulo", "Salvador", "Fortaleza", "Curitiba", "Recife", "Belém"],
+        "region": ["Bahia", "Ceará", "Paraná", "Goiás", "Pernambuco"],
+        "street": ["Rua das Flores", "Avenida Brasil", "Rua Sete de Setembro", "Travessa da Paz"],
+        "country": ["Brasil"],
+        "phone": ["+55"],
+    },
+    "nl_NL": {
+        "first": "Daan Emma Sem Julia Lucas Mila Finn Tess".split(),
+        "last": ["de Jong", "Jansen", "de Vries", "Bakker", "Visser", "Smit", "Mulder"],
+        "city": "Amsterdam Rotterdam Utrecht Eindhoven Groningen Breda".split(),
+        "region": ["Utrecht", "Gelderland", "Drenthe", "Zeeland", "Limburg"],
+        "street": ["Dorpsstraat", "Kerkstraat", "Molenweg", "Schoolstraat"],
+        "country": ["Nederland"],
+        "phone": ["+31"],
+    },
+    "pl_PL": {
+        "first": "Jan Zofia Jakub Julia Antoni Maja Szymon Hanna".split(),
+        "last": "Nowak Kowalski Wiśniewski Wójcik Kamiński Zieliński Szymański".split(),
+        "city": "Warszawa Kraków Łódź Wrocław Poznań Gdańsk".split(),
+        "region": "Mazowieckie Małopolskie Śląskie Podlaskie Lubelskie".split(),
+        "street": ["ul. Polna", "ul. Leśna", "ul. Słoneczna", "ul. Krótka"],
+        "country": ["Polska"],
+        "phone": ["+48"],
+    },
 }
 
 WORDS = (
@@ -123,7 +159,7 @@ def words_of(locale: str, name: str) -> list[str]:
 
 def _ascii(word: str) -> str:
     """A word as addresses spell it."""
-    plain = unicodedata.normalize("NFKD", word.lower().replace("ß", "s"))
+    plain = unicodedata.normalize("NFKD", word.lower().replace("ß", "s").replace("ł", "l"))
     return "".join(c for c in plain if c.isascii() and c.isalnum())
 
 

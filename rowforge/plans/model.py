@@ -15,18 +15,20 @@ SPELLINGS = {
     "uuid": ["uuid", "uniqueidentifier"],
     "bool": ["bool", "boolean", "bit"],
     "int": [
-        "int", "integer", "int2", "int4", "int8", "smallint", "bigint", "tinyint", "mediumint", "serial", "bigserial", "smallserial",
-        "serial4", "serial8", "year", "long", "short", "byte",
+        "smallint", "integer", "int", "int2", "int4", "int8", "bigint", "tinyint", "mediumint", "serial", "bigserial", "smallserial",
+        "serial2", "serial4", "serial8", "year",
     ],
-    "float": ["real", "double", "float", "float4", "float8", "numeric", "decimal", "money", "smallmoney", "dec", "fixed", "number"],
-    "time": ["date", "time", "timetz", "timestamp", "timestamptz", "datetime", "datetime2", "smalldatetime", "datetimeoffset", "timestamp_ntz"],
-    "json": ["json", "jsonb", "variant"],
-    "bytes": ["bytea", "blob", "binary", "varbinary", "tinyblob", "mediumblob", "longblob", "image"],
+    "float": ["real", "double", "float", "float4", "float8", "numeric", "decimal", "money", "smallmoney", "dec", "fixed"],
+    "time": ["date", "time", "timetz", "timestamp", "timestamptz", "datetime", "datetime2", "smalldatetime", "datetimeoffset"],
+    "json": ["json", "jsonb"],
+    "bytes": ["bytea", "blob", "binary", "varbinary", "image", "longblob", "mediumblob", "tinyblob"],
     "string": [
-        "char", "varchar", "text", "citext", "character", "string", "nchar", "nvarchar", "ntext", "tinytext", "mediumtext", "longtext", "bpchar", "name", "xml", "clob",
+        "char", "varchar", "character", "text", "citext", "nchar", "nvarchar", "ntext", "longtext", "mediumtext", "tinytext", "name", "bpchar", "clob", "xml",
     ],
 }
-_BY_NAME = {name: cls for cls, names in SPELLINGS.items() for name in names}
+#: spellings of Spark and other engines that are known besides
+FURTHER = {"int": ["long", "short", "byte"], "float": ["number", "binary_double", "float64"], "time": ["timestamp_ntz"], "json": ["variant", "super"], "bytes": ["bytes", "varbyte"], "string": ["string"]}
+_BY_NAME = {name: cls for table in (SPELLINGS, FURTHER) for cls, names in table.items() for name in names}
 #: fixed values: what a type name may carry after the type itself
 SUFFIXES = (" unsigned", " zerofill", " without time zone", " with time zone", " precision", " varying")
 

@@ -20,7 +20,7 @@ def test_fnv_and_seed():
 
 @pytest.mark.parametrize(
     ("native", "want"),
-    [("varchar(20)", "string"), ("BIGINT UNSIGNED", "int"), ("numeric(10,2)", "float"), ("timestamp without time zone", "time"), ("tinyint", "int"), ("point", "unknown"), ("text[]", "string"), ("mediumint(8)", "int")],
+    [("varchar(20)", "string"), ("BIGINT UNSIGNED", "int"), ("numeric(10,2)", "float"), ("timestamp without time zone", "time"), ("tinyint", "int"), ("point", "unknown"), ("text[]", "string"), ("mediumint(8)", "int"), ("serial2", "int"), ("variant", "json")],
 )
 def test_classify(native, want):
     assert classify(native) == want
