@@ -73,9 +73,10 @@ def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None
     """A table over JDBC, read in ``parts`` ranges of ``key``."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
     if key and parts > 1:
-        ends = spark.read.format("jdbc").options(url=url, query=f"SELECT min({key}) AS a, max({key}) AS b FROM {table}", **options).load().first()
-        if ends.a is not None:
-            reader = reader.options(partitionColumn=key, lowerBound=ends.a, upperBound=ends.b, numPartitions=parts)
+        name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+        low, high = spark.read.format("jdbc").options(url=url, query=f"SELECT min({name}) AS a, max({name}) AS b FROM {table}", **options).load().first()
+        if low is not None:
+            reader = reader.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts)
     return reader.load()
 
 

@@ -1,6 +1,7 @@
 """Introspection of catalog views (DuckDB's stand in for a database's), DDL in Spark's catalog, migration history."""
 
 import duckdb
+import pytest
 
 from rowforge.plans import ddl
 from rowforge.plans.model import Column, Schema, Table
@@ -75,3 +76,19 @@ def test_history_of_every_tool(spark):
     ]
     # a table of that name without the tool's columns is not that tool's
     assert catalog.migration_history({"schema_migrations": make([("1",)], "version string")}) is None
+
+
+def test_jdbc_round_trip(spark):
+    """Against the database that Spark brings along for its catalog, in memory."""
+    url, options = "jdbc:derby:memory:rowforge;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(i, f"n{i}", i / 4) for i in range(100)], "id int, name string, price double").repartition(3)
+    catalog.write_jdbc(rows, url, "T", **options)
+    catalog.write_jdbc(rows.where("id < 10"), url, "T", **options)
+    back = catalog.jdbc_table(spark, url, "T", key="id", parts=4, **options)
+    assert back.rdd.getNumPartitions() == 4 and back.count() == 110
+    catalog.write_jdbc(rows.where("id < 5"), url, "T", truncate=True, **options)
+    back = catalog.jdbc_table(spark, url, "T", **options)
+    assert sorted(map(tuple, back.collect())) == [(i, f"n{i}", i / 4) for i in range(5)]
+    assert [(c.name.lower(), c.cls) for c in catalog.introspect({"t": back}).tables[0].columns] == [("id", "int"), ("name", "string"), ("price", "float")]
+    with pytest.raises(PermissionError):
+        catalog.write_jdbc(rows, "jdbc:postgresql://db.example.com/live", "T")
