@@ -1,8 +1,9 @@
 """Shared storage for intermediate tables.
 
 A table written here cuts the lineage, so that a lost executor costs a read
-and not a recomputation.  The place is the folder of ``spark.checkpoint.dir``;
-only a session without that setting (tests) gets a temporary one.
+and not a recomputation.  The place is the folder of ``spark.checkpoint.dir``.
+A local session without that setting (tests) gets a temporary one; on a
+cluster, whose executors would each write to their own disk, it is an error.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; sets one where none is set."""
+    """The session's checkpoint folder; a local session without one gets one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="rowforge-")
         spark.sparkContext.setCheckpointDir(folder)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
