@@ -67,3 +67,42 @@ def test_components_of_a_long_chain(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (100, 102)]
     found = {r.id: r.label for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_dense_group_without_its_original(spark):
+    """Near copies of a text that is not there: many pairs lie about the threshold and no member is like all others."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    rows = list(enumerate(family(rng, base, 260, 7) + family(rng, [f"v{rng.randrange(900)}" for _ in range(90)], 120, 5)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for words, similar in ((5, 80), (3, 85)):
+        assert {r.doc_id: r.component_id for r in near_groups(docs, words, similar).collect()} == brute(rows, words, similar)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(20_000)}" for _ in range(250_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:60_000], "other", *long[60_000:]])), (3, " ".join(long[::-1])), (4, " ".join(long[:120_000])), (5, "word " * 300_000)]
+    out = {r.doc_id: (r.component_id, r.n_shingles) for r in near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, (c, _) in out.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5} and out[5][1] == 1 and out[1][1] > 249_000
+
+
+def test_hubs_in_the_middle(spark):
+    """A text and its copies with one edit each, which are not linked with one another: the text leads."""
+    from rowforge.llm.near_dedup import _edge, _shared
+
+    classes = spark.createDataFrame([(0, 100, 4, [1, 2, 3, 4]), (1, 7, 4, [1, 2, 3, 50]), (2, 8, 4, [1, 2, 4, 60]), (3, 9, 4, [2, 3, 4, 70])], "c long, id long, n long, sketch array<long>")
+    ranked = _shared(classes).select("c", _edge()["away"].alias("away")).orderBy("away").collect()
+    assert ranked[0].c == 0 and ranked[0].away < ranked[1].away
+
+
+def test_wanted_ids_by_bitmap_and_by_join(spark, monkeypatch):
+    from rowforge.llm import near_dedup
+
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i}") for i in range(5000)], "id long, text string").repartition(3)
+    wanted = spark.createDataFrame([(i,) for i in range(0, 5000, 7)], "id long")
+    need = {near_dedup._mark(shingle_set(f"a b c d e f g {i}", 5)) for i in range(0, 5000, 7)}
+    found = {bytes(r.mark) for r in near_dedup._sets(docs, 5, wanted).collect()}
+    assert need <= found and len(found) < len(need) + 30
+    monkeypatch.setattr(near_dedup, "BITMAP_IDS", 10)
+    assert {bytes(r.mark) for r in near_dedup._sets(docs, 5, wanted).collect()} == need
