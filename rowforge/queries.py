@@ -213,7 +213,12 @@ def _fk_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _POOL_SQL = "(SELECT {k} AS key, row_number() OVER (ORDER BY {k}) - 1 AS i FROM (SELECT DISTINCT {k} FROM {t} WHERE {k} IS NOT NULL))"
 _CUSTOMERS = _POOL_SQL.format(k="c_custkey", t="customer")
-_add("fk_draw", _fk_draw, f"SELECT {_ROW}, p.key AS custkey FROM orders JOIN {_CUSTOMERS} p ON p.i = {below_sql(_ROW, _salted('fk'), '(SELECT count(DISTINCT c_custkey) FROM customer)')}")
+_add(
+    "fk_draw",
+    _fk_draw,
+    f"WITH o AS MATERIALIZED (SELECT {_ROW}, {below_sql(_ROW, _salted('fk'), 'n')} AS i FROM orders, (SELECT count(DISTINCT c_custkey) AS n FROM customer)) "
+    f"SELECT {_ROW}, p.key AS custkey FROM o JOIN {_CUSTOMERS} p USING (i)",
+)
 
 
 def _fk_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
