@@ -235,8 +235,10 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.withColumnRenamed("id", "b").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         moved = labels.join(near.hint("merge"), "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         moved = moved.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(places)))
-        jump = labels.where("id != label").select(F.col("id").alias("label"), F.col("label").alias("beyond"), F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("place"))
-        jump = jump.withColumn("place", F.col("place").cast("long"))
+        # only what is looked up and leads on
+        looked = moved.select("label").distinct()
+        jump = labels.where("id != label").select(F.col("id").alias("label"), F.col("label").alias("beyond")).join(looked.hint("merge"), "label", "left_semi")
+        jump = jump.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long"))))
         after = stored(
             moved.join(jump.hint("merge"), ["label", "place"], "left").select("id", "was", F.least("label", F.coalesce("beyond", "label")).alias("label")), "labels"
         )
