@@ -7,13 +7,16 @@ The kept answers are bounded in number; a full memo starts again.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
 #: entries of each of a memo's two generations, and the length of the longest part that is kept
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 MEMO_PART = 64
 #: characters of the texts whose new parts are asked for together
 LEARN_CHARS = 4_000_000
@@ -191,11 +194,23 @@ _HELD: dict = {}
 def held(key, make):
     """The one large thing that a worker keeps from task to task; another operator's goes first."""
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            _give_back()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, which counts it against the executor until then."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def shared_encoder(path: str) -> WordEncoder:
     """One for all tasks of a worker."""
     return held(("words", path), lambda: WordEncoder(path))
