@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowforge.functions.draw import P, below_sql, draw, draw_sql, salt, table_seed, unit, unit_sql
+from rowforge.functions.draw import P, below_sql, draw, draw_sql, salt, table_seed, unit_sql
 from rowforge.functions.kinds import Draws, generate
 from rowforge.functions.kinds_sql import KINDS_SQL, SqlDraws
 from rowforge.functions.pattern import compile_pattern
