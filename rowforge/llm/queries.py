@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rowforge.llm import preference_format, sharding, warc
+from rowforge.llm import collocations, preference_format, sharding, warc
 from rowforge.llm.alignment import align_tokens
 from rowforge.llm.compression_quality import score_quality
 from rowforge.llm.exact_topk import exact_topk
@@ -68,6 +68,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 def op13_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages"))
 
@@ -84,11 +88,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_token_alignment": op11_token_alignment,
+    "op12_collocations": op12_collocations,
     "op13_warc_captures": op13_warc_captures,
 }
 
 ORACLES: dict[str, str] = {
     "op3_sharding": sharding.ORACLE,
     "op6_preference_format": preference_format.ORACLE,
+    "op12_collocations": collocations.ORACLE,
     "op13_warc_captures": warc.ORACLE,
 }
