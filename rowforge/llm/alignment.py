@@ -60,30 +60,32 @@ def portions(text: str, size: int = PORTION_CHARS) -> Iterator[list[str]]:
     yield parts_of(text[at:] if at else text)
 
 
-def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[list[int], list[int]]]]:
-    """Links and groups of two encodings of the same bytes; ``size_*`` are the tokens' lengths by id."""
-    links, groups = [], []
+def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int], bits: int) -> tuple[list[int], list[str]]:
+    """Links (A's id shifted by ``bits``, and B's) and groups of two encodings of the same bytes; ``size_*`` are the tokens' lengths by id."""
+    if len(a) == 1 or len(b) == 1:
+        return [x << bits | y for x in a for y in b], [f"{','.join(map(str, a))}|{','.join(map(str, b))}"]
+    links, groups, last = [], [], len(a) - 1
     i = j = first_i = first_j = 0
-    if not a:
-        return links, groups
     end_a, end_b = size_a[a[0]], size_b[b[0]]
     while True:
-        links.append((a[i], b[j]))
-        both = end_a == end_b
-        if both:
-            groups.append((a[first_i : i + 1], b[first_j : j + 1]))
-            first_i, first_j = i + 1, j + 1
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a:
+        x, y = a[i], b[j]
+        links.append(x << bits | y)
+        if end_a < end_b:
             i += 1
-            if i < len(a):
-                end_a += size_a[a[i]]
-        if step_b:
+            end_a += size_a[a[i]]
+        elif end_b < end_a:
             j += 1
-            if j < len(b):
-                end_b += size_b[b[j]]
-        if i == len(a) or j == len(b):
-            return links, groups
+            end_b += size_b[b[j]]
+        else:
+            if first_i == i and first_j == j:
+                groups.append(f"{x}|{y}")
+            else:
+                groups.append(f"{','.join(map(str, a[first_i : i + 1]))}|{','.join(map(str, b[first_j : j + 1]))}")
+            if i == last:
+                return links, groups
+            i, j = i + 1, j + 1
+            first_i, first_j = i, j
+            end_a, end_b = end_a + size_a[a[i]], end_b + size_b[b[j]]
 
 
 class PartAligner:
@@ -128,35 +130,34 @@ class PartAligner:
 
     def _enter(self, part: str, a: list[int], b: list[int]) -> int:
         whole = (" " + part).encode()
-        if b"".join(map(self.bytes_a.__getitem__, a)) != whole or b"".join(map(self.bytes_b.__getitem__, b)) != whole:
-            links, groups, bad = [], [], 1
+        if b"".join([self.bytes_a[x] for x in a]) == whole and b"".join([self.bytes_b[x] for x in b]) == whole:
+            links, groups = align(a, b, self.size_a, self.size_b, self.bits)
+            self.bad.append(0)
         else:
-            links, groups = align(a, b, self.size_a, self.size_b)
-            bad = 0
-        k = len(self.groups)
-        self.groups.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
+            links, groups = [], []
+            self.bad.append(1)
+        self.groups.append(";".join(groups))
         self.n_a.append(len(a))
         self.n_b.append(len(b))
         self.n_groups.append(len(groups))
-        self.bad.append(bad)
-        self.codes.extend([x << self.bits | y for x, y in links])
+        self.codes.extend(links)
         self.starts.append(len(self.codes))
-        return k
+        return len(self.groups) - 1
 
     def numbers(self, parts: list[str]) -> list[int]:
         """The numbers of ``parts``; new ones are encoded together.  Long parts are not remembered."""
         known = self.number
-        new = list({p for p in parts if p not in known and len(p) <= MEMO_PART})
-        if new:
-            ids_a = self.lib_a.encode_batch([" " + p for p in new], add_special_tokens=False)
+        found = list(map(known.get, parts))
+        missing = [at for at, k in enumerate(found) if k is None]
+        if missing:
+            new = list(dict.fromkeys([parts[at] for at in missing]))
+            ids_a = self.lib_a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)
+            entered = {}
             for part, a, b in zip(new, ids_a, self.lib_b.encode(new, num_threads=1), strict=True):
-                known[part] = self._enter(part, a.ids, b if part else [self.mark])
-        found = []
-        for part in parts:
-            k = known.get(part)
-            if k is None:
-                k = self._enter(part, self.lib_a.encode(" " + part, add_special_tokens=False).ids, self.lib_b.encode(part))
-            found.append(k)
+                entered[part] = self._enter(part, a.ids, b if part else [self.mark])
+            for at in missing:
+                found[at] = entered[parts[at]]
+            known.update((p, k) for p, k in entered.items() if len(p) <= MEMO_PART)
         return found
 
 
