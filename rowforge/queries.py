@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from rowforge.functions.kinds import Draws, generate
 from rowforge.functions.kinds_sql import KINDS_SQL, SqlDraws
 from rowforge.functions.pattern import compile_pattern
 from rowforge.functions.scalars import clamp_text, round_scale
-from rowforge.operators import checks, export, relate, unique
+from rowforge.operators import audit, checks, export, relate, unique
 from rowforge.operators import generate as engine
 from rowforge.plans import ddl
 from rowforge.plans.model import classify
@@ -144,6 +145,60 @@ _add("max_value", _on("orders", lambda t: checks.max_value(t, "o_orderkey")), "S
 _COUNTED = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"]
 _add("table_counts", lambda s, d: checks.table_counts({n: _table(s, d, n) for n in _COUNTED}), " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {n}" for n in _COUNTED))
 
+# --- all rules of a schema at once ---------------------------------------------------------------
+#: the rules of the given tables; some are broken by their rows, so that there is something to count
+RULES = """
+CREATE TABLE region (r_regionkey int PRIMARY KEY, r_name varchar(8) NOT NULL);
+CREATE TABLE nation (n_nationkey int PRIMARY KEY, n_name text NOT NULL UNIQUE, n_regionkey int NOT NULL REFERENCES region(r_regionkey));
+CREATE TABLE customer (c_custkey bigint PRIMARY KEY, c_name varchar(18) NOT NULL CHECK (c_name ~ '^Customer#[0-9]+$'), c_nationkey int REFERENCES nation(n_nationkey),
+  c_acctbal numeric(6, 2), c_mktsegment enum('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD', 'MACHINERY') NOT NULL);
+CREATE TABLE supplier (s_suppkey bigint PRIMARY KEY, s_name text UNIQUE, s_nationkey int NOT NULL REFERENCES nation(n_nationkey), s_acctbal double CHECK (s_acctbal >= 0));
+CREATE TABLE part (p_partkey bigint PRIMARY KEY, p_name text UNIQUE, p_brand varchar(7), p_type text, p_size int CHECK (p_size BETWEEN 1 AND 40), p_retailprice numeric(10, 2));
+CREATE TABLE orders (o_orderkey bigint PRIMARY KEY, o_custkey bigint NOT NULL UNIQUE REFERENCES customer(c_custkey), o_orderstatus enum('F', 'O'), o_totalprice numeric(12, 2),
+  o_orderdate timestamp NOT NULL, o_orderpriority varchar(6));
+CREATE TABLE lineitem (l_orderkey bigint REFERENCES orders(o_orderkey), l_partkey bigint REFERENCES part(p_partkey), l_suppkey bigint REFERENCES supplier(s_suppkey), l_linenumber int REFERENCES region(r_regionkey),
+  l_quantity double CHECK (l_quantity < 45), l_extendedprice double, l_discount double, l_tax double, l_returnflag enum('A', 'N'), l_linestatus text, l_shipdate timestamp,
+  PRIMARY KEY (l_orderkey, l_linenumber), CHECK (l_discount <= l_tax + 0.05));
+CREATE TABLE events (event_id bigint PRIMARY KEY, ts timestamp NOT NULL UNIQUE, user_id bigint REFERENCES customer(c_custkey), event_type enum('click', 'view'), value double CHECK (value >= 1), props text);
+CREATE TABLE documents (doc_id bigint PRIMARY KEY, text varchar(2000) NOT NULL UNIQUE, lang varchar(2), source text, n_chars bigint, CHECK (n_chars = length(text)));
+CREATE TABLE embeddings (vec_id bigint PRIMARY KEY, label int NOT NULL);
+CREATE TABLE pages (page_id bigint PRIMARY KEY, url text UNIQUE CHECK (url ~ '^https://'), html varchar(4000) NOT NULL);
+CREATE TABLE benchmark (item_id bigint PRIMARY KEY, text text UNIQUE);
+CREATE TABLE labels (doc_id bigint PRIMARY KEY REFERENCES documents(doc_id), quality int CHECK (quality IN (0, 1)), toxic int CHECK (toxic = 0));
+CREATE TABLE conversations (conv_id bigint, turn bigint CHECK (turn < 5), role enum('user', 'assistant'), text text NOT NULL, PRIMARY KEY (conv_id, turn));
+"""
+_RULED = ddl.parse_schema(RULES)
+
+
+def _rules_sql() -> str:
+    """Each rule by a query of its own."""
+    out = []
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    for t in _RULED.tables:
+        row = []
+        for c in t.columns:
+            row += [(f"{c.name} is not null", f"{c.name} IS NULL")] if not c.nullable else []
+            row += [(f"{c.name} has at most {c.max_len} characters", f"length({c.name}) > {c.max_len}")] if c.max_len else []
+            row += [(f"{c.name} has at most {c.precision - c.scale} digits before the point", f"abs({c.name}) >= 1e{c.precision - c.scale}")] if c.precision else []
+            row += [(f"{c.name} is in its list", f"{c.name} NOT IN ({', '.join(map(quoted, c.enum))})")] if c.enum else []
+        for k in t.checks:
+            text = re.sub(r"^(\w+) ~ (.*)$", r"regexp_matches(\1, \2)", k.expression)
+            row.append((f"check {k.expression}", f"NOT ({text})"))
+        out += [f"SELECT '{t.name}' AS table_name, {quoted(rule)} AS rule, count(*) AS rows, count(*) FILTER (WHERE {failed}) AS violations FROM {t.name}" for rule, failed in row]
+        keys = [(f"primary key {', '.join(t.primary_key)}", t.primary_key)] + [(f"unique {c.name}", [c.name]) for c in t.columns if c.unique]
+        for rule, key in keys:
+            whole = " AND ".join(f"{k} IS NOT NULL" for k in key)
+            out.append(f"SELECT '{t.name}', '{rule}', count(*), count(*) - count(DISTINCT ({', '.join(key)})) FROM {t.name} WHERE {whole}")
+        for c in t.columns:
+            if c.references:
+                parent, key = c.references.split(".")
+                lost = f"count(*) FILTER (WHERE {c.name} NOT IN (SELECT {key} FROM {parent} WHERE {key} IS NOT NULL))"
+                out.append(f"SELECT '{t.name}', '{c.name} refers to {c.references}', count(*), {lost} FROM {t.name} WHERE {c.name} IS NOT NULL")
+    return " UNION ALL ".join(out)
+
+
+_add("check_schema", lambda s, d: audit.check({t.name: _table(s, d, t.name) for t in _RULED.tables}, _RULED), _rules_sql())
+
 # --- draws and values over the keys of orders -------------------------------------------------
 _ROW = "o_orderkey"
 
