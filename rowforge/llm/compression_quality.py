@@ -16,8 +16,8 @@ from rowforge.llm.tokenizers import held
 
 #: rows of each label that the fit reads at most
 SAMPLE_ROWS = 2_000
-#: blocks that each of them gives to a dictionary, evenly spread over the whole text, and their characters
-SAMPLE_BLOCKS, SAMPLE_CHARS = 8, 1_024
+#: characters of the blocks in which their whole texts go to a dictionary
+SAMPLE_CHARS = 1_024
 #: rows handled together in a worker
 BATCH_ROWS = 1_000
 DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 112_640, 1_024, 3
@@ -89,9 +89,8 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     """Fit on at most SAMPLE_ROWS rows of each label, those with the smallest hash of their id.
 
     ``labels``: rows to learn from only.  Ids with both labels teach nothing.
-    The dictionaries are of at most SAMPLE_BLOCKS blocks a text, spread over
-    all of it; the calibration is on the differences of whole texts, of which
-    one number reaches the driver.  None if a label has less than two texts.
+    The bound is on rows only: dictionaries and calibration are of their whole
+    texts.  None if a label has less than two texts.
     """
     spark = docs.sparkSession
     known = (
@@ -113,17 +112,12 @@ def fit_model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     halves = [(i, y, k % 2) for y in (0, 1) for k, (i, _) in enumerate(sorted((x for x in ids if x[1] == y), key=lambda x: x[0]))]
     sample = spark.createDataFrame(halves, f"id {kind}, label int, half int")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").where(F.length("text") > 0)
-    # blocks at even distances from the first to the last
-    n = F.length("text")
-    count = F.least(F.lit(SAMPLE_BLOCKS), F.ceil(n / SAMPLE_CHARS)).cast("int")
-    start = lambda k: (F.floor((n - SAMPLE_CHARS) * k / F.greatest(count - 1, F.lit(1))) * (count > 1).cast("int") + 1).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.substring(F.col("text"), start(k), F.lit(SAMPLE_CHARS)))
-    # rows that repeat an id are one: that with the smallest blocks
-    rows = texts.select("id", "label", "half", cut.alias("blocks")).groupBy("id", "label", "half").agg(F.min("blocks").alias("blocks")).orderBy("id").collect()
+    # rows that repeat an id are one: that with the smallest text
+    rows = texts.groupBy("id", "label", "half").agg(F.min("text").alias("text")).orderBy("id").collect()
     by_label = {y: [r for r in rows if r.label == y] for y in (0, 1)}
     if min(len({r.half for r in own}) for own in by_label.values()) < 2:
         return None
-    blocks_of = lambda y, halves: [b for r in by_label[y] if r.half in halves for b in r.blocks]
+    blocks_of = lambda y, halves: [r.text[at : at + SAMPLE_CHARS] for r in by_label[y] if r.half in halves for at in range(0, len(r.text), SAMPLE_CHARS)]
     apart = [CompressionModel(*(_dictionary(blocks_of(y, {1 - half})) for y in (0, 1))) for half in (0, 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +151,7 @@ def score_quality(
     1 occurs, 0.0 if only label 0 does, else 0.5.  A null id is hashed as an
     empty text; repeated rows are scored each; an empty table gives no rows;
     other columns are ignored, whatever their names.  Two passes fetch the
-    sample's blocks and differences, one scores; no text is shuffled.
+    sample's texts and differences, one scores; no other text is shuffled.
     """
     bucket = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % 5
     learn = labels.where(bucket(id_col) != 0)

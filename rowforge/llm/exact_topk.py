@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from rowforge.llm.storage import drop_stored, stored
 
-#: rows of a shard and of a leaf; tables of fewer shards than cores get smaller ones, down to LEAST_ROWS
-SHARD_ROWS, LEAST_ROWS, LEAF_ROWS = 65_536, 2_048, 256
+#: bytes of a shard's vectors; rows of a shard, of a leaf; tables of fewer shards than cores get smaller ones, down to LEAST_ROWS
+SHARD_BYTES = 32 << 20
+SHARD_ROWS, LEAST_ROWS, LEAF_ROWS = 65_536, 64, 256
 #: rows on which the coarse split is found; it decides where a vector lies and how evenly, not what is found
 SPLIT_ROWS = 8_192
 SCALE = 1024.0
@@ -197,12 +198,14 @@ def _placed(whole: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
     sample: dict[int, list[np.ndarray]] = {}
     for r in whole.select("v", F.xxhash64("row").alias("hash")).orderBy("hash").limit(SPLIT_ROWS).collect():
         sample.setdefault(len(r.v) // 8, []).append(bytes(r.v))
-    cells, first, n_cells = {}, {}, 0
+    cells, first, n_cells, most = {}, {}, 0, []
     for length, n in sorted(counts.items()):
         few = min(-(-n * cores // max(1, total)), -(-n // min(LEAST_ROWS, shard_rows)))
-        cells[length] = Cells(_read(sample.get(length, []), length), max(-(-n // shard_rows), few))
+        rows = max(1, min(shard_rows, SHARD_BYTES // (8 * max(1, length))))
+        cells[length] = Cells(_read(sample.get(length, []), length), max(-(-n // rows), few))
         first[length] = n_cells
         n_cells += cells[length].cells
+        most += [rows] * cells[length].cells
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,11 +219,11 @@ def _placed(whole: DataFrame, shard_rows: int) -> tuple[DataFrame, int]:
     rows_of = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # about a row for each shard
     shard, dealt = 0, []
     for cell in range(n_cells):
-        parts = max(1, -(-rows_of.get(cell, 0) // (2 * shard_rows)))
+        parts = max(1, -(-rows_of.get(cell, 0) // (2 * most[cell])))
         dealt.append((cell, shard, parts))
         shard += parts
     table = spark.createDataFrame(dealt or [(0, 0, 1)], "cell long, first long, parts long")
-    # one row a cell, and cells of SHARD_ROWS rows: small beside the vectors at any size
+    # one row a cell, and cells of SHARD_BYTES or SHARD_ROWS: small beside the vectors at any size
     placed = placed.join(table.hint("broadcast"), "cell")
     return placed.select((F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))).alias("shard"), "row", "vec_id", "v"), max(1, shard)
 
@@ -330,7 +333,8 @@ def exact_topk(
     nearest number of 64 bits.  Rows that repeat an id are queries and
     candidates each on their own; an empty table gives no rows; other columns
     are ignored, whatever their names.  What reaches the driver: SPLIT_ROWS
-    vectors, and a box for each shard of about ``shard_rows`` rows.
+    vectors, and a box for each shard of about ``shard_rows`` rows or
+    SHARD_BYTES, whichever is less.
     """
     whole = stored(_whole_vectors(vectors, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
     placed, shards = _placed(whole, shard_rows)

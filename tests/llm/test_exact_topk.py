@@ -62,3 +62,17 @@ def test_trees_are_searched_best_first_with_a_score_from_elsewhere():
     cells = Cells(vectors, 7)
     assert cells.cells == 7 and np.bincount(cells.of(vectors)).min() > 2_000
     assert Cells(np.ones((50, 3)), 4).cells == 1
+
+
+def test_small_tables_and_wide_vectors_have_several_shards(spark, monkeypatch):
+    """Shards are bounded in bytes, and the k-th score travels between shards in small tables too."""
+    rng = random.Random(8)
+    rows = [(i, [rng.randrange(-64, 64) / 64 for _ in range(40)]) for i in range(300)]
+    sent, real = [], module._sent
+    monkeypatch.setattr(module, "_sent", lambda *a: sent.append(real(*a)) or sent[-1])
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, exact_topk(vectors, 100, 10).collect())) == brute(rows, 100, 10)
+    assert sent.pop().where("least IS NOT NULL").count() > 0
+    monkeypatch.setattr(module, "SHARD_BYTES", 40 * 8 * 20)
+    assert sorted(map(tuple, exact_topk(vectors, 100, 10).collect())) == brute(rows, 100, 10)
+    assert sent.pop().select("shard").distinct().count() > 10

@@ -179,9 +179,8 @@ def test_score_against_brute_force(spark):
     texts = {i: t for i, t in rows if t and zlib.crc32(str(i).encode()) % 5}
 
     def blocks(text):
-        size, most = compression_quality.SAMPLE_CHARS, compression_quality.SAMPLE_BLOCKS
-        n = min(most, -(-len(text) // size))
-        return [text[(at := (len(text) - size) * k // max(1, n - 1) if n > 1 else 0) : at + size] for k in range(n)]
+        size = compression_quality.SAMPLE_CHARS
+        return [text[at : at + size] for at in range(0, len(text), size)]
 
     def train(ids):
         return zstandard.train_dictionary(compression_quality.DICTIONARY_BYTES, [b.encode() for i in ids for b in blocks(texts[i])], k=64, d=8).as_bytes()
