@@ -53,7 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group (words of five, similarity 0.8): the one with the smallest id.
 
     A document here is an id with its text: rows that share both are one (the
-    smallest by their other columns stays), rows that share an id but not a
+    smallest by the text of its other columns stays), rows that share an id but not a
     text are judged apart.  A null id comes after all others, so that its row
     goes if another of its group has an id.  Texts without words are linked
     with nothing and stay.  An empty table stays empty.  Texts are shuffled
@@ -63,7 +63,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select(by_row.alias("rowforge_row"), *docs.columns)
     groups = near_groups(keyed, id_col="rowforge_row")
     kept = groups.where("kept").select(F.col("rowforge_row").alias("key")).distinct()
-    single = keyed.groupBy("rowforge_row").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    # as text, since columns of any type can be told apart so
+    others = F.to_json(F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("rowforge_none")))
+    single = keyed.groupBy("rowforge_row").agg(F.min_by(F.struct(*docs.columns), others).alias("row"))
     return single.join(kept.hint("merge"), F.col("rowforge_row") == F.col("key"), "left_semi").select("row.*")
 
 
