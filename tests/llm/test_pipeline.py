@@ -59,3 +59,12 @@ def test_stages_keep_further_columns(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs_out = stage(spark, docs, str(tmp_path))
         assert docs_out.columns == docs.columns and all(r.predicted == r.doc_id for r in docs_out.collect()), name
+
+
+def test_near_dedup_keeps_columns_of_any_type(spark):
+    text = "the river went over the stone and people came home by the bridge at night"
+    rows = [(1, text, {"a": 1}, [1]), (1, text, {"a": 0}, [2]), (1, text, None, None), (2, text + " x", {"b": 2}, None), (3, "another text of its own with other words in it", {}, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, meta map<string,int>, more array<int>")
+    got = sorted((r.doc_id, str(r.meta)) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert [i for i, _ in got] == [1, 3] and got[1][1] == "{}"
+    assert got == sorted((r.doc_id, str(r.meta)) for r in corpus_pipeline.near_dedup(spark, docs.repartition(3), "").collect())
