@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.functions.scalars import fold
+from rowforge.operators import audit
+from rowforge.plans.model import Column as SchemaColumn
+from rowforge.plans.model import Schema, Table
 
 
 def _present(keys: list[str]) -> Column:
@@ -51,23 +52,11 @@ def orphan_count(name: str, child: DataFrame, key: str, parent: DataFrame, paren
 
 
 def orphan_report(tables: dict[str, DataFrame], edges: list[tuple[str, str, str, str]]) -> DataFrame:
-    """:func:`orphan_count` of many edges (child, key, parent, key) by one shuffle: each table is read once.
-
-    Keys are compared by their text, counted before they meet.
-    """
-    def keys(table: str, own: list[tuple[str, str]]) -> DataFrame:
-        each = F.explode(F.array(*[F.struct(F.lit(edge).alias("edge"), F.col(column).cast("string").alias("key")) for edge, column in own])).alias("x")
-        return tables[table].select(each).select("x.edge", "x.key").where("key IS NOT NULL")
-
-    name = lambda e: f"{e[0]}.{e[1]}"
-    of = lambda end: {t: [(name(e), e[end + 1]) for e in edges if e[end] == t] for t in sorted({e[end] for e in edges})}
-    children = reduce(DataFrame.union, [keys(t, own).withColumn("n", F.lit(1)) for t, own in of(0).items()])
-    parents = reduce(DataFrame.union, [keys(t, own).withColumn("n", F.lit(0)) for t, own in of(2).items()])
-    met = children.withColumn("parent", F.lit(0)).union(parents.withColumn("parent", F.lit(1))).groupBy("edge", "key").agg(F.sum("n").alias("n"), F.max("parent").alias("parent"))
-    lost = F.coalesce(F.sum(F.when(F.col("parent") == 0, F.col("n"))), F.lit(0))
-    found = met.groupBy("edge").agg(F.sum("n").alias("checked"), lost.alias("orphans"))
-    every = children.sparkSession.createDataFrame([(name(e),) for e in edges], "edge string")
-    return every.join(found, "edge", "left").select("edge", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("checked", "orphans")])
+    """:func:`orphan_count` of many edges (child, key, parent, key): each table is read once, keys are counted as what they are before they meet."""
+    named = dict.fromkeys(t for child, _, parent, _ in edges for t in (child, parent))
+    schema = Schema([Table(t, [SchemaColumn(key, references=f"{parent}.{parent_key}") for child, key, parent, parent_key in edges if child == t]) for t in named])
+    found = audit.check({t: tables[t] for t in named}, schema).where(F.col("rule").contains(" refers to "))
+    return found.select(F.concat_ws(".", "table_name", F.substring_index("rule", " refers to ", 1)).alias("edge"), F.col("rows").alias("checked"), F.col("violations").alias("orphans"))
 
 
 def one_to_one(df: DataFrame, key: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from rowforge.functions.draw import salt, table_seed, unit
 from rowforge.functions.kinds import KINDS, OWN, Draws, longest
 from rowforge.functions.kinds import generate as generate_kind
-from rowforge.functions.pattern import compile_pattern, compile_unique, value_space
+from rowforge.functions.language import language, numbers, word_at
+from rowforge.functions.pattern import PatternError, compile_pattern, compile_unique, value_space
 from rowforge.functions.scalars import clamp_text, round_scale
 from rowforge.operators import relate, unique
 from rowforge.plans import model
@@ -190,6 +191,41 @@ def _key_function(schema: model.Schema, plan: Plan, ref: str, options: Options,
     return make if make(F.lit(0).cast("long")) is not None else None
 
 
+def _forest(schema: model.Schema, plan: Plan, table: model.Table, column: model.Column, cp: ColumnPlan, n: int, own: int, options: Options, seed: int, pools: dict):
+    """How a row refers into its own table: (key of its parent as a function of the row, or None; else a pool of existing keys, and its size).
+
+    New rows form trees of bounded depth, by rows before them.  Roots are
+    null, or refer to themselves where null is not allowed.  Where the keys
+    are no function of the row, rows refer to what exists already.
+    """
+    name, key = model.split_ref(cp.references)
+    target, tp = table.column(key), plan.tables[name]
+    kcp, beside = tp.columns.get(key), options.append and name in options.existing
+    made = None
+    if beside and not _is_one_to_one(table, column, cp):
+        held = _pool(cp.references, {}, schema, options, pools)
+        if held[1]:
+            return None, *held
+    if _self_filling(table, tp) == key:
+        start = 1
+        if beside:
+            start += options.existing[name].agg(F.coalesce(F.max(key), F.lit(0))).first()[0]
+        made = lambda row: (row + start).cast(model.spark_type(target))
+    elif kcp is not None and not kcp.skip and kcp.generator not in ("foreign_key", "default") and (kcp.unique or target.unique or table.primary_key == [key]):
+        if _row_value(F.lit(0).cast("long"), name, table, target, kcp, own, n, plan.locale, options) is not None:
+            made = lambda row: _row_value(row, name, table, target, kcp, own, n, plan.locale, options)
+    if made is None:
+        return None, None, 0
+    bound = column.name in table.primary_key or not column.nullable
+    place = relate.chain_parent if _is_one_to_one(table, column, cp) else lambda row: relate.forest_parent(row, n, salt(own, column.name, "parent"))
+
+    def parent(row: Column) -> Column:
+        at = place(row)
+        return made(F.coalesce(at, row)) if bound else F.when(at.isNotNull(), made(at))
+
+    return parent, None, 0
+
+
 def _pool(ref: str, made: dict[str, DataFrame], schema: model.Schema, options: Options, pools: dict) -> tuple[DataFrame | None, int]:
     """The numbered keys of a parent and how many there are; each parent is looked at once."""
     if ref not in pools:
@@ -227,7 +263,12 @@ def make_table(
     sources: dict[str, tuple[Callable[[Column], Column] | None, DataFrame | None, int]] = {}
     for column, cp in keys:
         parent, make, pool, size = model.split_ref(cp.references)[0], None, None, 0
-        if parent != name and parent in made:
+        if parent == name:
+            make, pool, size = _forest(schema, plan, table, column, cp, n, own, options, seed, pools)
+            if make:
+                plain.append(nulls(column, cp, make(row)).alias(column.name))
+                continue
+        elif parent in made:
             make = _key_function(schema, plan, cp.references, options, seed)
             size = _rows(plan.tables[parent], options) if make else 0
         if parent != name and make is None:
@@ -243,6 +284,8 @@ def make_table(
         places = dict(zip(composite, relate.composite_places(row, [sources[c][2] for c in composite], n, own), strict=True))
     joined = []
     for column, cp in keys:
+        if column.name not in sources:  # a reference into the table itself that is a function of the row
+            continue
         make, pool, size = sources[column.name]
         if size == 0:
             plain.append(F.lit(None).cast(model.spark_type(column)).alias(column.name))
@@ -295,14 +338,30 @@ def below_offset(seed: int, size: int) -> int:
 
 
 def _numbered_pattern(row: Column, table: str, column: model.Column, cp: ColumnPlan, seed: int, n: int, options: Options) -> Column | None:
-    """Patterns of one shape number their values; None for the others, whose duplicates are drawn again, and refused if that does not end them."""
-    space = value_space(cp.pattern) if column.cls == "string" and not column.unique_fold else None
-    if space is not None and space < n and not cp.null_rate:
+    """The words of a pattern are numbered, and each row has a number of its own; None for patterns too large to number.
+
+    Patterns of one shape spell the number in their last places, all others
+    look it up in the counts of their words by length.
+    """
+    if column.cls != "string":
+        return None
+    own, space = salt(seed, column.name), value_space(cp.pattern) if not column.unique_fold else None
+    words = None
+    if space is None:
+        try:
+            words = language(cp.pattern, column.max_len, column.unique_fold)
+        except PatternError:
+            return None
+        space = words.total
+    if space < n and not cp.null_rate:
         raise GenerationError(f"{table}.{column.name}: {n} rows cannot have unique values of a pattern with {space}")
-    if space is None or space < n or options.uniqueness != "construct":
+    if space < n or options.uniqueness != "construct":
         return None
-    own = salt(seed, column.name)
-    return compile_unique(cp.pattern, row, own, n, lambda size: unique.constructed(F.lit(0), row, "int", n, 0, size - 1, own))
+    number = lambda size: unique.constructed(F.lit(0), row, "int", n, 0, size - 1, own)
+    if words is None:
+        return compile_unique(cp.pattern, row, own, n, number)
+    size, apart = numbers(words, n)
+    return word_at(words, number(size) * F.lit(apart).cast("long"))
 
 
 def _redraw(out: DataFrame, column: model.Column, cp: ColumnPlan, seed: int, held: DataFrame | None) -> DataFrame:

@@ -73,6 +73,38 @@ def assign_one_to_one(rows: DataFrame, id_col: str, name: str, pool: DataFrame,
     return attach(rows, own_place(F.col(id_col), size, offset), pool, name, size)
 
 
+#: children that the rows of a level have on average, and rows of a chain of references
+FANOUT, CHAIN = 8, 8
+
+
+def levels(n_rows: int) -> list[int]:
+    """The first rows of a forest's levels; each level is FANOUT times the one before."""
+    out, size = [0], FANOUT
+    while out[-1] + size < n_rows:
+        out.append(out[-1] + size)
+        size *= FANOUT
+    return out
+
+
+def forest_parent(row: Column, n_rows: int, salt: int) -> Column:
+    """The parent's row: one of the level before, drawn; null for roots.
+
+    No row is its own ancestor, and trees are as deep as there are levels:
+    seven for a million rows.
+    """
+    first = levels(n_rows)
+    parent = F.lit(None).cast("long")
+    for k in range(1, len(first)):
+        drawn_row = F.lit(first[k - 1]).cast("long") + below(row, salt, F.lit(first[k] - first[k - 1]).cast("long"))
+        parent = F.when(row >= first[k], drawn_row).otherwise(parent) if k == 1 else F.when(row < first[k], parent).otherwise(drawn_row)
+    return parent
+
+
+def chain_parent(row: Column) -> Column:
+    """The row before, for references that no two rows may share; null at the head of each chain of CHAIN rows."""
+    return F.when(F.pmod(row, F.lit(CHAIN)) > 0, row - 1)
+
+
 def stride_for(space: int, seed: int) -> int:
     """A step coprime to the space, so that steps visit every combination once."""
     step = seed % space or 1

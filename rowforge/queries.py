@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from rowforge.functions.draw import P, below_sql, draw, draw_sql, salt, table_seed, unit_sql
 from rowforge.functions.kinds import Draws, generate
 from rowforge.functions.kinds_sql import KINDS_SQL, SqlDraws
+from rowforge.functions.language import language, word_at
 from rowforge.functions.pattern import compile_pattern
 from rowforge.functions.scalars import clamp_text, round_scale
-from rowforge.operators import audit, checks, export, relate, unique
+from rowforge.operators import audit, checks, export, forest, relate, unique
 from rowforge.operators import generate as engine
 from rowforge.plans import ddl
 from rowforge.plans.model import classify
@@ -349,6 +350,64 @@ _add(
     "SELECT row, CASE WHEN EXISTS (SELECT 1 FROM customer c WHERE c.c_name = n.v) THEN v || '-' || row ELSE v END AS v FROM n",
 )
 
+# --- words of a pattern by number, references within a table -----------------------------------
+_WORDS = "^[a-z]{1,3}[0-9]?$"
+
+
+def _pattern_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer gets a word of its own, however many words the customers need."""
+    words = language(_WORDS)
+    number = F.pmod(F.col("c_custkey") * 7919, F.lit(words.total))
+    return _table(spark, sf_dir, "customer").select("c_custkey", word_at(words, number).alias("v"))
+
+
+_LETTERS = "(SELECT chr(CAST(97 + range AS INTEGER)) AS c FROM range(26))"
+_add(
+    "unique_pattern_words",
+    _pattern_words,
+    f"WITH l AS {_LETTERS}, w AS (SELECT c AS w FROM l UNION ALL SELECT a.c || b.c FROM l a, l b UNION ALL SELECT a.c || b.c || d.c FROM l a, l b, l d), "
+    "all_words AS (SELECT w FROM w UNION ALL SELECT w || range FROM w, range(10)), "
+    "numbered AS (SELECT w, row_number() OVER (ORDER BY length(w), w) - 1 AS i FROM all_words) "
+    "SELECT c_custkey, w AS v FROM customer JOIN numbered ON i = (c_custkey * 7919) % (SELECT count(*) FROM all_words)",
+)
+
+
+def _forest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _table(spark, sf_dir, "customer")
+    return customers.select("c_custkey", relate.forest_parent(F.col("c_custkey"), customers.count(), _salted("parent")).alias("parent"))
+
+
+def _forest_sql() -> str:
+    """Levels of any number of rows; those beyond the table's rows are not reached."""
+    first, cases = relate.levels(10**9), []
+    for k in range(len(first) - 1, 0, -1):
+        cases.append(f"WHEN c_custkey >= {first[k]} THEN {first[k - 1]} + {below_sql('c_custkey', _salted('parent'), str(first[k] - first[k - 1]))}")
+    return f"SELECT c_custkey, CASE {' '.join(cases)} END AS parent FROM customer"
+
+
+_add("self_reference_forest", _forest_rows, _forest_sql())
+_add("check_forest", lambda s, d: forest.forest_report(_forest_rows(s, d), "c_custkey", "parent"),
+     f"WITH RECURSIVE f AS MATERIALIZED ({_forest_sql()}), t AS (SELECT c_custkey AS k, 0 AS d FROM f WHERE parent IS NULL UNION ALL SELECT f.c_custkey, d + 1 FROM f JOIN t ON f.parent = t.k) "
+     "SELECT (SELECT count(*) FROM f) AS rows, count(*) FILTER (WHERE d = 0) AS roots, (SELECT count(*) FROM f WHERE parent NOT IN (SELECT c_custkey FROM f)) AS orphans, "
+     "(SELECT count(*) FROM f) - count(*) AS in_cycles, CAST(max(d) AS BIGINT) AS depth FROM t")
+
+
+def _broken_forest(t: DataFrame) -> DataFrame:
+    """Orders that refer to others by their customer and date, with roots, orphans, long ways and cycles among them."""
+    key = F.col("o_orderkey")
+    return t.select(key, F.when(key % 11 > 0, F.when(key % 13 > 0, (key * key + F.col("o_custkey")) % 9973).otherwise(-key)).alias("parent"))
+
+
+_BROKEN = "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 > 0 THEN CASE WHEN o_orderkey % 13 > 0 THEN (o_orderkey * o_orderkey + o_custkey) % 9973 ELSE -o_orderkey END END AS p FROM orders"
+_add(
+    "check_forest_broken",
+    _on("orders", lambda t: forest.forest_report(_broken_forest(t), "o_orderkey", "parent")),
+    f"WITH RECURSIVE f AS MATERIALIZED ({_BROKEN}), o AS (SELECT k FROM f WHERE p NOT IN (SELECT k FROM f)), "
+    "t AS (SELECT k, 0 AS d, TRUE AS good FROM f WHERE p IS NULL OR p = k UNION ALL SELECT k, 0, FALSE FROM o UNION ALL SELECT f.k, d + 1, good FROM f JOIN t ON f.p = t.k WHERE f.p <> f.k) "
+    "SELECT (SELECT count(*) FROM f) AS rows, count(*) FILTER (WHERE d = 0 AND good) AS roots, (SELECT count(*) FROM o) AS orphans, (SELECT count(*) FROM f) - count(*) AS in_cycles, "
+    "CAST(max(d) FILTER (WHERE good) AS BIGINT) AS depth FROM t",
+)
+
 # --- planning, sources and export --------------------------------------------------------------
 _add(
     "sql_literal_rows",

@@ -62,7 +62,7 @@ def test_empty_parents_self_references_and_capacity(spark):
     plan.seed = 3
     plan.tables["c"].rows, plan.tables["p"].rows, plan.tables["prof"].rows = 20, 50, 20
     made = run(spark, schema, plan).tables
-    assert made["c"].where("parent_id IS NOT NULL").isEmpty() and made["p"].where("c_id IS NULL").isEmpty()
+    assert made["c"].where("parent_id IS NULL").count() >= 8 and made["p"].where("c_id IS NULL").isEmpty()
     assert checks.one_to_one(made["prof"], "c_id").first().one_to_one
     plan.tables["prof"].rows = 21
     with pytest.raises(relate.CapacityError):
@@ -337,7 +337,7 @@ def test_unique_patterns_are_unique_or_refused(spark):
     with pytest.raises(unique.RepairError, match="nick: values are still duplicated"):
         run(spark, schema, plan, Options(uniqueness="repair"))
     columns["nick"] = ColumnPlan("pattern", pattern="^[ab]{1,3}$", unique=True)
-    with pytest.raises(unique.RepairError, match="nick: values are still duplicated"):
+    with pytest.raises(GenerationError, match="500 rows cannot"):
         run(spark, schema, plan)
 
 
