@@ -75,6 +75,7 @@ def row_rules(table: model.Table, plans: dict[str, ColumnPlan]) -> list[Rule]:
 def key_rules(table: model.Table) -> list[Rule]:
     """Unique keys, a null in which exempts the row, and references."""
     out = [Rule(table.name, f"primary key {', '.join(table.primary_key)}", "unique", columns=list(table.primary_key))] if table.primary_key else []
+    out += [Rule(table.name, f"unique {', '.join(key)}", "unique", columns=list(key)) for key in table.uniques]
     for c in table.columns:
         if c.unique and table.primary_key != [c.name]:
             out.append(Rule(table.name, f"unique {c.name}", "unique", columns=[c.name]))

@@ -102,6 +102,8 @@ class Table:
     primary_key: list[str] = field(default_factory=list)
     checks: list[Check] = field(default_factory=list)
     existing_rows: int = 0
+    #: unique keys of several columns, besides the primary one
+    uniques: list[list[str]] = field(default_factory=list)
 
     def column(self, name: str) -> Column | None:
         return next((c for c in self.columns if c.name == name), None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections.abc import Callable
@@ -15,7 +16,7 @@ from rowforge.functions.kinds_sql import KINDS_SQL, SqlDraws
 from rowforge.functions.language import language, word_at
 from rowforge.functions.pattern import compile_pattern
 from rowforge.functions.scalars import clamp_text, round_scale
-from rowforge.operators import audit, checks, export, forest, relate, unique
+from rowforge.operators import audit, checks, discover, export, forest, relate, unique
 from rowforge.operators import generate as engine
 from rowforge.plans import ddl
 from rowforge.plans.model import classify
@@ -350,6 +351,83 @@ _add(
     "SELECT row, CASE WHEN EXISTS (SELECT 1 FROM customer c WHERE c.c_name = n.v) THEN v || '-' || row ELSE v END AS v FROM n",
 )
 
+# --- keys and references found from the rows -----------------------------------------------------
+#: columns that can be keys, by table
+_KEYED = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"],
+    "labels": ["doc_id", "quality", "toxic"], "documents": ["doc_id", "text", "lang", "source", "n_chars"], "conversations": ["conv_id", "turn", "role", "text"],
+}
+
+
+#: tables of which some have keys of several columns only
+_SEVERAL = ["nation", "orders", "lineitem", "labels", "conversations"]
+
+
+def _found_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [(t, ", ".join(key)) for t in _SEVERAL for key in discover.minimal_keys(t, _table(spark, sf_dir, t))]
+    return spark.createDataFrame(found, "table_name string, key string")
+
+
+def _found_keys_sql() -> str:
+    """All combinations of up to three columns, counted each."""
+    out = []
+    for t in _SEVERAL:
+        for width in range(1, 4):
+            for c in itertools.combinations(sorted(_KEYED[t]), width):
+                out.append(f"SELECT '{t}' AS t, {list(c)} AS c, count(*) = count(DISTINCT ({', '.join(c)})) AND count(*) > 0 AND {' AND '.join(f'count({x}) = count(*)' for x in c)} AS u FROM {t}")
+    return (
+        f"WITH u AS MATERIALIZED (SELECT t, c FROM ({' UNION ALL '.join(out)}) WHERE u) SELECT t AS table_name, array_to_string(c, ', ') AS key FROM u "
+        "WHERE NOT EXISTS (SELECT 1 FROM u v WHERE v.t = u.t AND len(v.c) < len(u.c) AND list_has_all(u.c, v.c))"
+    )
+
+
+_add("discover_keys", _found_keys, _found_keys_sql())
+
+
+def _found_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {t: _table(spark, sf_dir, t) for t in _KEYED}
+    schema = discover.discover(tables, widest=1)
+    found = [(t.name, c.name, c.references) for t in schema.tables for c in t.columns if c.references]
+    return spark.createDataFrame(found, "child string, key string, parent string")
+
+
+def _found_references_sql() -> str:
+    """The named pairs of columns, each looked up; a parent's column has to be a key."""
+    pairs = [e for e in EDGES if e[0] != "events"] + [("documents", "doc_id", "labels", "doc_id")]
+    each = [
+        f"SELECT '{c}' AS child, '{k}' AS key, '{p}.{pk}' AS parent WHERE NOT EXISTS (SELECT 1 FROM {c} WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT {pk} FROM {p} WHERE {pk} IS NOT NULL)) "
+        f"AND (SELECT count(*) = count(DISTINCT {pk}) FROM {p})"
+        for c, k, p, pk in pairs
+    ]
+    return " UNION ALL ".join(each)
+
+
+_add("discover_references", _found_references, _found_references_sql())
+
+
+def _all_inclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = {t: _table(spark, sf_dir, t).select(*columns) for t, columns in _WHOLE.items()}
+    found = discover.inclusions(tables, {(t, c) for t, columns in _WHOLE.items() for c in columns})
+    return spark.createDataFrame(found, "child_table string, child string, parent_table string, parent string")
+
+
+_WHOLE = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"],
+    "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], "events": ["event_id", "user_id"], "labels": ["doc_id", "quality", "toxic"],
+}
+_add(
+    "discover_inclusions",
+    _all_inclusions,
+    " UNION ALL ".join(
+        f"SELECT '{a}' AS child_table, '{c}' AS child, '{b}' AS parent_table, '{p}' AS parent WHERE EXISTS (SELECT 1 FROM {a} WHERE {c} IS NOT NULL) "
+        f"AND NOT EXISTS (SELECT {c} FROM {a} WHERE {c} IS NOT NULL EXCEPT SELECT {p} FROM {b})"
+        for a, children in _WHOLE.items() for c in children for b, keys in _WHOLE.items() for p in keys if (a, c) != (b, p)
+    ),
+)
+
 # --- words of a pattern by number, references within a table -----------------------------------
 _WORDS = "^[a-z]{1,3}[0-9]?$"
 
