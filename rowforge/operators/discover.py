@@ -45,15 +45,20 @@ class ColumnFacts:
     high: object
 
 
+def _sketch(*columns: Column) -> Column:
+    """About how many distinct values columns have together, by one buffer of a few kilobytes."""
+    return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in columns]), F.xxhash64(*columns)), F.lit(12)))
+
+
 def column_facts(name: str, df: DataFrame) -> list[ColumnFacts]:
     """Counts, sketches and ranges of the columns of a table that can be keys, by one pass."""
     own = [(f.name, kind_of(f.dataType)) for f in df.schema.fields if kind_of(f.dataType)]
     if not own:
         return []
     quoted = lambda c: F.col(f"`{c}`")
-    each = [x for k, (c, _) in enumerate(own) for x in (F.count(quoted(c)).alias(f"n{k}"), F.approx_count_distinct(quoted(c), DEVIATION).alias(f"d{k}"), F.min(quoted(c)).alias(f"l{k}"), F.max(quoted(c)).alias(f"h{k}"))]
+    each = [x for k, (c, _) in enumerate(own) for x in (F.count(quoted(c)).alias(f"n{k}"), _sketch(quoted(c)).alias(f"d{k}"), F.min(quoted(c)).alias(f"l{k}"), F.max(quoted(c)).alias(f"h{k}"))]
     r = df.agg(F.count("*").alias("rows"), *each).first()
-    return [ColumnFacts(name, c, kind, r["rows"], r[f"n{k}"], r[f"d{k}"], r[f"l{k}"], r[f"h{k}"]) for k, (c, kind) in enumerate(own)]
+    return [ColumnFacts(name, c, kind, r["rows"], r[f"n{k}"], r[f"d{k}"] or 0, r[f"l{k}"], r[f"h{k}"]) for k, (c, kind) in enumerate(own)]
 
 
 def _enough(distinct: float, rows: int) -> bool:
@@ -90,7 +95,7 @@ def minimal_keys(name: str, df: DataFrame, widest: int = WIDEST, facts: list[Col
         counted = [c for c in candidates if sketch[c] >= rows]
         for at in range(0, len(counted), TOGETHER):
             some = counted[at : at + TOGETHER]
-            together = [F.approx_count_distinct(F.struct(*[F.col(f"`{x}`") for x in c]), DEVIATION).alias(f"d{k}") for k, c in enumerate(some)]
+            together = [_sketch(*[F.col(f"`{x}`") for x in c]).alias(f"d{k}") for k, c in enumerate(some)]
             r = df.agg(*together).first()
             sketch |= {c: r[f"d{k}"] for k, c in enumerate(some)}
         open_sets = candidates
