@@ -248,14 +248,22 @@ def make_table(
     seed: int,
     splits: int | None = None,
     pools: dict | None = None,
+    rows: DataFrame | None = None,
 ) -> DataFrame:
+    """One table; ``rows``: the row ids (a column ID) to make it of, which may be a stream, instead of all of them."""
     table, tp = schema.table(name), plan.tables[name]
     n, pools = _rows(tp, options), {} if pools is None else pools
     own = table_seed(seed, name)
     columns = written_columns(table, tp)
-    base = spark.range(0, n, 1, splits).withColumnRenamed("id", ID) if splits else spark.range(n).withColumnRenamed("id", ID)
+    if rows is not None:
+        base = rows.select(F.col(ID).cast("long").alias(ID)).where((F.col(ID) >= 0) & (F.col(ID) < n))
+    else:
+        base = spark.range(0, n, 1, splits).withColumnRenamed("id", ID) if splits else spark.range(n).withColumnRenamed("id", ID)
     row, keys = F.col(ID), [(c, p) for c, p in columns if p.generator == "foreign_key"]
     values = {c.name: _row_value(row, name, table, c, p, own, n, plan.locale, options) for c, p in columns if p.generator != "foreign_key"}
+    streamed = base.isStreaming
+    if streamed:
+        base, values = _streamed_uniques(base, table, columns, values, own, plan.locale, options)
     plain = [_value(row, c, p, own, plan.locale) if values[c.name] is None else values[c.name] for c, p in columns if c.name in values]
     nulls = lambda column, cp, key: F.when(unit(row, salt(own, column.name, "null")) >= cp.null_rate, key) if cp.null_rate else key
 
@@ -333,6 +341,20 @@ def make_table(
     return out.select(*present)
 
 
+def _streamed_uniques(base: DataFrame, table: model.Table, columns: list, values: dict, own: int, locale: str, options: Options) -> tuple[DataFrame, dict]:
+    """The row ids of a stream with the columns that take a look at other rows, and where each column comes from."""
+    values = dict(values)
+    open_columns = [(c, p) for c, p in columns if c.name in values and values[c.name] is None]
+    if len(open_columns) > 1:
+        raise GenerationError(f"{table.name}: a stream keeps the state of one column, not of {', '.join(c.name for c, _ in open_columns)}")
+    for column, cp in open_columns:
+        if cp.generator == "pattern" or column.cls not in ("string", "uuid", "enum") or (options.append and table.name in options.existing):
+            raise GenerationError(f"{table.name}.{column.name}: no way to make {column.cls} values of {cp.generator} unique in a stream")
+        base = unique.repair_stream(base.withColumn(column.name, _value(F.col(ID), column, cp, own, locale)), column.name, ID, column.unique_fold, column.max_len)
+        values[column.name] = F.col(column.name)
+    return base, values
+
+
 def below_offset(seed: int, size: int) -> int:
     return seed % size
 

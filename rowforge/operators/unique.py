@@ -87,6 +87,34 @@ def repair(df: DataFrame, column: str, id_col: str, kind: str, folded: bool = Fa
     return refuse_duplicates(out.drop("_turn", "_original"), column, folded)
 
 
+def repair_stream(df: DataFrame, column: str, id_col: str, folded: bool = False, max_len: int = 0) -> DataFrame:
+    """:func:`repair` of text for a stream: a value that came before, in this batch of the stream or an earlier one, takes its row id.
+
+    ``df`` has the columns ``id_col``, ``column`` and others made by this
+    function.  A key's state is that it was seen.  Rows of a batch are taken
+    by row id, so that a stream in the order of its ids gives what the batch
+    gives, unless a changed value meets another.
+    """
+    import pandas as pd
+
+    names = df.columns
+    key = F.coalesce(_keyed(column, folded), F.concat(F.lit("\0"), F.pmod(F.col(id_col), F.lit(64)).cast("string")))  # null keys are no duplicates
+
+    def seen(_, pieces, state):
+        own = pd.concat(list(pieces)).sort_values(id_col)
+        late = own[column].notna()
+        if not state.exists:
+            late.iloc[0] = False
+            state.update((True,))
+        own["_late"] = late
+        yield own[[*names, "_late"]]
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    met = df.withColumn("_key", key).groupBy("_key").applyInPandasWithState(seen, f"{kinds}, _late boolean", "seen boolean", "append", "NoTimeout")
+    changed = F.when(F.col("_late"), suffixed(F.col(column), F.col(id_col), max_len)).otherwise(F.col(column))
+    return met.select(*[changed.alias(column) if c == column else c for c in names])
+
+
 def refuse_duplicates(df: DataFrame, column: str, folded: bool = False, held: DataFrame | None = None) -> DataFrame:
     """``df``, unless ``column`` has duplicates, or values among ``held`` (a column ``_held``)."""
     if still_duplicated(df, column, folded):

@@ -22,7 +22,7 @@ from rowforge.plans import ddl
 from rowforge.plans.model import classify
 from rowforge.plans.plan import ColumnPlan, infer, merge, table_order, validate
 from rowforge.sources import catalog
-from rowforge.streaming.stream import windowed_counts
+from rowforge.streaming.stream import stream_columns, windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -658,6 +658,15 @@ _add(
 )
 
 
+def _streamed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' users, made by a stream of their ids."""
+    ids = spark.readStream.schema(_table(spark, sf_dir, "orders").schema).parquet(f"{sf_dir}/orders.parquet*").select(F.col("o_orderkey").alias(engine.ID))
+    name = f"rowforge_{uuid.uuid4().hex}"
+    made = stream_columns(ids, SCHEMA, users_plan(2**40), "users")
+    made.select("id", "email", "first_name", "city", "is_active").writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders read as a migration tool's history: the newest 200, unknown times last."""
     orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version_id"), (F.col("o_orderstatus") == "F").alias("is_applied"), F.col("o_orderdate").cast("timestamp").alias("tstamp"))
@@ -707,6 +716,7 @@ def _rows_of(spark: SparkSession, sf_dir: str, table: str) -> int:
     return _table(spark, sf_dir, table).count()
 
 
+_add("stream_rows", _streamed_rows, f"SELECT id, email, first_name, city, is_active FROM ({_users_sql('(SELECT o_orderkey AS row FROM orders)')})")
 _add("generate_users", lambda s, d: _plain(generate_users(s, _rows_of(s, d, "customer"))), _users_sql("(SELECT range AS row FROM range((SELECT count(*) FROM customer)))"))
 
 

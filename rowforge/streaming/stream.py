@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowforge.functions.draw import table_seed
-from rowforge.operators.generate import ID, _value, written_columns
+from rowforge.operators.generate import ID, Options, generate, make_table
 from rowforge.plans.model import Schema
 from rowforge.plans.plan import Plan
 
 
-def generate_stream(spark: SparkSession, schema: Schema, plan: Plan, table: str, rows_per_second: int, seed: int) -> DataFrame:
-    """An endless table: row n has the values it would have in a batch.  Columns that need other tables or repair are left out."""
+def generate_stream(spark: SparkSession, schema: Schema, plan: Plan, table: str, rows_per_second: int, options: Options | None = None) -> DataFrame:
+    """A table as a stream that ends with the plan's rows of it: row n has the values that it has in a batch."""
     source = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    return stream_columns(source.select(F.col("value").alias(ID)), schema, plan, table, seed)
-
-
-def stream_columns(rows: DataFrame, schema: Schema, plan: Plan, table: str, seed: int) -> DataFrame:
-    own = table_seed(seed, table)
-    columns = [(c, p) for c, p in written_columns(schema.table(table), plan.tables[table]) if p.generator != "foreign_key"]
-    return rows.select(ID, *[_value(F.col(ID), c, p, own, plan.locale) for c, p in columns])
+    return stream_columns(source.select(F.col("value").alias(ID)), schema, plan, table, options)
+
+
+def stream_columns(rows: DataFrame, schema: Schema, plan: Plan, table: str, options: Options | None = None) -> DataFrame:
+    """The row ids ``rows`` (a column ID, a stream or not) with all columns of ``table``, as in the batch.
+
+    Both use the same functions of the row.  Foreign keys are those of the
+    plan's parents, or of ``options.existing``: a key that is a function of
+    the parent's row is computed, others come from a finished parent by a
+    stream-static join.  Text whose uniqueness rests on the rows before
+    (``uniqueness="repair"``) is kept in keyed state, for one column; numbers of that
+    kind and unique values beside existing ones are refused.  Ids beyond the plan's rows
+    of the table are left out.
+    """
+    made = generate(rows.sparkSession, schema, plan, options)
+    return make_table(rows.sparkSession, schema, plan, table, made.tables, made.options, made.seed, rows=rows)
 
 
 def late_duplicates(events: DataFrame, key: str, time: str, delay: str = "10 minutes") -> DataFrame:

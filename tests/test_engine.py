@@ -4,6 +4,7 @@ import csv
 import json
 import os
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -290,15 +291,60 @@ def test_truncate_append_and_progress(spark, tmp_path):
         run(spark, SCHEMA, plan, Options(append=True))
 
 
-def test_streams(spark, tmp_path):
-    plan = users_plan(50)
-    batch = run(spark, SCHEMA, plan).tables["users"]
-    spark.range(50).withColumnRenamed("id", "_row").write.parquet(str(tmp_path / "ids"))
-    stream = spark.readStream.schema("_row long").parquet(str(tmp_path / "ids"))
-    query = stream_columns(stream, SCHEMA, plan, "users", 42).writeStream.format("memory").queryName("made").start()
+def streamed(df, name):
+    query = df.writeStream.format("memory").queryName(name).start()
     query.processAllAvailable()
     query.stop()
-    assert rows(spark.table("made").select("first_name", "city")) == rows(batch.select("first_name", "city"))
+    return df.sparkSession.table(name)
+
+
+def test_streamed_rows_are_the_rows_of_the_batch(spark, tmp_path):
+    """All columns: unique mail, keys of made parents and of finished ones, references within a table, patterns."""
+    schema = ddl.parse_schema(
+        "CREATE TABLE users (id bigserial PRIMARY KEY, email varchar(120) NOT NULL UNIQUE, code varchar(9) NOT NULL UNIQUE, number int UNIQUE, boss bigint REFERENCES users(id));"
+        "CREATE TABLE orders (id bigserial PRIMARY KEY, user_id bigint NOT NULL REFERENCES users(id), mail varchar(120) REFERENCES users(email), shop int NOT NULL REFERENCES shops(id), total decimal(10,2), at timestamp);"
+        "CREATE TABLE shops (id int PRIMARY KEY, name text)"
+    )
+    plan = infer(schema)
+    plan.seed, plan.tables["users"].rows, plan.tables["orders"].rows = 42, 2000, 300
+    plan.tables["shops"].skip = True
+    plan.tables["users"].columns["code"] = ColumnPlan("pattern", pattern="^[a-z]{1,3}$", unique=True)
+    options = Options(existing={"shops": spark.range(5, 60, 5).selectExpr("CAST(id AS INT) AS id")})
+    batch = run(spark, schema, plan, options).tables
+    for part in range(3):  # several batches of the stream, ids beyond the plan's rows among them
+        spark.range(part * 700, (part + 1) * 700).withColumnRenamed("id", "_row").coalesce(2).write.mode("append").parquet(str(tmp_path / "ids"))
+    for name in ("users", "orders"):
+        ids = spark.readStream.schema("_row long").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "ids"))
+        made = streamed(stream_columns(ids, schema, plan, name, options), f"made_{name}")
+        assert sorted(map(str, made.collect())) == sorted(map(str, batch[name].collect()))
+    assert checks.uniqueness(spark.table("made_users"), ["email"]).first().extra_rows == 0
+
+
+def test_streams_keep_uniqueness_in_state(spark, tmp_path):
+    schema = ddl.parse_schema("CREATE TABLE t (id bigserial PRIMARY KEY, name varchar(40) UNIQUE, town varchar(40) UNIQUE, n int UNIQUE)")
+    plan = infer(schema)
+    plan.seed, plan.tables["t"].rows = 5, 900
+    columns = plan.tables["t"].columns
+    columns["name"], columns["town"] = ColumnPlan("firstname", unique=True, null_rate=0.2), ColumnPlan("city", unique=True)
+    columns["n"].skip = columns["town"].skip = True
+    for part in range(3):
+        spark.range(part * 300, (part + 1) * 300, 1, 1).withColumnRenamed("id", "_row").write.mode("append").parquet(str(tmp_path / "ids"))
+        time.sleep(1.1)  # a stream takes files in the order of their times
+    ids = spark.readStream.schema("_row long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ids"))
+    repaired = Options(uniqueness="repair")
+    made = streamed(stream_columns(ids, schema, plan, "t", repaired), "kept_unique")
+    assert made.count() == 900 and made.where("name IS NULL").count() > 100
+    assert checks.uniqueness(made, ["name"]).first().extra_rows == 0
+    assert rows(made) == rows(run(spark, schema, plan, repaired).tables["t"])
+    columns["town"].skip = False
+    with pytest.raises(GenerationError, match="name, town"):
+        stream_columns(ids, schema, plan, "t", repaired)
+    columns["n"].skip, columns["name"].skip, columns["town"].skip = False, True, True
+    with pytest.raises(GenerationError, match="in a stream"):
+        stream_columns(ids, schema, plan, "t", repaired)
+
+
+def test_windowed_counts(spark, tmp_path):
     events = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet("/root/testdata/sf0.001/events.parquet*")
     query = windowed_counts(events, "ts", "event_type", "1 day").writeStream.format("memory").queryName("counted").outputMode("complete").start()
     query.processAllAvailable()
