@@ -492,14 +492,28 @@ _add(
     _on("region", export.sql_rows),
     "SELECT '(' || r_regionkey || ', ' || '''' || replace(r_name, '''', '''''') || '''' || ')' AS row_sql FROM region",
 )
-_add(
-    "sample_infer_json",
-    _on("events", lambda t: catalog.sample_json(t, "props", 10**9)),
-    "WITH d AS (SELECT props FROM events WHERE props IS NOT NULL), f AS (SELECT unnest(json_keys(props)) AS field, props FROM d), "
-    "v AS (SELECT field, json_extract_string(props, '$.' || field) AS v FROM f WHERE field <> '_id') "
-    "SELECT field, CASE WHEN regexp_full_match(min(v), '-?[0-9]+') THEN 'bigint' WHEN regexp_full_match(min(v), '-?[0-9]+([.][0-9]+)?([eE][-+]?[0-9]+)?') THEN 'double' "
-    "WHEN min(v) IN ('true', 'false') THEN 'boolean' ELSE 'text' END AS native, count(v) < (SELECT count(*) FROM d) AS nullable FROM v GROUP BY field",
+#: documents of orders, whose fields hold values of one kind, of several, of none, and objects within
+_DOCS = (
+    "'{\"key\": ' || o_orderkey || ', \"status\": \"' || o_orderstatus || '\", \"number\": ' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE '.5' END || "
+    "', \"mixed\": ' || CASE WHEN o_orderkey % 5 = 0 THEN '7' ELSE '\"abc\"' END || ', \"code\": \"' || o_orderkey || '\", \"gone\": null, \"flag\": ' || "
+    "CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'null' END || ', \"place\": {\"customer\": ' || o_custkey || CASE WHEN o_orderkey % 4 = 0 THEN ', \"note\": \"x\"' ELSE '' END || "
+    "'}, \"list\": [1, \"a\"], \"_id\": 1}'"
 )
+_PATHS = ["key", "status", "number", "mixed", "code", "gone", "flag", "place.customer", "place.note", "list"]
+
+
+def _documents_sql() -> str:
+    """The types that each path has in all documents, by the engine's own reading of JSON."""
+    each = " UNION ALL ".join(f"SELECT '{p}' AS field, json_type(doc, '$.{p}') AS t FROM d" for p in _PATHS)
+    return (
+        f"WITH d AS (SELECT CAST({_DOCS} AS JSON) AS doc FROM orders), t AS ({each}), k AS (SELECT field, coalesce(t, 'NULL') AS t FROM t) "
+        "SELECT field, CASE WHEN bool_and(t = 'NULL') THEN 'text' WHEN bool_and(t IN ('NULL', 'UBIGINT', 'BIGINT')) THEN 'bigint' WHEN bool_and(t IN ('NULL', 'UBIGINT', 'BIGINT', 'DOUBLE')) THEN 'double' "
+        "WHEN bool_and(t IN ('NULL', 'BOOLEAN')) THEN 'boolean' WHEN bool_and(t IN ('NULL', 'ARRAY')) THEN 'json' ELSE 'text' END AS native, bool_or(t = 'NULL') AS nullable FROM k GROUP BY field"
+    )
+
+
+_add("sample_infer_json", _on("orders", lambda t: catalog.sample_json(t.select(F.expr(_DOCS).alias("doc")), "doc", None)), _documents_sql())
+
 _DDL = """
 CREATE TABLE users (id BIGSERIAL PRIMARY KEY, email VARCHAR(120) NOT NULL UNIQUE, first_name VARCHAR(50) NOT NULL, last_name VARCHAR(50) NOT NULL,
   city VARCHAR(60), phone VARCHAR(30), company VARCHAR(80), balance DECIMAL(10,2) NOT NULL, is_active BOOLEAN NOT NULL, created_at TIMESTAMP NOT NULL);

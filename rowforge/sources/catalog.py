@@ -117,22 +117,65 @@ def profile_keys(df: DataFrame, name: str) -> Table:
     return table
 
 
-_JSON_TYPE = (
-    "case when v rlike '^-?[0-9]+$' then 'bigint' when v rlike '^-?[0-9]+([.][0-9]+)?([eE][-+]?[0-9]+)?$' then 'double' "
-    "when v in ('true', 'false') then 'boolean' when substr(v, 1, 1) = '{' then 'json' when substr(v, 1, 1) = '[' then 'json' else 'text' end"
-)
+#: rows from which the fields of documents are taken, unless more are asked for
+SAMPLE_ROWS = 200
 
 
-def sample_json(df: DataFrame, column: str, rows: int = 200) -> DataFrame:
-    """(field, native, nullable) of JSON documents from ``rows`` of them; a field is nullable unless all documents have it.
+def _chosen(df: DataFrame, column: str, rows: int | None) -> DataFrame:
+    """Documents as variants, those that are objects; ``rows`` of them by the smallest hash, so that the choice does not hang on the order of rows."""
+    docs = df.select(F.col(column).alias("doc")).where(F.col(column).isNotNull())
+    if rows is not None:
+        docs = docs.orderBy(F.xxhash64("doc"), "doc").limit(rows)
+    return docs.select(F.try_parse_json("doc").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT<"))
 
-    Types come from the smallest non-null value as text, so that the answer does not depend on row order.
+
+def _leaves(kind: T.DataType, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:
+    if isinstance(kind, T.StructType) and kind.fields:
+        return [x for f in kind.fields for x in _leaves(f.dataType, (*path, f.name))]
+    return [(path, kind)]
+
+
+def _native(kind: T.DataType) -> str:
+    """The type of a field whose values meet in ``kind``; values of kinds that do not meet are text."""
+    if isinstance(kind, T.DecimalType):
+        return "double" if kind.scale else f"numeric({kind.precision}, 0)"
+    if isinstance(kind, (T.ArrayType, T.StructType)):
+        return "json"
+    return {T.LongType: "bigint", T.DoubleType: "double", T.BooleanType: "boolean"}.get(type(kind), "text")
+
+
+def _step(name: str) -> str:
+    return f"['{name}']" if '"' in name else f'["{name}"]'
+
+
+def sample_json(df: DataFrame, column: str, rows: int | None = SAMPLE_ROWS) -> DataFrame:
+    """(field, native, nullable) of JSON documents, from ``rows`` of them or all (None).
+
+    Kinds meet in a lattice: null is below all, whole numbers are below other
+    numbers, and what does not meet is text; objects become fields with dotted
+    names, arrays are json.  The kinds of all documents are merged by a partial
+    aggregation, whatever their order.  A field is nullable unless all
+    documents have a value of it.  What is no JSON, or no object, is left
+    out, and so is ``_id``.
     """
-    docs = df.select(column).where(F.col(column).isNotNull()).limit(rows)
-    fields = docs.select(F.explode(F.from_json(column, "map<string,string>")).alias("field", "v")).where("field != '_id'")
-    total = docs.agg(F.count("*").alias("documents"))
-    per = fields.groupBy("field").agg(F.count("v").alias("seen"), F.min("v").alias("v"))
-    return per.join(F.broadcast(total)).select("field", F.expr(_JSON_TYPE).alias("native"), (F.col("seen") < F.col("documents")).alias("nullable"))
+    docs = _chosen(df, column, rows)
+    merged = docs.agg(F.schema_of_variant_agg("v")).first()[0]
+    # names stand in backquotes if they hold more than letters
+    spelled = "`".join(part if k % 2 else part.replace("OBJECT<", "STRUCT<") for k, part in enumerate(merged.split("`")))
+    kind = T._parse_datatype_string(spelled) if spelled.startswith("STRUCT<") else T.StructType()
+    leaves = [(path, k) for path, k in _leaves(kind) if path and path[0] != "_id"]
+    if not leaves:
+        return df.sparkSession.createDataFrame([], "field string, native string, nullable boolean")
+    value = lambda path: F.try_variant_get("v", "$" + "".join(map(_step, path)), "variant")
+    seen = [F.count_if(value(path).isNotNull() & ~F.is_variant_null(value(path))).alias(f"n{k}") for k, (path, _) in enumerate(leaves)]
+    counts = docs.agg(F.count("*").alias("documents"), *seen)
+    fields = [F.struct(F.lit(".".join(path)).alias("field"), F.lit(_native(k)).alias("native"), (F.col(f"n{i}") < F.col("documents")).alias("nullable")) for i, (path, k) in enumerate(leaves)]
+    return counts.select(F.explode(F.array(*fields)).alias("f")).select("f.*")
+
+
+def json_table(df: DataFrame, column: str, name: str, rows: int | None = SAMPLE_ROWS) -> Table:
+    """A table model of JSON documents."""
+    return Table(name, [Column(r.field, r.native, r.nullable) for r in sample_json(df, column, rows).collect()])
 
 
 def json_schema_table(name: str, schema: dict) -> Table:
