@@ -193,13 +193,13 @@ def json_schema_table(name: str, schema: dict) -> Table:
 
 #: fixed values: migration tools, their history tables and the columns read; then version, name, applied time and whether applied, as SQL
 HISTORY = {
-    "golang-migrate": ("schema_migrations", ["version", "dirty"], "version", "if(dirty, 'left dirty by a failed migration', '')", "null", "not dirty"),
+    "golang-migrate": ("schema_migrations", ["version", "dirty"], "version", "if(dirty, 'dirty', '')", "null", "not dirty"),
     "flyway": ("flyway_schema_history", ["version", "description", "installed_on", "success"], "version", "description", "installed_on", "success"),
     "goose": ("goose_db_version", ["version_id", "is_applied", "tstamp"], "version_id", "''", "tstamp", "is_applied"),
-    "alembic": ("alembic_version", ["version_num"], "version_num", "'current revision'", "null", "null"),
+    "alembic": ("alembic_version", ["version_num"], "version_num", "''", "null", "null"),
     "atlas": ("atlas_schema_revisions", ["version", "description", "executed_at"], "version", "description", "executed_at", "null"),
     "django": ("django_migrations", ["app", "name", "applied"], "name", "app", "applied", "true"),
-    "knex": ("knex_migrations", ["name", "batch", "migration_time"], "name", "if(batch is null, '', concat('batch ', batch))", "migration_time", "true"),
+    "knex": ("knex_migrations", ["name", "batch", "migration_time"], "name", "coalesce(cast(batch as string), '')", "migration_time", "true"),
     "rails": ("ar_internal_metadata", ["key", "value", "updated_at"], "value", "key", "updated_at", "null"),
 }
 
