@@ -286,12 +286,19 @@ def make_table(
         sources[column.name] = (make, pool, size)
 
     composite, places = _composite(table, tp), {}
-    if composite:
-        if options.append and name in options.existing:
-            raise GenerationError(f"{name}: rows cannot be appended to a table whose key is made of references")
+    beside = bool(composite) and options.append and name in options.existing
+    if beside:
+        if streamed:
+            raise GenerationError(f"{name}: a stream cannot be appended to a table whose key is made of references")
+        ways = [(c, sources[c][1] if sources[c][1] is not None else _pool(table_ref(tp, c), made, schema, options, pools)[0], sources[c][2]) for c in composite]
+        base = relate.append_composite(base, ID, ways, options.existing[name], n, own)
+        plain += [F.col(c).cast(model.spark_type(table.column(c))).alias(c) for c in composite]
+    elif composite:
         places = dict(zip(composite, relate.composite_places(row, [sources[c][2] for c in composite], n, own), strict=True))
     joined = []
     for column, cp in keys:
+        if beside and column.name in composite:
+            continue
         if column.name not in sources:  # a reference into the table itself that is a function of the row
             continue
         make, pool, size = sources[column.name]
@@ -355,6 +362,10 @@ def _streamed_uniques(base: DataFrame, table: model.Table, columns: list, values
     return base, values
 
 
+def table_ref(tp: TablePlan, column: str) -> str:
+    return tp.columns[column].references
+
+
 def below_offset(seed: int, size: int) -> int:
     return seed % size
 

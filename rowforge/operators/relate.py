@@ -115,15 +115,10 @@ def stride_for(space: int, seed: int) -> int:
 
 def composite_places(row: Column, sizes: list[int], n_rows: int, seed: int) -> list[Column]:
     """A place in each pool, no combination twice: digits of a mixed-radix number that steps through all combinations, the last pool's first."""
-    space = math.prod(sizes)
-    if n_rows > space:
-        raise CapacityError(f"{n_rows} rows for {' x '.join(map(str, sizes))} = {space} combinations")
-    if space >= 2**63:  # the number of a row does not need all of it
-        space = 2**62
-    step = stride_for(space, seed)
-    if space * step >= 2**63:
-        step = 1
-    n = F.pmod(F.lit(seed % space).cast("long") + F.pmod(row, F.lit(space).cast("long")) * step, F.lit(space).cast("long"))
+    if n_rows > math.prod(sizes):
+        raise CapacityError(f"{n_rows} rows for {' x '.join(map(str, sizes))} = {math.prod(sizes)} combinations")
+    space, step, start = _walk(sizes, seed)  # of very many combinations the number of a row does not need all
+    n = F.pmod(F.lit(start).cast("long") + F.pmod(row, F.lit(space).cast("long")) * step, F.lit(space).cast("long"))
     out, divisor = [], 1
     for size in reversed(sizes):
         quotient = F.call_function("div", n, F.lit(divisor).cast("long")) if divisor > 1 else n
@@ -132,6 +127,75 @@ def composite_places(row: Column, sizes: list[int], n_rows: int, seed: int) -> l
     return out
 
 
+#: numbers that are looked up together when free ones are sought
+LOOKED_UP = 1 << 16
+
+
+def _walk(sizes: list[int], seed: int) -> tuple[int, int, int]:
+    """(space, step, start) of the way through all combinations that :func:`composite_places` takes."""
+    space = math.prod(sizes)
+    if space >= 2**63:
+        space = 2**62
+    step = stride_for(space, seed)
+    return space, step if space * step < 2**63 else 1, seed % space
+
+
+def free_turns(rows: DataFrame, id_col: str, taken: DataFrame, n_rows: int) -> DataFrame:
+    """``rows`` with ``turn``: row k gets the k-th number, from 0, that is not in ``taken`` (a column ``turn``, distinct).
+
+    The i-th taken number t has t - i free ones before it, so that row k's
+    number is k and as many as there are taken ones whose count of free
+    numbers before is k or less.  These counts are looked up in ranges of
+    LOOKED_UP rows; what a range starts with is one row of a small table.
+    """
+    spark = rows.sparkSession
+    gaps = indexed(taken, "turn").select((F.col("key") - F.col("i")).alias("at"), (F.col("i") + 1).alias("passed")).where(F.col("at") < n_rows)
+    gaps = gaps.groupBy("at").agg(F.max("passed").alias("passed"))
+    part = lambda c: F.floor(F.col(c) / LOOKED_UP)
+    tops = gaps.groupBy(part("at").alias("part")).agg(F.max("passed").alias("top"))
+    parts = spark.range(n_rows // LOOKED_UP + 1).withColumnRenamed("id", "part").join(tops, "part", "left")
+    before = parts.select("part", F.max("top").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    met = rows.select(F.col(id_col).alias("at"), F.lit(None).cast("long").alias("passed")).unionAll(gaps).withColumn("part", part("at"))
+    seen = F.max("passed").over(Window.partitionBy("part").orderBy("at", F.col("passed").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    found = met.withColumn("seen", seen).where("passed IS NULL").join(before, "part", "left")
+    return found.select(F.col("at").alias(id_col), (F.col("at") + F.coalesce("seen", "before", F.lit(0))).alias("turn"))
+
+
+def append_composite(rows: DataFrame, id_col: str, pools: list[tuple[str, DataFrame, int]], existing: DataFrame, n_rows: int, seed: int) -> DataFrame:
+    """Combinations of the pools' keys that neither ``existing`` nor another row has: ``rows`` (ids from 0) with a column for each pool.
+
+    Combinations are numbers in mixed radix, in the order in which
+    :func:`assign_composite` goes through them with this seed; new rows take
+    the first free ones.  Existing combinations with a null or with a key that
+    is in no pool take nothing.
+    """
+    names, sizes = [name for name, *_ in pools], [size for *_, size in pools]
+    space, step, start = _walk(sizes, seed)
+    held = existing.select(*names).distinct()
+    for k, (name, pool, _) in enumerate(pools):
+        side = pool.select(F.col("key").alias(f"key_{k}"), F.col("i").alias(f"place_{k}"))
+        held = held.join(side, F.col(name) == F.col(f"key_{k}"))
+    wide = lambda c: c.cast("decimal(38,0)")
+    number, divisor = wide(F.lit(0)), 1
+    for k in range(len(pools) - 1, -1, -1):
+        number = wide(number + wide(F.col(f"place_{k}")) * F.lit(divisor).cast("decimal(20,0)"))
+        divisor *= sizes[k]
+    held = held.select(number.alias("number")).where(F.col("number") < F.lit(space).cast("decimal(20,0)"))
+    # the way back along the walk
+    back = (F.col("number").cast("long") - start) % space
+    turn = (wide(F.pmod(back, F.lit(space).cast("long"))) * F.lit(pow(step, -1, space) if space > 1 else 0).cast("decimal(20,0)")) % F.lit(space).cast("decimal(20,0)")
+    taken = held.select(turn.cast("long").alias("turn"))
+    n_taken = taken.count()
+    if n_rows > space - n_taken:
+        raise CapacityError(f"{n_rows} rows for {' x '.join(map(str, sizes))} = {space} combinations, of which {n_taken} are taken")
+    turns = free_turns(rows, id_col, taken, n_rows)
+    places = composite_places(F.col("turn"), sizes, n_rows, seed)
+    out = turns.select(id_col, *[place.alias(f"_place_{k}") for k, place in enumerate(places)])
+    for k, (name, pool, size) in enumerate(pools):
+        out = attach(out, F.col(f"_place_{k}"), pool, name, size)
+    return out.drop(*[f"_place_{k}" for k in range(len(pools))])
+
+
 def assign_composite(rows: DataFrame, id_col: str, pools: list[tuple[str, DataFrame, int]], n_rows: int, seed: int) -> DataFrame:
     """Distinct combinations of the pools' keys, spread over all of them."""
     places = composite_places(F.col(id_col), [size for *_, size in pools], n_rows, seed)

@@ -308,6 +308,27 @@ _add(
 )
 
 
+def _append_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many new pairs of part and supplier as there are parts, beside those that orders were placed for."""
+    parts, n_parts = _pool(spark, sf_dir, "part", "p_partkey")
+    suppliers, n_suppliers = _pool(spark, sf_dir, "supplier", "s_suppkey")
+    held = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"))
+    rows = spark.range(n_parts).withColumnRenamed("id", "row")
+    return relate.append_composite(rows, "row", [("partkey", parts, n_parts), ("suppkey", suppliers, n_suppliers)], held, n_parts, 0)
+
+
+_add(
+    "append_pairs",
+    _append_pairs,
+    "WITH p AS " + _POOL_SQL.format(k="p_partkey", t="part") + ", s AS " + _POOL_SQL.format(k="s_suppkey", t="supplier") + ", "
+    "c AS (SELECT (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM s) AS ns, (SELECT count(DISTINCT (l_partkey, l_suppkey)) FROM lineitem) AS nl), "
+    "r AS (SELECT range AS turn FROM range((SELECT least(np * ns, np + nl) FROM c))), "
+    "w AS (SELECT turn, p.key AS partkey, s.key AS suppkey FROM r, c JOIN s ON s.i = r.turn % c.ns JOIN p ON p.i = (r.turn // c.ns) % c.np), "
+    "f AS (SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = w.partkey AND l.l_suppkey = w.suppkey)) "
+    "SELECT row_number() OVER (ORDER BY turn) - 1 AS row, partkey, suppkey FROM f QUALIFY row_number() OVER (ORDER BY turn) <= (SELECT np FROM c)",
+)
+
+
 def _repair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("v"))
     return unique.repair(t, "v", "c_custkey", "string")

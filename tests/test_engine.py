@@ -89,6 +89,30 @@ def test_join_table(spark):
         run(spark, schema, plan)
 
 
+def test_append_to_a_join_table(spark, monkeypatch):
+    """Existing pairs anywhere in the space, the whole space, ranges of few rows."""
+    monkeypatch.setattr(relate, "LOOKED_UP", 16)
+    schema = ddl.parse_schema(
+        "CREATE TABLE users (id serial PRIMARY KEY, n int); CREATE TABLE tags (id serial PRIMARY KEY, n int); CREATE TABLE user_tags (user_id int REFERENCES users, tag_id int REFERENCES tags, note text, PRIMARY KEY (user_id, tag_id))"
+    )
+    plan = infer(schema)
+    plan.seed = 99
+    plan.tables["users"].skip = plan.tables["tags"].skip = True
+    keys = {"users": spark.range(1, 21).selectExpr("CAST(id AS INT) AS id"), "tags": spark.range(1, 11).selectExpr("CAST(id AS INT) AS id")}
+    pairs = [(u, t) for u in range(1, 21) for t in range(1, 11)]
+    for held in (pairs[:90], pairs[::3] + [(None, 3), (77, 1)], pairs[150:], pairs[:199], []):
+        taken = {p for p in held if p in pairs}
+        held = {"user_tags": spark.createDataFrame(held + held[:5], "user_id int, tag_id int")}
+        for n in (200 - len(taken), 1):
+            plan.tables["user_tags"].rows = n
+            made = run(spark, schema, plan, Options(append=True, existing=keys | held)).tables["user_tags"].select("user_id", "tag_id").collect()
+            new = {tuple(r) for r in made}
+            assert len(made) == len(new) == n and new <= set(pairs) and not new & taken
+        plan.tables["user_tags"].rows = 201 - len(taken)
+        with pytest.raises(relate.CapacityError, match="are taken|200 combinations"):
+            run(spark, schema, plan, Options(append=True, existing=keys | held))
+
+
 def test_patterns_sequences_and_impossible_uniques(spark):
     schema = ddl.parse_schema("CREATE TABLE a (nick varchar(30) NOT NULL UNIQUE, secret text NOT NULL, n bigint NOT NULL, uid varchar(32) NOT NULL, flag boolean NOT NULL)")
     plan = infer(schema)
