@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowforge.functions.scalars import sql_literal
@@ -40,65 +38,143 @@ def sql_inserts(df: DataFrame, table: str, dialect: str = "postgres") -> DataFra
     return grouped.select(F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["row_sql"]), ",\n"), F.lit(";")).alias("statement"))
 
 
+def _texts(df: DataFrame) -> dict[str, Column]:
+    """Columns as what files hold: times in full, bytes as text."""
+    out = {}
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("timestamp", "timestamp_ntz"):
+            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS" + ("XXX" if kind == "timestamp" else ""))
+        out[f.name] = c.cast("string") if kind == "binary" else c
+    return out
+
+
+def csv_rows(df: DataFrame) -> DataFrame:
+    """A line of CSV for each row; null and empty text are empty."""
+    plain = {f.name: f.dataType.typeName() == "decimal" for f in df.schema.fields}  # whose scale stays
+    cells = [(c.cast("string") if plain[n] else c).alias(f"v{k}") for k, (n, c) in enumerate(_texts(df).items())]
+    return df.select(F.to_csv(F.struct(*cells), {"nullValue": "", "emptyValue": "", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}).alias("row_text"))
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """An indented JSON object for each row, fields in column order, nulls too."""
+    value = lambda c: F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+    field = lambda name, c: F.concat(F.lit(f"    {json.dumps(name, ensure_ascii=False)}: "), F.regexp_replace(value(c), r'(?s)^\{"v":(.*)\}$', "$1"))
+    return df.select(F.concat(F.lit("  {\n"), F.concat_ws(",\n", *[field(n, c) for n, c in _texts(df).items()]), F.lit("\n  }")).alias("row_text"))
+
+
+#: bytes that are copied at a time where a file system cannot join files
+COPIED = 1 << 20
+
+
+def single_file(rows: DataFrame, path: str, head: str, separator: str, foot: str, empty: str | None = None) -> None:
+    """One file of the rows of a text column, between ``head`` and ``foot``.
+
+    Tasks write parts, in which every row begins with ``separator``; the first
+    one's is left out.  The parts are then joined in the target's own file
+    system (where it can: HDFS joins without moving bytes; elsewhere they are
+    copied a block at a time), so that no row comes to the driver.  Without
+    rows the file is ``empty``, or head and foot.
+    """
+    spark = rows.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    jpath = jvm.org.apache.hadoop.fs.Path
+    target, folder = jpath(path), jpath(f"{path}.parts")
+    fs = target.getFileSystem(conf)
+    fs.delete(folder, True)
+    text = rows.columns[0]
+    rows.select(F.concat(F.lit(separator), F.col(text)).alias("value")).write.option("compression", "none").text(folder.toString())
+    parts = sorted((s.getPath().toString() for s in fs.listStatus(folder) if s.getLen() > 0 and s.getPath().getName().startswith("part-")))
+    write = lambda to, piece: to.write(bytearray(piece.encode("utf-8")))
+    first = fs.create(target, True)
+    try:
+        if parts:
+            write(first, head)
+            _copy(jvm, fs, jpath(parts[0]), first, len(separator.encode("utf-8")))
+        else:
+            write(first, head + foot if empty is None else empty)
+    finally:
+        first.close()
+    if parts:
+        end = jpath(f"{path}.parts/end")
+        last = fs.create(end, True)
+        write(last, foot)
+        last.close()
+        rest = [*map(jpath, parts[1:]), end]
+        if not _joined(spark, fs, target, rest):
+            # a file system that cannot join may not be able to append either: all again into one file
+            out = fs.create(target, True)
+            try:
+                write(out, head)
+                _copy(jvm, fs, jpath(parts[0]), out, len(separator.encode("utf-8")))
+                for part in rest:
+                    _copy(jvm, fs, part, out, 0)
+            finally:
+                out.close()
+    fs.delete(folder, True)
+
+
+def _joined(spark: SparkSession, fs, target, rest: list) -> bool:
+    listed = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Path, len(rest))
+    for k, part in enumerate(rest):
+        listed[k] = part
+    try:
+        fs.concat(target, listed)
+        return True
+    except Exception as error:
+        if "UnsupportedOperation" not in f"{type(error).__name__} {error}":
+            raise
+        return False
+
+
+def _copy(jvm, fs, part, out, skip: int) -> None:
+    source = fs.open(part)
+    try:
+        source.seek(skip)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, COPIED, False)
+    finally:
+        source.close()
+
+
 def dump(tables: dict[str, DataFrame], order: list[str], folder: str, fmt: str, dialect: str = "postgres") -> list[str]:
-    """Fixture-size files, one a table, numbered in load order; none appear if one fails.
+    """One file a table in Spark's file system, numbered in load order; none appear if one fails.
 
-    The files are written by the driver from rows that arrive a partition at a
-    time; for large tables use the distributed writers above.
+    ``fmt``: csv (with a header), json (an array) or sql (one INSERT).
     """
-    staging = folder.rstrip("/") + ".partial"
-    shutil.rmtree(staging, ignore_errors=True)
-    os.makedirs(staging)
+    frames = [(name, tables[name]) for name in order]
+    spark = frames[0][1].sparkSession
+    jpath = spark._jvm.org.apache.hadoop.fs.Path
+    target = folder.rstrip("/")
+    staging, fs = f"{target}.partial", jpath(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(jpath(staging), True)
     names = []
+    fs.setWriteChecksum(False)  # on a local disk, no further file beside each
     try:
-        for k, name in enumerate(order, 1):
-            df = tables[name]
+        for k, (name, df) in enumerate(frames, 1):
             names.append(f"{k:02d}_{name}.{fmt}")
-            with open(os.path.join(staging, names[-1]), "w", encoding="utf-8", newline="") as file:
-                _FORMATS[fmt](df, name, file, dialect)
-        os.makedirs(folder, exist_ok=True)
+            _FORMATS[fmt](df, name, f"{staging}/{names[-1]}", dialect)
+        fs.mkdirs(jpath(target))
         for name in names:
-            os.replace(os.path.join(staging, name), os.path.join(folder, name))
+            fs.delete(jpath(f"{target}/{name}"), False)
+            fs.rename(jpath(f"{staging}/{name}"), jpath(f"{target}/{name}"))
     finally:
-        shutil.rmtree(staging, ignore_errors=True)
-    return [os.path.join(folder, n) for n in names]
-
-
-def _plain(value):
-    if value is None or isinstance(value, (bool, int, float, str)):
-        return value
-    if isinstance(value, (bytes, bytearray)):
-        return bytes(value).decode("utf-8", "replace")
-    return value.isoformat() if hasattr(value, "isoformat") else str(value)
-
+        fs.setWriteChecksum(True)
+        fs.delete(jpath(staging), True)
+    return [f"{target}/{n}" for n in names]
 
-def _csv(df, name, file, dialect):
-    import csv as writer
 
-    out = writer.writer(file, lineterminator="\n")
-    out.writerow(df.columns)
-    for row in df.toLocalIterator():
-        out.writerow(["" if v is None else str(_plain(v)).lower() if isinstance(v, bool) else _plain(v) for v in row])
+def _csv(df: DataFrame, name: str, path: str, dialect: str) -> None:
+    quoted = ['"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n\r') else c for c in df.columns]
+    single_file(csv_rows(df), path, ",".join(quoted) + "\n", "", "")
 
 
-def _json(df, name, file, dialect):
-    file.write("[")
-    for k, row in enumerate(df.toLocalIterator()):
-        text = json.dumps({c: _plain(v) for c, v in zip(df.columns, row, strict=True)}, ensure_ascii=False, indent=2)
-        file.write(("," if k else "") + "\n  " + text.replace("\n", "\n  "))
-    file.write("\n]\n")
+def _json(df: DataFrame, name: str, path: str, dialect: str) -> None:
+    single_file(json_rows(df), path, "[\n", ",\n", "]\n", "[]\n")
 
 
-def _sql(df, name, file, dialect):
-    rows = sql_rows(df).toLocalIterator()
-    first = next(rows, None)
-    if first is None:
-        file.write(f"-- {name}: no rows\n")
-        return
-    file.write(f"INSERT INTO {quote(name, dialect)} ({', '.join(quote(c, dialect) for c in df.columns)}) VALUES\n{first.row_sql}")
-    for row in rows:
-        file.write(",\n" + row.row_sql)
-    file.write(";\n")
+def _sql(df: DataFrame, name: str, path: str, dialect: str) -> None:
+    head = f"INSERT INTO {quote(name, dialect)} ({', '.join(quote(c, dialect) for c in df.columns)}) VALUES\n"
+    single_file(sql_rows(df), path, head, ",", ";\n", f"-- {name}: no rows\n")
 
 
 _FORMATS = {"csv": _csv, "json": _json, "sql": _sql}

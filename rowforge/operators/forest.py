@@ -3,22 +3,11 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` from a reliable checkpoint, so that rounds do not pile up and a lost executor costs a read."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext._jsc.sc()
-    if not context.getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="rowforge-"))
-    return df.checkpoint()
+from rowforge.operators.cut import cut
 
 
 def jump(df: DataFrame, key: str, parent: str) -> DataFrame:
@@ -38,7 +27,7 @@ def jump(df: DataFrame, key: str, parent: str) -> DataFrame:
     end = F.col("parent").isNull() | (F.col("parent") == F.col("key"))
     state = F.when(end, "root").when(F.col("known").isNull(), "orphan")
     # at: the row that the references followed so far lead to; its own end, if it has come to one
-    rows = _cut(met.select("key", F.when(state.isNull(), F.col("parent")).otherwise(F.col("key")).alias("at"), F.when(state.isNull(), 1).otherwise(0).cast("long").alias("depth"), state.alias("end")))
+    rows = cut(met.select("key", F.when(state.isNull(), F.col("parent")).otherwise(F.col("key")).alias("at"), F.when(state.isNull(), 1).otherwise(0).cast("long").alias("depth"), state.alias("end")))
     most = math.ceil(math.log2(max(2, rows.count()))) + 1
     for _ in range(most):
         if rows.where("end IS NULL").isEmpty():
@@ -47,7 +36,7 @@ def jump(df: DataFrame, key: str, parent: str) -> DataFrame:
         # rows that have come to an end are not joined again; a hot row is one row of ``ahead`` and the other side can be split
         open_rows = rows.where("end IS NULL").join(ahead, F.col("at") == F.col("of"))
         moved = open_rows.select("key", F.col("to").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("found").alias("end"))
-        rows = _cut(rows.where("end IS NOT NULL").unionAll(moved))
+        rows = cut(rows.where("end IS NOT NULL").unionAll(moved))
     state = F.when(F.col("end").isNull(), "cycle").when(F.col("depth") == 0, F.col("end")).when(F.col("end") == "orphan", "under orphan").otherwise("under")
     none = F.col("end").isNull()
     return rows.select("key", F.when(~none, F.col("at")).alias("root"), F.when(~none, F.col("depth")).alias("depth"), state.alias("state"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowforge.functions.scalars import fold
+from rowforge.operators.cut import cut
 from rowforge.operators.relate import stride_for
 
 ROUNDS = 3
@@ -59,32 +60,55 @@ def _keyed(column: str, folded: bool) -> Column:
     return fold(F.col(column)) if folded else F.col(column)
 
 
+def late_rows(df: DataFrame, column: str, id_col: str, folded: bool = False) -> DataFrame:
+    """(id, value, key) of the rows beyond the first of their key, without a window.
+
+    First rows are found by a partial aggregation and left out by a join on the
+    row id, so that a key that most rows share is no task of its own.
+    """
+    own = df.select(F.col(id_col).alias("id"), F.col(column).alias("value"), _keyed(column, folded).alias("key")).where("key IS NOT NULL")
+    firsts = own.groupBy("key").agg(F.min("id").alias("first"))
+    return own.join(firsts.select("first"), F.col("id") == F.col("first"), "left_anti")
+
+
 def repair(df: DataFrame, column: str, id_col: str, kind: str, folded: bool = False, max_len: int = 0, scale: int | None = None) -> DataFrame:
-    """``df`` with duplicates in ``column`` changed; null keys stay.
+    """``df`` with duplicates in ``column`` changed; null keys stay.  Row ids have to be distinct.
 
-    Text takes a suffix from the row id, integers go on after the largest
-    value, decimals by steps of their last place.  A changed value that meets
-    another is changed again, a bounded number of times; what is duplicated
-    after that is refused.
+    The first row of a key, by row id, keeps it.  Others take a suffix from the
+    row id (text), go on after the largest value (integers) or by steps of the
+    last place (decimals).  A changed value that meets another gives way and is
+    changed again, a bounded number of times; what meets another after that is
+    refused.
     """
     if kind not in ("string", "uuid", "int", "float"):
         raise RepairError(f"{column}: no repair for {kind}")
-    first = Window.partitionBy(_keyed(column, folded)).orderBy("_turn", id_col)
-    out = df.withColumn("_turn", F.lit(0)).withColumn("_original", F.col(column))
+    late, rest = late_rows(df, column, id_col, folded), [c if c != column else None for c in df.columns]
+    put = lambda changes: df.join(changes.select(F.col("id").alias("_id"), F.col("value").alias("_new")), F.col(id_col) == F.col("_id"), "left").select(
+        *[F.coalesce(F.col("_new"), F.col(column)).alias(column) if c is None else F.col(c) for c in rest]
+    )
     if kind in ("int", "float"):
-        top = out.agg(F.max(column)).first()[0]
-        late = (F.row_number().over(first) > 1) & F.col(column).isNotNull()
+        top = df.agg(F.max(column)).first()[0]
         step = 1 if kind == "int" or scale is None else 10.0**-scale
-        value = F.lit(top) + (F.col(id_col) + 1) * step
-        out = out.withColumn(column, F.when(late, value.cast(df.schema[column].dataType)).otherwise(F.col(column))).drop("_turn", "_original")
-        return refuse_duplicates(out, column, folded)
+        out = put(late.select("id", (F.lit(top) + (F.col("id") + 1) * step).cast(df.schema[column].dataType).alias("value")))
+        return refuse_duplicates(out, column, folded) if kind == "float" else out
+    late = cut(late.select("id", "value"))
+    if late.isEmpty():
+        return df
+    keys = df.where(F.col(column).isNotNull()).select(_keyed(column, folded).alias("taken")).distinct()
+    changed, open_rows = None, late
     for turn in range(1, ROUNDS + 1):
-        late = (F.row_number().over(first) > 1) & F.col(column).isNotNull()
-        number = F.col(id_col) if turn == 1 else F.concat_ws("-", F.col(id_col).cast("string"), F.lit(turn).cast("string"))
-        out = out.withColumn("_late", late)
-        out = out.withColumn(column, F.when(F.col("_late"), suffixed(F.col("_original"), number, max_len)).otherwise(F.col(column)))
-        out = out.withColumn("_turn", F.when(F.col("_late"), F.lit(turn)).otherwise(F.col("_turn"))).drop("_late")
-    return refuse_duplicates(out.drop("_turn", "_original"), column, folded)
+        number = F.col("id") if turn == 1 else F.concat_ws("-", F.col("id").cast("string"), F.lit(turn).cast("string"))
+        tried = open_rows.select("id", "value", suffixed(F.col("value"), number, max_len).alias("new"))
+        key = fold(F.col("new")) if folded else F.col("new")
+        # one of those that got the same value may have it, if no earlier row has
+        first = tried.groupBy(key.alias("taken")).agg(F.min("id").alias("first")).join(keys, "taken", "left_anti")
+        good = tried.join(first.select("first"), F.col("id") == F.col("first"), "left_semi").select("id", F.col("new").alias("value"))
+        changed = good if changed is None else changed.unionAll(good)
+        open_rows = cut(tried.join(first.select("first"), F.col("id") == F.col("first"), "left_anti").select("id", "value"))
+        if open_rows.isEmpty():
+            return put(changed)
+        keys = keys.unionAll(first.select("taken"))
+    raise RepairError(f"{column}: values are still duplicated after {ROUNDS} rounds of repair")
 
 
 def repair_stream(df: DataFrame, column: str, id_col: str, folded: bool = False, max_len: int = 0) -> DataFrame:

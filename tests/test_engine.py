@@ -5,6 +5,8 @@ import json
 import os
 import re
 import time
+from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -225,6 +227,44 @@ def test_dump_files(spark, tmp_path):
     assert statement == 'INSERT INTO "t" ("a", "b") VALUES\n(\'it\'\'s\', NULL);'
 
 
+def test_single_files_of_odd_rows(spark, tmp_path):
+    """Text that needs quotes, nulls, bytes, times, empty parts and tables."""
+    kinds = "a string, b int, c boolean, d binary, e timestamp, `f,g` decimal(8,2), h double, i array<int>"
+    texts = ["x,y", 'q"uo"te', "two\nlines", "", None, "it's", "é日", " pad ", "#", "\\"]
+    data = [(t, k, k % 2 == 0, b"raw", datetime(2024, 1, 2, 3, 4, 5, 678), Decimal("1.50"), 0.1, [1, 2]) for k, t in enumerate(texts)] + [(None,) * 8]
+    df = spark.createDataFrame(data, kinds).repartitionByRange(4, "b").unionAll(spark.createDataFrame([], kinds))
+    tables = {"t": df.drop("i"), "u": df, "none": df.drop("i").limit(0)}
+    order = ["t", "none"]
+    read = lambda name: open(tmp_path / "out" / name, newline="").read()
+    export.dump(tables, order, str(tmp_path / "out"), "csv")
+    got = list(csv.reader(open(tmp_path / "out" / "01_t.csv", newline="")))
+    assert got[0] == ["a", "b", "c", "d", "e", "f,g", "h"] and read("02_none.csv").count("\n") == 1
+    by_b = {r[1]: r for r in got[1:]}
+    assert [by_b[str(k)][0] for k in range(len(texts))] == [t or "" for t in texts] and by_b["0"][1:] == ["0", "true", "raw", "2024-01-02T03:04:05.000678Z", "1.50", "0.1"] and by_b[""] == [""] * 7
+    export.dump({"u": df, "none": tables["none"]}, ["u", "none"], str(tmp_path / "out"), "json")
+    back = json.load(open(tmp_path / "out" / "01_u.json"))
+    assert sorted((r["a"] for r in back), key=str) == sorted([*texts, None], key=str) and json.load(open(tmp_path / "out" / "02_none.json")) == []
+    assert list(back[0]) == ["a", "b", "c", "d", "e", "f,g", "h", "i"] and next(r for r in back if r["b"] == 0)["i"] == [1, 2] and next(r for r in back if r["b"] is None)["h"] is None
+    export.dump(tables, order, str(tmp_path / "out"), "sql")
+    assert read("02_none.sql") == "-- none: no rows\n"
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute('CREATE TABLE t (a VARCHAR, b INT, c BOOLEAN, d VARCHAR, e TIMESTAMP, "f,g" DECIMAL(8,2), h DOUBLE)')
+    con.execute(read("01_t.sql"))
+    assert sorted(con.execute("SELECT a FROM t").fetchall(), key=str) == sorted([(t,) for t in [*texts, None]], key=str)
+    assert not list((tmp_path / "out").glob("*.parts")) and not list((tmp_path / "out").glob("*.crc"))
+
+
+def test_repair_leaves_no_window(spark):
+    """One value in nine of ten rows: no task gets them all."""
+    df = spark.range(5000).select("id", F.when(F.col("id") % 10 > 0, "same").otherwise(F.concat(F.lit("own"), "id")).alias("v"))
+    out = unique.repair(df, "v", "id", "string")
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 5000 and checks.uniqueness(out, ["v"]).first().extra_rows == 0
+    assert out.where("v = 'same'").first().id == 1
+
+
 def test_write_preview_and_dry_run(spark, tmp_path):
     plan = users_plan(10, 10)
     made = dry_run(run(spark, SCHEMA, plan))
