@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rowforge.functions.draw import salt, table_seed, unit
-from rowforge.functions.kinds import KINDS, OWN, Draws, longest
+from rowforge.functions.kinds import KINDS, LOCALES, OWN, Draws, longest
 from rowforge.functions.kinds import generate as generate_kind
 from rowforge.functions.language import language, numbers, word_at
 from rowforge.functions.pattern import PatternError, compile_pattern, compile_unique, value_space
@@ -424,6 +425,9 @@ def generate(spark: SparkSession, schema: model.Schema, plan: Plan, options: Opt
         problems += [f"{n}: append and truncate exclude each other" for n, tp in plan.tables.items() if tp.truncate and not tp.skip]
     if problems:
         raise GenerationError("; ".join(problems))
+    unknown = {plan.locale, *(cp.locale for tp in plan.tables.values() for cp in tp.columns.values())} - {"", *LOCALES}
+    if unknown:
+        warnings.warn(f"no word lists for {', '.join(sorted(unknown))}: en_US is used", stacklevel=2)
     seed = options.seed or plan.seed or time.time_ns() % 2**31
     order = table_order(plan, schema)
     made: dict[str, DataFrame] = {}

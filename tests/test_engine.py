@@ -197,6 +197,13 @@ def test_every_kind_gives_values(spark):
     assert all(int(i[4:] + "1314" + i[2:4]) % 97 == 1 for i in iban) and all(len(v) == 17 for v in vin)
 
 
+def test_unknown_locales_are_spoken_of(spark):
+    plan = users_plan(3)
+    plan.locale = "xx_XX"
+    with pytest.warns(UserWarning, match="xx_XX"):
+        assert run(spark, SCHEMA, plan).tables["users"].count() == 3
+
+
 def test_clamp_by_bytes(spark):
     df = spark.createDataFrame([("aé日x",), ("ab",), (None,)], "v string")
     assert [r[0] for r in df.select(clamp_text(F.col("v"), 4, "bytes")).collect()] == ["aé", "ab", None]
