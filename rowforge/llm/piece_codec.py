@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +55,13 @@ class PieceTable:
         self.unknown_score = min(self.score.values()) - 10.0
         #: a space after another character always starts a piece: all paths meet there
         self.meets_at_space = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        #: lengths of the pieces that end in two given characters, longest first
+        #: lengths of the pieces that end in three given characters, or are the last two of them or the last one, longest first
         ends: dict[str, set[int]] = defaultdict(set)
-        for piece in self.ids:
-            if len(piece) > 1 and (self.kind == "unigram" or self.merge(piece) == [piece]):
-                ends[piece[-2:]].add(len(piece))
-        self.ends = {two: (*sorted(lengths, reverse=True), 1) for two, lengths in ends.items()}
+        whole = [p for p in self.ids if len(p) > 1 and (self.kind == "unigram" or self.merge(p) == [p])]
+        for piece in whole:
+            ends[piece[-3:]].add(len(piece))
+        pairs = {p for p in whole if len(p) == 2}
+        self.ends = {end: (*sorted(lengths, reverse=True), *([2] if len(end) > 2 and end[1:] in pairs else []), 1) for end, lengths in ends.items()}
         #: neighbours within some piece; between any others all paths meet
         self.joins = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self._pairs = _Memo(self._pair)
@@ -85,14 +87,13 @@ class PieceTable:
         """Find the piece that ends at each further boundary of the window: the one that byte-pair merging leaves after its left neighbour."""
         ids, ends, pairs, one = self.ids, self.ends, self._pairs, (1,)
         for end in range(len(pieces), len(text) + 1):
-            for length in ends.get(text[max(0, end - 2) : end], one):
-                start = end - length
-                if start < 0:
+            for length in (end > 2 and ends.get(text[end - 3 : end])) or (end > 1 and ends.get(text[end - 2 : end])) or one:
+                if length > end:
                     continue
-                piece = text[start:end]
+                piece = text[end - length : end]
                 if length > 1 and piece not in ids:
                     continue
-                before = pieces[start]
+                before = pieces[end - length]
                 if not before or pairs[before, piece]:
                     pieces.append(piece)
                     break
@@ -104,7 +105,7 @@ class PieceTable:
         score, ends, unknown, one = self.score, self.ends, self.unknown_score, (1,)
         for end in range(len(pieces), len(text) + 1):
             found, most = "", float("-inf")
-            for length in ends.get(text[max(0, end - 2) : end], one):
+            for length in (end > 2 and ends.get(text[end - 3 : end])) or (end > 1 and ends.get(text[end - 2 : end])) or one:
                 start = end - length
                 piece = text[max(0, start) : end]
                 value = score.get(piece, unknown if length == 1 else None)
@@ -202,10 +203,27 @@ class PieceCodec:
     def _part(self, part: str) -> bytes:
         """Ids of a mark and ``part``: those of the runs between which all paths meet."""
         text, joins = SPACE + part, self.table.joins
+        if all(map(joins.__contains__, map(add, text, text[1:]))):
+            return self.runs[text]
         cuts = [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in joins]
         return b"".join([self.runs[text[a:b]] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)])
 
     def _run(self, run: str) -> bytes:
+        table = self.table
+        if len(run) <= table.longest:  # the window holds all of it, and nothing is committed before its end
+            pieces, at, found = [""], len(run), []
+            if table.kind == "bpe":
+                table.extend_pairs(run, pieces)
+            else:
+                table.extend_best(run, pieces, [0.0])
+            ids = table.ids
+            while at:
+                piece = pieces[at]
+                at -= len(piece)
+                i = ids.get(piece)
+                found += (i,) if i is not None else [table.byte_ids[b] for b in reversed(piece.encode("utf-8"))]
+            found.reverse()
+            return pack_ids(found)
         stream = ViterbiStream(self.table, "")
         return pack_ids(stream.feed(run) + stream.finish())
 
