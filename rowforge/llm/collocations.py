@@ -27,7 +27,8 @@ STOPS = ".,;:!?"
 NO_LANG = "und"
 #: frequent grams that are broadcast at most; if a level has more, grams are counted by shuffles of phrases instead
 BROADCAST_GRAMS = 1_000_000
-#: counts that a task holds before it hands them on, bytes of text split together, ids in a row
+#: words and counts of codes that a task holds before it hands them on, bytes of text split together, ids in a row
+HELD_WORDS = 1 << 18
 HELD_COUNTS = 1 << 20
 PORTION_BYTES = 1 << 22
 ROW_IDS = 1 << 18
@@ -69,7 +70,7 @@ def count_words(source: DataFrame) -> DataFrame:
                 counts = held.setdefault(lang, Counter())
                 for words in words_of(text.as_py()):
                     counts.update(words)
-                if sum(map(len, held.values())) >= HELD_COUNTS:
+                if sum(map(len, held.values())) >= HELD_WORDS:
                     yield out()
                     held.clear()
         if held:
