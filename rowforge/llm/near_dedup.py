@@ -7,7 +7,7 @@ its members retain from there (a passage that many texts share seldom gives
 whole runs); a hub is the member whose values are the most common, hence in
 the middle of its group.  The lists that a class shares with a hub are their
 overlap, the estimate on the union's sketch filters, whole sets confirm.  What
-the hubs leave apart is then searched without loss: two sketches that overlap enough
+the hubs or their overlaps leave apart is then searched without loss: two sketches that overlap enough
 meet in the list of one of their rarest values (prefix filtering), and of the
 lists that still hold several components the members are compared by prefix
 filtering on whole sets.
@@ -31,6 +31,8 @@ KEEP, RUN = 48, 3
 ESTIMATE_SLACK = 0.40
 #: wanted ids up to which a bitmap of 16 to 32 places an id (16 MB at most) says whose sets are needed; more are joined
 BITMAP_IDS = 1 << 22
+#: lists that a class shares with a hub before their sketches are fetched, if both sets fill a sketch
+LEAST_OVERLAP = 2
 #: further turns with other hubs, and how many different hubs lists of the same members get in one
 TURNS, HUBS = 2, 8
 #: members of a list that meet in one place; larger lists are dealt over several
@@ -164,7 +166,7 @@ def _edge() -> Column:
 
 
 def _stars(lists: DataFrame, similar: int, turn: int = 0) -> DataFrame:
-    """(a, b, overlap) of the pairs of a list's hub and another member that sizes allow and labels part.
+    """(a, b, overlap, least) of the pairs of a list's hub and another member that sizes allow and labels part; least: the smaller set's size.
 
     ``lists``: (key, c, n, label, rank).  The hub is the member of the
     smallest rank; from the first turn on that of one in HUBS, so that lists of
@@ -174,7 +176,7 @@ def _stars(lists: DataFrame, similar: int, turn: int = 0) -> DataFrame:
     hubs = lists.groupBy("key").agg(F.min(F.struct(passed.alias("passed"), "rank", "c", "n", "label")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     pairs = lists.join(hubs.where("lo != hi").select("key", "hub").hint("merge"), "key").where(F.col("hub.label") != F.col("label"))
     pairs = pairs.where(100 * F.least("hub.n", "n") >= similar * F.greatest("hub.n", "n"))
-    return pairs.groupBy(F.least("hub.c", "c").alias("a"), F.greatest("hub.c", "c").alias("b")).agg(F.count("*").alias("overlap"))
+    return pairs.groupBy(F.least("hub.c", "c").alias("a"), F.greatest("hub.c", "c").alias("b")).agg(F.count("*").alias("overlap"), F.min(F.least("hub.n", "n")).alias("least"))
 
 
 def _rarest(shared: DataFrame, similar: int) -> DataFrame:
@@ -335,7 +337,9 @@ def near_groups(docs: DataFrame, words: int = 5, similar: int = 80, id_col: str
     shared = stored(_shared(classes), "shared")
     ids_of = lambda c: classes.select("c", "id").join(c.hint("merge"), "c", "left_semi").select("id")
     with_id = source.where(F.col("id").isNotNull())
-    likely = _likely(_stars(_runs(shared), similar), classes, similar)
+    # the overlaps filter first: similar sets that fill a sketch have many runs in common, a shared passage has few
+    met = _stars(_runs(shared), similar).where((F.col("overlap") >= LEAST_OVERLAP) | (F.col("least") < KEEP))
+    likely = _likely(met, classes, similar)
     wanted = stored(ids_of(likely.select(F.col("a").alias("c")).union(likely.select("b")).distinct()), "wanted")
     sets = stored(_sets(with_id, words, wanted), "sets")
 
