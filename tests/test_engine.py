@@ -18,11 +18,12 @@ from rowforge.functions.kinds_sql import KINDS_SQL
 from rowforge.functions.pattern import compile_pattern
 from rowforge.functions.scalars import clamp_text
 from rowforge.operators import checks, export, relate, unique
+from rowforge.operators.cut import finished
 from rowforge.operators.generate import GenerationError, Options, dry_run, preview, write_tables
 from rowforge.operators.generate import generate as run
 from rowforge.plans import ddl
 from rowforge.plans.plan import ColumnPlan, infer
-from rowforge.queries import GROUPS, SCHEMA, users_plan
+from rowforge.queries import GROUPS, QUERIES, SCHEMA, users_plan
 from rowforge.sources import catalog
 from rowforge.streaming.stream import stream_columns, windowed_counts
 
@@ -415,6 +416,16 @@ def test_streams_keep_uniqueness_in_state(spark, tmp_path):
         stream_columns(ids, schema, plan, "t", repaired)
 
 
+def test_a_finished_stream_stands_in_files(spark, tmp_path):
+    """Rows of the stream are written by tasks, whatever their number, and stay out of the driver."""
+    made = QUERIES["stream_rows"](spark, "/root/testdata/sf0.001")
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert made.inputFiles() and all(spark.conf.get("spark.checkpoint.dir") in file for file in made.inputFiles())
+    assert rows(made.select("id")) == rows(orders.selectExpr("o_orderkey + 1"))
+    spark.range(0).write.parquet(str(tmp_path / "none"))
+    assert finished(spark.readStream.schema("id long").parquet(str(tmp_path / "none"))).collect() == []
+
+
 def test_windowed_counts(spark, tmp_path):
     events = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet("/root/testdata/sf0.001/events.parquet*")
     query = windowed_counts(events, "ts", "event_type", "1 day").writeStream.format("memory").queryName("counted").outputMode("complete").start()
