@@ -1,23 +1,27 @@
 """Phrases whose words stand together, mined by Apriori level-wise passes.
 
 The first pass counts words and leaves texts as runs of ids of frequent words.
-Each further pass broadcasts the frequent (k-1)-grams, emits a k-gram only
-where both of the (k-1)-grams that it overlaps are frequent, and adds up by
-code in Spark.  Cuts are scored from the level tables by joins.
+Each further pass broadcasts a filter of bounded size that lets all frequent
+(k-1)-grams pass, emits a k-gram only where both of the (k-1)-grams that it
+overlaps pass, and adds up by code in Spark.  What else passes is rare and
+falls out when it is counted.  Cuts are scored from the level tables by joins.
 """
 
 from __future__ import annotations
 
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowforge.llm.storage import stored
+from rowforge.llm.tokenizers import held as kept_in_worker
 
 LEAST = 30
 LONGEST = 4
@@ -25,8 +29,10 @@ FIRST = 2000
 #: fixed values: what ends a piece, besides U+000A to U+000D
 STOPS = ".,;:!?"
 NO_LANG = "und"
-#: frequent grams that are broadcast at most; if a level has more, grams are counted by shuffles of phrases instead
-BROADCAST_GRAMS = 1_000_000
+#: frequent words that are broadcast at most (the codes of three words stay under 2**63); with more, grams are counted by shuffles of phrases instead
+BROADCAST_GRAMS = 2_000_000
+#: a filter has so many bits a gram, within bounds (as powers of two); more grams than that only let more rare ones pass
+FILTER_BITS, LEAST_BITS, MOST_BITS = 32, 10, 28
 #: words and counts of codes that a task holds before it hands them on, bytes of text split together, ids in a row
 HELD_WORDS = 1 << 18
 HELD_COUNTS = 1 << 20
@@ -79,92 +85,128 @@ def count_words(source: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
 
 
-def _code_counts(encoded: DataFrame, codes_of) -> DataFrame:
-    """code, n of what ``codes_of`` finds in the runs of ids, partly added up."""
+def _counted(codes: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Codes of one or two numbers, each once, and how often they occur."""
+    if len(codes) == 1:
+        return np.unique(codes[0], return_counts=True)
+    return _summed([(*codes, np.ones(len(codes[0]), np.int64))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, which = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            n = np.zeros(len(codes), np.int64)
-            np.add.at(n, which, np.concatenate([n for _, n in held]))
-            return codes, n
+def _summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    *codes, n = (np.concatenate(part) for part in zip(*held, strict=True))
+    order = np.lexsort(codes[::-1]) if len(codes) > 1 else np.argsort(codes[0], kind="stable")
+    codes = [c[order] for c in codes]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(n)), bool), np.any([c[1:] != c[:-1] for c in codes], axis=0))))
+    return *(c[first] for c in codes), np.add.reduceat(n[order], first) if len(n) else n
+
 
+def _code_counts(encoded: DataFrame, k: int, size: int, shared) -> DataFrame:
+    """code (and last), f of the k-grams in the runs of ids whose two overlapping grams pass the filter."""
+    names = ["code", "last"] if k == LONGEST else ["code"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        total = 0
         for batch in batches:
             for ids in batch.column(0):
-                found = np.unique(codes_of(np.frombuffer(ids.as_py(), np.int32).astype(np.int64)), return_counts=True)
-                held.append(found)
-                size += len(found[0])
-                if size >= 2 * HELD_COUNTS:
-                    held = [merged()]
-                    size = len(held[0][0])
-                    if size >= HELD_COUNTS:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["code", "n"])
-                        held, size = [], 0
+                held.append(_counted(gram_codes(np.frombuffer(ids.as_py(), np.int32).astype(np.int64), k, size, shared and shared.value)))
+                total += len(held[-1][0])
+                if total >= 2 * HELD_COUNTS:
+                    held = [_summed(held)]
+                    total = len(held[0][0])
+                    if total >= HELD_COUNTS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], [*names, "n"])
+                        held, total = [], 0
         if held:
-            codes, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(held)], [*names, "n"])
 
-    return encoded.mapInArrow(run, "code long, n long")
+    return encoded.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("f"))
 
 
-def _place(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Where codes stand in ``sorted_codes``; -1 if they don't."""
-    if not len(sorted_codes):
-        return np.full(len(codes), -1, np.int64)
-    at = np.searchsorted(sorted_codes, codes)
-    at[at == len(sorted_codes)] = 0
-    return np.where(sorted_codes[at] == codes, at, -1)
+class Passing:
+    """Bits of the grams of a level by their codes: all of them pass, and a few of the others."""
 
+    def __init__(self, bits: int, words: np.ndarray):
+        self.bits, self.words = bits, words
 
-class Grams:
-    """Frequent grams of the levels so far, as each worker sees them.
+    @staticmethod
+    def slots(codes: np.ndarray, bits: int) -> np.ndarray:
+        mixed = codes.astype(np.uint64)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(64 - bits)).astype(np.int64)
 
-    A word's code is its place among the frequent words; a k-gram's code is
-    its first (k-1)-gram's place among the frequent ones, times the number of
-    words, plus its last word.
-    """
+    def has(self, codes: np.ndarray) -> np.ndarray:
+        at = self.slots(codes, self.bits)
+        return (self.words[at >> 6] >> (at & 63)) & 1 != 0
+
+
+def _passing(level: DataFrame) -> Passing:
+    """The filter of a level, put together by Spark: at most 2 ** MOST_BITS bits come to the driver."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (FILTER_BITS * level.count()).bit_length()))
 
-    def __init__(self, words: list[tuple[str, bytes]], levels: list[np.ndarray]):
-        self.words, self.levels = words, levels
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(Passing.slots(batch.column(0).to_numpy(), bits))
+            word, start = np.unique(at >> 6, return_index=True)
+            if len(word):
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bitwise_or.reduceat(np.int64(1) << (at & 63), start))], ["word", "bits"])
+
+    found = level.select("code").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.int64)
+    words[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return Passing(bits, words)
+
+
+def gram_codes(ids: np.ndarray, k: int, size: int, passing: Passing | None) -> tuple[np.ndarray, ...]:
+    """Codes of the k-grams in a run of ids whose two overlapping grams are of frequent words or pass ``passing``.
+
+    A code is the number that the ids are as digits to the base ``size``; the
+    last of LONGEST words stands apart.
+    """
+    if len(ids) < k:
+        return (np.empty(0, np.int64),) * (2 if k == LONGEST else 1)
+    # the grams before: their codes, and whether all of their words are frequent
+    codes, open_ = ids, ids >= 0
+    for j in range(1, k - 1):
+        open_ = open_[:-1] & (ids[j:] >= 0)
+        codes = codes[:-1] * size + ids[j:]
+    if k > 2:
+        at = np.flatnonzero(open_)
+        open_ = np.zeros(len(codes), bool)
+        open_[at] = passing.has(codes[at])
+    both = np.flatnonzero(open_[:-1] & open_[1:])
+    head, last = codes[both], ids[both + k - 1]
+    return (head, last) if k == LONGEST else (head * size + last,)
+
+
+class Words:
+    """The frequent words by their ids."""
+
+    def __init__(self, lang: pa.Array, word: pa.Array):
+        self.lang, self.word = lang, word
 
     def by_lang(self) -> dict[str, dict[bytes, int]]:
         found: dict[str, dict[bytes, int]] = {}
-        for k, (lang, word) in enumerate(self.words):
-            found.setdefault(lang, {})[word] = k
+        for k, (lang, word) in enumerate(zip(self.lang.to_pylist(), self.word, strict=True)):
+            found.setdefault(lang, {})[word.as_py()] = k
         return found
 
-    def codes(self, ids: np.ndarray) -> np.ndarray:
-        """Codes of the grams of the next level whose two overlapping grams are both frequent."""
-        size, places = len(self.words), ids
-        for k, level in enumerate([None, *self.levels], 1):
-            if level is not None:
-                # the codes of level k at each id, then their places
-                whole = np.minimum(places[:-1], places[1:]) >= 0
-                codes = np.where(whole, places[:-1] * size + ids[k - 1 : k - 1 + len(whole)], -1)
-                places = _place(level, codes)
-        k = len(self.levels) + 2
-        both = np.minimum(places[:-1], places[1:]) >= 0
-        return (places[:-1] * size + ids[k - 1 : k - 1 + len(both)])[both]
-
-    def phrases(self, codes: np.ndarray) -> tuple[list[str], list[bytes]]:
-        """Languages and phrases of the codes of the level after ``levels``."""
-        size, parts = len(self.words), []
-        for level in reversed(self.levels):
-            parts.append(codes % size)
-            codes = level[codes // size]
-        parts += [codes % size, codes // size]
-        parts.reverse()
-        return [self.words[k][0] for k in parts[0].tolist()], [b" ".join(self.words[k][1] for k in ids) for ids in zip(*(p.tolist() for p in parts), strict=True)]
+    def phrases(self, codes: list[np.ndarray], k: int) -> tuple[pa.Array, pa.Array]:
+        """Languages and phrases of codes of k-grams."""
+        size, code, parts = len(self.word), codes[0], codes[1:]
+        while len(parts) < k - 1:
+            parts.append(code % size)
+            code = code // size
+        parts.append(code)
+        words = [self.word.take(pa.array(p)) for p in reversed(parts)]
+        return self.lang.take(pa.array(code)), pc.binary_join_element_wise(*words, b" ")
 
 
 def _encode(source: DataFrame, shared) -> DataFrame:
     """ids: the texts as runs of little-endian 32-bit ids of frequent words, -1 where a run ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, row = shared.value.by_lang(), array("i")
+        of, row = kept_in_worker(("words", key), lambda: shared.value.by_lang()), array("i")
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 known = of.get(lang)
@@ -188,15 +230,16 @@ def _encode(source: DataFrame, shared) -> DataFrame:
         kept = ids[~((ids < 0) & np.concatenate(([True], ids[:-1] < 0)))]
         return pa.RecordBatch.from_arrays([pa.array([kept.tobytes()], pa.binary())], ["ids"])
 
+    key = uuid.uuid4().hex
     return source.mapInArrow(run, "ids binary")
 
 
 def _named(counted: DataFrame, shared, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = shared.value
         for batch in batches:
-            langs, phrases = grams.phrases(batch.column(0).to_numpy())
-            columns = [pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array([k] * len(langs), pa.int32()), batch.column(1), batch.column(0)]
+            *codes, f = batch.columns
+            langs, phrases = shared.value.phrases([c.to_numpy() for c in codes], k)
+            columns = [langs, phrases.cast(pa.string()), pa.array([k] * len(langs), pa.int32()), f, codes[0]]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "k", "f", "code"])
 
     return counted.mapInArrow(run, "lang string, phrase string, k int, f long, code long")
@@ -223,22 +266,18 @@ def frequent_grams(docs: DataFrame, least: int = LEAST, text_col: str = "text",
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.where(F.col("f") >= least)
     table = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("k"), "f")
-    if frequent.count() > broadcast_grams:
+    if (size := frequent.count()) > min(broadcast_grams, BROADCAST_GRAMS):
         return stored(_levels_by_shuffle(source, least), "grams"), totals
-    held = frequent.select("lang", "word").toArrow()
-    known = sorted((lang, word.encode()) for lang, word in zip(held.column(0).to_pylist(), held.column(1).to_pylist(), strict=True))
-    levels: list[np.ndarray] = []
-    shared = spark.sparkContext.broadcast(Grams(known, []))
-    encoded = stored(_encode(source, shared), "encoded")
+    known = frequent.select("lang", F.col("word").cast("binary").alias("word")).toArrow().combine_chunks()
+    column = lambda k, kind: pa.concat_arrays([pa.array([], kind), *(c.cast(kind) for c in known.column(k).chunks)])
+    words_shared = spark.sparkContext.broadcast(Words(column(0, pa.string()), column(1, pa.binary())))
+    encoded, shared = stored(_encode(source, words_shared), "encoded"), None
     for k in range(2, LONGEST + 1):
-        counted = _code_counts(encoded, lambda ids, shared=shared: shared.value.codes(ids)).groupBy("code").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        level = stored(_named(counted, shared, k), f"grams-{k}")
+        counted = _code_counts(encoded, k, size, shared).where(F.col("f") >= least)
+        level = stored(_named(counted, words_shared, k), f"grams-{k}")
         table = table.unionByName(level.select("lang", "phrase", "k", "f"))
         if k < LONGEST:
-            if level.count() > broadcast_grams:
-                return stored(_levels_by_shuffle(source, least), "grams"), totals
-            levels.append(np.sort(level.select("code").toArrow().column(0).to_numpy()))
-            shared = spark.sparkContext.broadcast(Grams(known, list(levels)))
+            shared = spark.sparkContext.broadcast(_passing(level))
     return table, totals
 
 

@@ -76,3 +76,42 @@ def test_scores_are_exact_past_64_bits(spark):
     value = 9_000_000_000_000_000_000
     score = spark.range(1).selectExpr(f"(CAST({value}L AS DECIMAL(19,0)) * CAST(2000000 AS DECIMAL(7,0))) div (CAST({value}L AS DECIMAL(19,0)) + CAST({value - 7}L AS DECIMAL(19,0))) AS s").first().s
     assert score == 2_000_000 * value // (2 * value - 7)
+
+
+def test_levels_past_their_bits_stay_exact_and_leave_the_texts_alone(spark, monkeypatch):
+    """A filter of far fewer bits than a level has grams lets rare ones pass only; no level goes back to shuffles of phrases."""
+    rows = rows_of(2)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    want = plain(rows, 5, 50)
+    words = sum(1 for r in collocations.frequent_grams(docs, 5)[0].where("k = 1").collect())
+    grams = collocations.frequent_grams(docs, 5)[0].where("k = 2").count()
+    assert grams > words
+
+    def refuse(*_):
+        raise AssertionError("all levels counted again")
+
+    monkeypatch.setattr(collocations, "_levels_by_shuffle", refuse)
+    for bits in (6, 12):
+        monkeypatch.setattr(collocations, "LEAST_BITS", bits)
+        monkeypatch.setattr(collocations, "MOST_BITS", bits)
+        assert sorted(map(tuple, mine_phrases(docs, 5, 50, broadcast_grams=words).collect())) == want
+
+
+def test_codes_of_grams(spark):
+    """Four words of many ids don't fit a number; what a filter lets pass holds all that it was made of."""
+    rng = random.Random(4)
+    size = collocations.BROADCAST_GRAMS
+    assert size**3 < 2**63
+    ids = collocations.np.array([rng.choice([-1, size - 1, size - 2, 0, 1]) for _ in range(3000)])
+    grams = {k: Counter(tuple(ids[i : i + k].tolist()) for i in range(len(ids) - k + 1) if min(ids[i : i + k]) >= 0) for k in (2, 3, 4)}
+    everything = collocations.Passing(6, collocations.np.array([-1]))
+    for k in (2, 3, 4):
+        *codes, n = collocations._counted(collocations.gram_codes(ids, k, size, everything))
+        found = {}
+        for *code, times in zip(*(c.tolist() for c in codes), n.tolist()):
+            parts, head = code[1:], code[0]
+            while len(parts) < k - 1:
+                head, part = divmod(head, size)
+                parts.insert(0, part)
+            found[(head, *parts)] = times
+        assert found == dict(grams[k])
