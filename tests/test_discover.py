@@ -2,8 +2,10 @@
 
 import random
 from datetime import datetime
+from decimal import Decimal
 from itertools import combinations
 
+from rowforge.operators import discover as discover_module
 from rowforge.operators.discover import discover, inclusions, minimal_keys, speaks_of
 
 
@@ -29,6 +31,28 @@ def test_minimal_keys_against_all_combinations(spark):
     assert minimal_keys("t", df.unionAll(df)) == []
 
 
+def test_a_slice_rules_out_what_repeats_and_no_key(spark, monkeypatch):
+    """Combinations with a few repeats only are found by a slice; what it leaves is counted over all rows."""
+    # nearly unique pairs of a, the key (a, b), and a triple whose only repeat stands in one value of a
+    rng = random.Random(5)
+    rows = [(i // 4, i % 4, rng.randrange(900), Decimal(rng.randrange(800)), f"t{i % 600}", i % 3) for i in range(4000)]
+    columns = ["a", "b", "c", "d", "e", "f"]
+    df = spark.createDataFrame(rows, "a long, b int, c int, d decimal(9,2), e string, f int")
+    whole = []
+    exactly = discover_module._exactly_unique
+    monkeypatch.setattr(discover_module, "_exactly_unique", lambda name, df, combos: whole.extend(combos) or exactly(name, df, combos))
+    monkeypatch.setattr(discover_module, "SLICED_ROWS", 1000)
+    monkeypatch.setattr(discover_module, "SLICES", 3)
+    found = minimal_keys("t", df)
+    assert found == plain_keys(columns, rows, 3)
+    assert ("a", "c") not in whole and ("a", "d") not in whole and {tuple(k) for k in found} <= set(whole)
+    one = [*rows, (17, 3, 5000, Decimal(5000), "t", 0), (17, 2, 5000, Decimal(5000), "t", 0)]
+    lone = spark.createDataFrame(one, "a long, b int, c int, d decimal(9,2), e string, f int")
+    for slices in (1, 3, 50):
+        monkeypatch.setattr(discover_module, "SLICES", slices)
+        assert minimal_keys("t", lone) == plain_keys(columns, one, 3)
+
+
 def test_inclusions_over_many_columns_and_types(spark):
     """More columns than a word has bits; widths differ; nulls stand in nothing."""
     wide = spark.range(30).selectExpr(*[f"CAST(id % {k + 1} AS SHORT) AS c{k}" for k in range(70)], "CAST(NULL AS INT) AS gone", "CAST(id AS STRING) AS word")
