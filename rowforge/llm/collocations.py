@@ -33,9 +33,8 @@ NO_LANG = "und"
 BROADCAST_GRAMS = 2_000_000
 #: a filter has so many bits a gram, within bounds (as powers of two); more grams than that only let more rare ones pass
 FILTER_BITS, LEAST_BITS, MOST_BITS = 32, 10, 28
-#: words and counts of codes that a task holds before it hands them on, bytes of text split together, ids in a row
+#: words that a task holds before it hands them on, bytes of text split together, ids in a row
 HELD_WORDS = 1 << 18
-HELD_COUNTS = 1 << 20
 PORTION_BYTES = 1 << 22
 ROW_IDS = 1 << 18
 #: buckets of a language in the first of the two rankings
@@ -89,15 +88,10 @@ def _counted(codes: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     """Codes of one or two numbers, each once, and how often they occur."""
     if len(codes) == 1:
         return np.unique(codes[0], return_counts=True)
-    return _summed([(*codes, np.ones(len(codes[0]), np.int64))])
-
-
-def _summed(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    *codes, n = (np.concatenate(part) for part in zip(*held, strict=True))
-    order = np.lexsort(codes[::-1]) if len(codes) > 1 else np.argsort(codes[0], kind="stable")
-    codes = [c[order] for c in codes]
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(n)), bool), np.any([c[1:] != c[:-1] for c in codes], axis=0))))
-    return *(c[first] for c in codes), np.add.reduceat(n[order], first) if len(n) else n
+    order = np.lexsort(codes[::-1])
+    codes = tuple(c[order] for c in codes)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), np.any([c[1:] != c[:-1] for c in codes], axis=0))))
+    return *(c[first] for c in codes), np.diff(first, append=len(order))
 
 
 def _code_counts(encoded: DataFrame, k: int, size: int, shared) -> DataFrame:
@@ -105,20 +99,11 @@ def _code_counts(encoded: DataFrame, k: int, size: int, shared) -> DataFrame:
     names = ["code", "last"] if k == LONGEST else ["code"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        total = 0
+        # each run of ids by itself, so that the rows follow the texts; Spark adds up what a task has before it shuffles
         for batch in batches:
             for ids in batch.column(0):
-                held.append(_counted(gram_codes(np.frombuffer(ids.as_py(), np.int32).astype(np.int64), k, size, shared and shared.value)))
-                total += len(held[-1][0])
-                if total >= 2 * HELD_COUNTS:
-                    held = [_summed(held)]
-                    total = len(held[0][0])
-                    if total >= HELD_COUNTS:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], [*names, "n"])
-                        held, total = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(held)], [*names, "n"])
+                counted = _counted(gram_codes(np.frombuffer(ids.as_py(), np.int32).astype(np.int64), k, size, shared and shared.value))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in counted], [*names, "n"])
 
     return encoded.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"])).groupBy(*names).agg(F.sum("n").alias("f"))
 

@@ -115,3 +115,25 @@ def test_codes_of_grams(spark):
                 parts.insert(0, part)
             found[(head, *parts)] = times
         assert found == dict(grams[k])
+
+
+def test_rows_of_a_pass_follow_the_texts_not_the_tasks(spark):
+    """Each run of ids gives its counts, whatever else the task holds; Spark adds them up."""
+    np, pa = collocations.np, collocations.pa
+
+    class Encoded:
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        def agg(self, _):
+            return self
+
+    for k, shared in ((2, None), (4, type("Shared", (), {"value": collocations.Passing(6, np.array([-1]))}))):
+        encoded = collocations._code_counts(Encoded(), k, 10, shared)
+        portions = [np.array(ids, np.int32).tobytes() for ids in ([0, 1, 2, 3, 4, 0, 1, 2, 3, -1], [1, 2, 3, 4, -1, 0, 1], [0, -1])]
+        rows = lambda own: sum(b.num_rows for b in encoded.run(iter([pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], ["ids"])])))  # noqa: B023, E731
+        assert rows(portions * 5) == 5 * sum(rows([p]) for p in portions) > 0
