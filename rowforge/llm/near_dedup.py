@@ -35,6 +35,8 @@ BITMAP_IDS = 1 << 22
 LEAST_OVERLAP = 2
 #: further turns with other hubs, and how many different hubs lists of the same members get in one
 TURNS, HUBS = 2, 8
+#: a further turn is worth its shuffles if the one before linked one in so many members; what it leaves, the search without loss finds
+GAIN = 100
 #: members of a list that meet in one place; larger lists are dealt over several
 BLOCK = 1_000
 
@@ -259,10 +261,16 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _prefixes(sets: DataFrame, similar: int) -> DataFrame:
+def _member_sets(sets: DataFrame, classes: DataFrame, lists: DataFrame) -> DataFrame:
+    """(mark, c, shingles) of the classes in ``lists``, each once; sets are shuffled by their marks only."""
+    named = classes.select("c", "mark").join(lists.select("c").distinct().hint("merge"), "c", "left_semi")
+    return sets.join(named.hint("merge"), "mark").groupBy("mark", "c").agg(F.any_value("shingles").alias("shingles"))
+
+
+def _prefixes(sets: DataFrame, labels: DataFrame, similar: int) -> DataFrame:
     """(shingle, c, label, place, n, leads) of the first shingles of each set, rarest first.
 
-    ``sets``: (c, label, shingles).  Linked sets share one of the first
+    ``sets``: (c, shingles); ``labels``: (c, label).  Linked sets share one of the first
     n - ceil(s * n) + 1, and it ``leads`` (is among the first
     n - ceil(2 * s / (1 + s) * n) + 1) in the smaller set.  Shingles of one set
     only come first; they meet nothing and take places alone.
@@ -271,8 +279,8 @@ def _prefixes(sets: DataFrame, similar: int) -> DataFrame:
     often = flat.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
     own = flat.join(often.hint("merge"), "v").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "v"))).alias("own"))
     n = F.size("shingles")
-    sized = sets.select("c", "label", n.alias("n"), (n - F.ceil(similar * n / 100 - 1e-9) + 1).cast("int").alias("first"), (n - F.ceil(2 * similar * n / (100 + similar) - 1e-9) + 1).alias("lead"))
-    own = sized.join(own.hint("merge"), "c").withColumn("alone", F.col("n") - F.size("own")).where("alone < first")
+    sized = sets.select("c", n.alias("n"), (n - F.ceil(similar * n / 100 - 1e-9) + 1).cast("int").alias("first"), (n - F.ceil(2 * similar * n / (100 + similar) - 1e-9) + 1).alias("lead"))
+    own = sized.join(own.hint("merge"), "c").join(labels.hint("merge"), "c").withColumn("alone", F.col("n") - F.size("own")).where("alone < first")
     found = own.select("c", "label", "n", "alone", "lead", F.posexplode(F.slice("own", F.lit(1), F.col("first") - F.col("alone"))).alias("k", "x"))
     place = F.col("alone") + F.col("k")
     return found.select(F.col("x.v").alias("shingle"), "c", "label", place.alias("place"), "n", (place < F.col("lead")).alias("leads"))
@@ -357,31 +365,29 @@ def near_groups(docs: DataFrame, words: int = 5, similar: int = 80, id_col: str
     lists = _parted(_labelled(_rarest(shared, similar), labels))
     wanted = stored(ids_of(lists.select("c").distinct()), "wanted")
     sets = stored(_sets(with_id, words, wanted), "sets")
+    members = wanted.count()
     for done in (shared, links, wanted):
         drop_stored(done)
+    of_members = stored(_member_sets(sets, classes, lists), "members")
+    drop_stored(sets)
     for turn in range(1, TURNS + 1):
         likely = _likely(_stars(lists, similar, turn), classes, similar)
-        links = stored(_confirmed(likely, sets, similar), "links")
-        apart = links.isEmpty()
-        if not apart:
+        links = stored(_confirmed(likely, of_members, similar), "links")
+        if linked := links.count():
             labels = _joined(labels, links)
             before, lists = lists, stored(_labelled(lists.drop("label"), labels), "lists")
             drop_stored(before)
         for done in (likely, links):
             drop_stored(done)
-        if apart:
+        if not linked or linked * GAIN < members:
             break
 
     # then what any two members of different components may still have in common
-    members = lists.select("c", "label").distinct()
-    named = classes.select("c", "mark").join(members.hint("merge"), "c")
-    of_members = stored(sets.join(named.hint("merge"), "mark").groupBy("c", "label").agg(F.any_value("shingles").alias("shingles")), "members")
-    rare = stored(_prefixes(of_members, similar), "prefixes")
-    drop_stored(of_members)
+    rare = stored(_prefixes(of_members, lists.select("c", "label").distinct(), similar), "prefixes")
     across = _across(rare, similar)
     likely = _likely(across, classes, similar)
-    more = stored(_confirmed(likely, sets, similar), "more")
-    for done in (across, likely, sets, rare, lists):
+    more = stored(_confirmed(likely, of_members, similar), "more")
+    for done in (across, likely, of_members, rare, lists):
         drop_stored(done)
     if not more.isEmpty():
         labels = _joined(labels, more)

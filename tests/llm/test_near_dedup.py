@@ -106,3 +106,38 @@ def test_wanted_ids_by_bitmap_and_by_join(spark, monkeypatch):
     assert need <= found and len(found) < len(need) + 30
     monkeypatch.setattr(near_dedup, "BITMAP_IDS", 10)
     assert {bytes(r.mark) for r in near_dedup._sets(docs, 5, wanted).collect()} == need
+
+
+def test_a_turn_that_links_few_is_the_last(spark, monkeypatch):
+    """Where one turn with other hubs links next to nothing, the search without loss follows at once and finds the rest."""
+    from rowforge.llm import near_dedup
+
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = list(enumerate([passage + " " + " ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(150)] + family(rng, [f"v{k}" for k in range(150)], 2, 1)))
+    turns, stars, confirmed = [], near_dedup._stars, near_dedup._confirmed
+
+    def watched(lists, similar, turn=0):
+        turns.append(turn)
+        return stars(lists, similar, turn)
+
+    def all_but_the_first(likely, sets, similar):
+        return confirmed(likely, sets, similar).where(str(max(turns) > 0))
+
+    monkeypatch.setattr(near_dedup, "_stars", watched)
+    monkeypatch.setattr(near_dedup, "_confirmed", all_but_the_first)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in near_groups(docs, 3, 85).collect()} == brute(rows, 3, 85)
+    assert turns == [0, 1]
+
+
+def test_sets_of_members_are_shuffled_by_their_marks_only(spark):
+    from rowforge.llm import near_dedup
+
+    spark.range(8).selectExpr("md5(cast(id as string)) AS mark", "id AS c").createOrReplaceTempView("few")
+    sets = spark.sql("SELECT cast(mark AS binary) AS mark, array(c, c + 1) AS shingles FROM few UNION ALL SELECT cast(mark AS binary), array(c, c + 1) FROM few")
+    classes = spark.sql("SELECT c, cast(mark AS binary) AS mark FROM few")
+    found = near_dedup._member_sets(sets, classes, spark.sql("SELECT c, 0L AS label FROM few WHERE c < 5"))
+    assert sorted((r.c, r.shingles) for r in found.collect()) == [(c, [c, c + 1]) for c in range(5)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(mark" in plan and not [x for x in plan.splitlines() if "hashpartitioning(mark" in x and ", c#" in x.split("hashpartitioning(")[1].split(")")[0]]
