@@ -1,5 +1,6 @@
 """Words of patterns by number, and references within one table."""
 
+import random
 import re
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rowforge.functions.language import language, word_at
 from rowforge.functions.pattern import PatternError
-from rowforge.operators import checks, relate
+from rowforge.operators import checks, forest, relate
 from rowforge.operators.forest import forest_report, jump
 from rowforge.operators.generate import GenerationError, Options
 from rowforge.operators.generate import generate as run
@@ -120,3 +121,25 @@ def test_pointer_jumping_against_plain_walks(spark):
     assert {r.key: (r.root, r.depth, r.state) for r in jump(df, "k", "p").collect()} == plain_forest(rows)
     assert forest_report(df, "k", "p").first().in_cycles == 5
     assert forest_report(df.limit(0), "k", "p").first().asDict() == {"rows": 0, "roots": 0, "orphans": 0, "in_cycles": 0, "depth": None}
+
+
+def test_rounds_of_a_forest_neither_swell_the_plan_nor_go_on_after_the_depth(spark, monkeypatch):
+    stored, made, dropped = forest.stored, [], []
+    monkeypatch.setattr(forest, "stored", lambda df: made.append(stored(df)) or made[-1])
+    monkeypatch.setattr(forest, "drop_stored", dropped.append)
+    dice = random.Random(4)
+    rows = [(k, dice.randrange(300) if k % 11 else None) for k in range(3000)] + [(5001, 5000), (5000, 5001)] + [(6000 + k, 6000 + (k + 1) % 7) for k in range(7)]
+    df, plain = spark.createDataFrame(rows, "k long, p long"), plain_forest(rows)
+    found = jump(df, "k", "p")
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
+    assert {r.key: (r.root, r.depth, r.state) for r in found.collect()} == plain
+    deepest = max(depth for _, depth, _ in plain.values() if depth is not None)
+    # all rows, those that others refer to, and a round for each digit of the depth and for the cycles; all but the first and the last are dropped
+    assert len(made) <= 2 + deepest.bit_length() + 1 < 10 and len(dropped) == len(made) - 2
+    assert made[1].count() <= 309
+
+
+def test_long_chains_beside_cycles(spark):
+    for n in (1, 2, 3, 4, 5, 8, 9, 33):
+        rows = [(k, k - 1) for k in range(1, n)] + [(0, None), (100, 101), (101, 100), (102, 101)] + [(200 + k, 199 + k if k else 999) for k in range(n)]
+        assert {r.key: (r.root, r.depth, r.state) for r in jump(spark.createDataFrame(rows, "k long, p long"), "k", "p").collect()} == plain_forest(rows)
