@@ -134,12 +134,13 @@ def test_rounds_of_a_forest_neither_swell_the_plan_nor_go_on_after_the_depth(spa
     assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 200
     assert {r.key: (r.root, r.depth, r.state) for r in found.collect()} == plain
     deepest = max(depth for _, depth, _ in plain.values() if depth is not None)
-    # all rows, those that others refer to, and a round for each digit of the depth and for the cycles; all but the first and the last are dropped
-    assert len(made) <= 2 + deepest.bit_length() + 1 < 10 and len(dropped) == len(made) - 2
-    assert made[1].count() <= 309
+    # keys, all rows, those that others refer to, and a round for each digit of the depth and for the cycles; all but all rows and the last are dropped
+    assert len(made) <= 3 + deepest.bit_length() + 1 < 11 and len(dropped) == len(made) - 2
+    assert made[2].count() <= 309
 
 
 def test_long_chains_beside_cycles(spark):
     for n in (1, 2, 3, 4, 5, 8, 9, 33):
         rows = [(k, k - 1) for k in range(1, n)] + [(0, None), (100, 101), (101, 100), (102, 101)] + [(200 + k, 199 + k if k else 999) for k in range(n)]
         assert {r.key: (r.root, r.depth, r.state) for r in jump(spark.createDataFrame(rows, "k long, p long"), "k", "p").collect()} == plain_forest(rows)
+    assert forest_report(spark.sql("SELECT id AS k, NULL AS p FROM range(3)"), "k", "p").first().roots == 3
